@@ -43,12 +43,16 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packets_of(events: DataFrame) -> DataFrame:
     """Packets with their file name, and the frame number as row id."""
-    rows = spark.sql(PACKETS_SELECT, events=events(spark, sf_dir))
+    rows = events.sparkSession.sql(PACKETS_SELECT, events=events)
     return rows.withColumn(ROW_ID, F.col("frame_number"))
 
 
+def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packets_of(events(spark, sf_dir))
+
+
 def within(df: DataFrame, start: str, end: str) -> DataFrame:
     """The packets of captures dated in a range."""
     return df.where(date_field(F.col(FILE_NAME)).between(start, end))
@@ -62,12 +66,11 @@ def cleaned(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame
     return clean_packets(rows, keep=[ROW_ID])
 
 
-def daily_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def daily_rows(packets: DataFrame) -> DataFrame:
     """Packets as text, with one capture name per day."""
     name = F.concat(
         F.lit("traffic_"),
         date_field(F.col(FILE_NAME)),
         F.lit("_00-00-00_(1440.0_minutes)_(0.06_input)_(0.05_output).csv"),
     )
-    rows = packets(spark, sf_dir)
-    return rows.select(*[F.col(c).cast("string") for c in RAW_COLUMNS], name.alias(FILE_NAME))
+    return packets.select(*[F.col(c).cast("string") for c in RAW_COLUMNS], name.alias(FILE_NAME))

@@ -69,7 +69,7 @@ from .packets import (
     TRAIN_END,
     TRAIN_START,
     cleaned,
-    daily_captures,
+    daily_rows,
     events,
     packets,
 )
@@ -93,7 +93,7 @@ def _rounded(df: DataFrame, names) -> DataFrame:
 
 def capture_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "captures")
-    pattern = write_captures(daily_captures(spark, sf_dir), folder)
+    pattern = write_captures(daily_rows(packets(spark, sf_dir)), folder)
     rows = read_captures(spark, list_captures(spark, pattern))
     return rows.groupBy(FILE_NAME).agg(
         F.count("*").alias("packets"),
@@ -606,13 +606,13 @@ def run_error_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def train_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pattern = write_captures(daily_captures(spark, sf_dir), scratch_path(spark, "captures"))
+    pattern = write_captures(daily_rows(packets(spark, sf_dir)), scratch_path(spark, "captures"))
     info = train(spark, pattern, scratch_path(spark, "store"), mode="low")
     return info.select("folder_name", "mode", "num_rows", "n_features")
 
 
 def analyse_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pattern = write_captures(daily_captures(spark, sf_dir), scratch_path(spark, "captures"))
+    pattern = write_captures(daily_rows(packets(spark, sf_dir)), scratch_path(spark, "captures"))
     store = scratch_path(spark, "store")
     train(spark, pattern, store, mode="low", start=TRAIN_START, end=TRAIN_END)
     outcome = run_analysis(

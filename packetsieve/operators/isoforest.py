@@ -21,6 +21,9 @@ DRAWS = 400
 # Below this many rows the draws could run short, and rows are ranked by hash instead.
 FEW_ROWS = 1000
 EULER = 0.5772156649
+MAX_TREES = 1000
+# Rows that take a step together.
+SLICE = 2048
 LEAF = -1
 # Hash digits behind a uniform number: 13 hexadecimal digits are 52 bits.
 DIGITS = 13
@@ -140,58 +143,51 @@ def fit_forest(features: DataFrame, trees: int, seed: int = SEED) -> DataFrame:
     return rows.groupBy("tree").applyInPandas(grow, FOREST_SCHEMA)
 
 
-class ForestArrays:
-    """A forest as arrays over complete heaps, so that every row takes the same steps.
+def forest_arrays(nodes: list) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Depth, features, cuts and path lengths of a forest as complete heaps, one row per tree.
 
     A leaf above the last level hands its path length down to the level below,
-    where both sides lead to the same value.
+    where both sides lead to the same value, so every row takes the same steps.
     """
-
-    def __init__(self, nodes: list):
-        depth = max((n["depth"] for n in nodes), default=0)
-        trees = sorted({n["tree"] for n in nodes})
-        slots = 2 ** (depth + 1)
-        place = {t: i for i, t in enumerate(trees)}
-        self.depth = depth
-        self.sample = max((n["n_samples"] for n in nodes), default=0)
-        self.feature = np.zeros((len(trees), slots), dtype=np.intp)
-        self.threshold = np.full((len(trees), slots), np.inf)
-        self.path = np.zeros((len(trees), slots))
-        for n in nodes:
-            at = place[n["tree"]], n["node"]
-            if n["feature"] == LEAF:
-                first, last = n["node"], n["node"]
-                for _ in range(depth - n["depth"]):
-                    first, last = 2 * first, 2 * last + 1
-                self.path[at[0], first : last + 1] = n["depth"] + mean_depth(n["n_samples"])
-            else:
-                self.feature[at] = n["feature"]
-                self.threshold[at] = n["threshold"]
-
-    def mean_path(self, x: np.ndarray) -> np.ndarray:
-        """Mean path length of each row of a matrix."""
-        total = np.zeros(len(x))
-        flat = np.ascontiguousarray(x).ravel()
-        base = np.arange(len(x), dtype=np.intp) * x.shape[1]
-        for feature, threshold, path in zip(self.feature, self.threshold, self.path):
-            node = np.ones(len(x), dtype=np.intp)
-            for _ in range(self.depth):
-                value = flat.take(feature.take(node) + base)
-                right = value > threshold.take(node)
-                node <<= 1
-                node += right
-            total += path.take(node)
-        return total / len(self.feature)
-
-
-def forest_arrays(forest: DataFrame, max_trees: int = 1000) -> ForestArrays:
-    """The forest on the driver. A tree has at most 511 nodes, and the trees are counted first."""
+    depth = max((n["depth"] for n in nodes), default=0)
+    place = {t: i for i, t in enumerate(sorted({n["tree"] for n in nodes}))}
+    shape = len(place), 2 ** (depth + 1)
+    feature = np.zeros(shape, dtype=np.intp)
+    threshold = np.full(shape, np.inf)
+    path = np.zeros(shape)
+    for n in nodes:
+        at = place[n["tree"]], n["node"]
+        if n["feature"] == LEAF:
+            below = depth - n["depth"]
+            first = n["node"] << below
+            path[at[0], first : first + (1 << below)] = n["depth"] + mean_depth(n["n_samples"])
+        else:
+            feature[at], threshold[at] = n["feature"], n["threshold"]
+    return depth, feature, threshold, path
+
+
+def mean_path(matrix: np.ndarray, depth: int, feature, threshold, path) -> np.ndarray:
+    """Mean path length of each row of a matrix over all trees."""
+    rows, width = matrix.shape
+    flat = np.ascontiguousarray(matrix).ravel()
+    base = np.arange(rows, dtype=np.intp) * width
+    total = np.zeros(rows)
+    for features, cuts, ends in zip(feature, threshold, path):
+        node = np.ones(rows, dtype=np.intp)
+        for _ in range(depth):
+            right = flat.take(features.take(node) + base) > cuts.take(node)
+            node <<= 1
+            node += right
+        total += ends.take(node)
+    return total / len(feature)
+
+
+def collect_forest(forest: DataFrame) -> list:
+    """The nodes on the driver: at most 511 per tree, and the trees are counted first."""
     trees = forest.agg(F.count_distinct("tree")).first()[0]
-    if trees > max_trees:
-        raise ValueError(f"{trees} trees exceed the limit of {max_trees}")
-    return ForestArrays(
-        forest.select("tree", "node", "feature", "threshold", "depth", "n_samples").collect()
-    )
+    if trees > MAX_TREES:
+        raise ValueError(f"{trees} trees exceed the limit of {MAX_TREES}")
+    return forest.select("tree", "node", "feature", "threshold", "depth", "n_samples").collect()
 
 
 def with_iso_score(df: DataFrame, forest: DataFrame, columns=FEATURES) -> DataFrame:
@@ -199,20 +195,24 @@ def with_iso_score(df: DataFrame, forest: DataFrame, columns=FEATURES) -> DataFr
 
     Only the 16 features travel to Python, in whole Arrow batches.
     """
-    arrays = forest_arrays(forest)
-    shared = df.sparkSession.sparkContext.broadcast(arrays)
+    nodes = collect_forest(forest)
+    shared = df.sparkSession.sparkContext.broadcast(forest_arrays(nodes))
 
     @F.pandas_udf("double")
-    def mean_path(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        trees = shared.value
+    def path_of(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        arrays = shared.value
         for batch in batches:
             matrix = np.column_stack([s.to_numpy(np.float64) for s in batch])
-            yield pd.Series(trees.mean_path(matrix))
+            parts = [
+                mean_path(matrix[i : i + SLICE], *arrays) for i in range(0, len(matrix), SLICE)
+            ]
+            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    depth = F.lit(mean_depth(arrays.sample) or 1.0)
+    sample = max((n["n_samples"] for n in nodes), default=0)
+    scale = F.lit(mean_depth(sample) or 1.0)
     return (
-        df.withColumn("_path", mean_path(*[F.col(c) for c in columns]))
-        .withColumn(SCORE, F.lit(0.5) - F.pow(F.lit(2.0), -F.col("_path") / depth))
+        df.withColumn("_path", path_of(*[F.col(c) for c in columns]))
+        .withColumn(SCORE, F.lit(0.5) - F.pow(F.lit(2.0), -F.col("_path") / scale))
         .drop("_path")
         .withColumn(FLAG, F.col(SCORE) < 0)
     )

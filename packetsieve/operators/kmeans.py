@@ -1,28 +1,40 @@
-"""k-means: fit with restarts, fixed-start rounds, assignment and distance."""
+"""k-means: fit with restarts, assignment and distance.
+
+All restarts share their passes over the data. A pass reads the rows as packed
+blocks, reduces each task's blocks to one row per restart and cluster, and adds
+those up; only such sums reach the driver.
+"""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import CENTROID_SCHEMA, CLUSTERS, FEATURES, ROW_ID, SEED
 
 CLUSTER = "cluster"
 DISTANCE = "kmeans_distance"
-# Restarts that run at the same time.
-PARALLEL_RESTARTS = 4
+BLOCK_SCHEMA = "ids binary, matrix binary"
+# Rows that a pass handles at a time.
+SLICE = 1024
+# Up to this many tasks, their few rows go to the driver without a grouped sum.
+FEW_TASKS = 64
+
+
+# Assignment
 
 
 def squared_distance(centre, columns=FEATURES) -> Column:
     """Squared Euclidean distance of a row to a fixed centre, summed in column order."""
-    terms = [(F.col(c) - F.lit(v)) * (F.col(c) - F.lit(v)) for c, v in zip(columns, centre)]
-    return reduce(lambda a, b: a + b, terms)
+    gaps = [f"(`{c}` - ({float(v)!r}D))" for c, v in zip(columns, centre)]
+    return F.expr(" + ".join(f"{g} * {g}" for g in gaps))
 
 
 def centres_of(centroids: DataFrame) -> list[tuple[int, list[float]]]:
@@ -34,47 +46,256 @@ def assign(df: DataFrame, centres, columns=FEATURES) -> DataFrame:
     """``df`` plus the nearest cluster and the distance to its centre.
 
     Equal distances go to the lowest cluster number. The centres are literals,
-    so this is one projection without a join.
+    so this is one projection without a join. Features are never null; saying
+    so keeps the generated method small enough for the JVM to compile.
     """
     distances = {f"_d{k}": squared_distance(centre, columns) for k, centre in centres}
     names = list(distances)
     nearest = F.least(*names) if len(names) > 1 else F.col(names[0])
-    choice = F
-    for k, _ in centres:
-        choice = choice.when(F.col(f"_d{k}") == F.col("_nearest"), F.lit(k))
+    choice = F.expr(
+        "CASE " + " ".join(f"WHEN _d{k} = _nearest THEN {k}" for k, _ in centres) + " END"
+    )
     return (
-        df.withColumns(distances)
+        df.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in columns})
+        .withColumns(distances)
         .withColumn("_nearest", nearest)
         .withColumns({CLUSTER: choice.cast("int"), DISTANCE: F.sqrt("_nearest")})
         .drop("_nearest", *names)
     )
 
 
-def lloyd_rounds(df: DataFrame, centres, rounds: int, columns=FEATURES):
-    """Centres after a fixed number of rounds from fixed starting centres.
+# Fit
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """Rows packed as matrices of doubles, moved so that each column has mean 0."""
+
+    table: DataFrame
+    mean: np.ndarray
+    variance: float
+    rows: int
+    columns: tuple[str, ...]
+    few: bool
+
+
+@contextmanager
+def packed(features: DataFrame, columns=FEATURES) -> Iterator[Blocks]:
+    """Features packed into one block per Arrow batch, persisted while in use.
+
+    A lost block is packed again from ``features``, which should be a table.
+    """
+    columns = tuple(columns)
+    shape = features.agg(
+        F.count("*").alias("n"),
+        *[F.avg(c).alias(f"mean_{c}") for c in columns],
+        *[F.var_pop(c).alias(f"var_{c}") for c in columns],
+    ).first()
+    if shape["n"] == 0:
+        raise ValueError("no rows to cluster")
+    mean = np.array([shape[f"mean_{c}"] for c in columns])
+    variance = float(np.mean([shape[f"var_{c}"] for c in columns]))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            values = [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
+            matrix = np.column_stack(values) - mean
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([ids.tobytes()]), pa.array([matrix.tobytes()])], ["ids", "matrix"]
+            )
+
+    table = (
+        features.select(F.col(ROW_ID).cast("long"), *columns)
+        .mapInArrow(pack, BLOCK_SCHEMA)
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    try:
+        few = table.rdd.getNumPartitions() <= FEW_TASKS
+        yield Blocks(table, mean, variance, shape["n"], columns, few)
+    finally:
+        table.unpersist()
+
+
+def _matrices(batches: Iterator[pa.RecordBatch], width: int):
+    """Row ids and matrix of a slice of rows that fits the processor cache."""
+    for batch in batches:
+        for ids, matrix in zip(batch.column("ids"), batch.column("matrix")):
+            ids = np.frombuffer(ids.as_buffer(), dtype=np.int64)
+            matrix = np.frombuffer(matrix.as_buffer()).reshape(-1, width)
+            for first in range(0, len(ids), SLICE):
+                yield ids[first : first + SLICE], matrix[first : first + SLICE]
+
+
+def _distances(matrix: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """(restarts, centres, rows) squared distances less the row's own squared length.
+
+    ``centres`` is (restarts, centres, width).
+    """
+    restarts, k, width = centres.shape
+    flat = centres.reshape(-1, width)
+    distances = flat @ (-2.0 * matrix.T)
+    distances += np.einsum("ij,ij->i", flat, flat)[:, None]
+    return distances.reshape(restarts, k, len(matrix))
+
+
+def _least(distances: np.ndarray) -> np.ndarray:
+    """Smallest distance per restart and row."""
+    best = distances[:, 0].copy()
+    for k in range(1, distances.shape[1]):
+        np.minimum(best, distances[:, k], out=best)
+    return best
 
-    Each round sends one row per cluster to the driver. A cluster without rows
-    keeps its centre.
+
+def _members(distances: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """(restarts, centres, rows) marks of the nearest centre; ties go to the lowest number."""
+    marks = distances == best[:, None, :]
+    if np.count_nonzero(marks) != best.size:
+        marks &= np.cumsum(marks, axis=1) == 1
+    return marks
+
+
+def _uniform(ids: np.ndarray, salt: int) -> np.ndarray:
+    """Number in (0, 1] per row id and salt, the same for a row in every run."""
+    with np.errstate(over="ignore"):
+        x = ids.astype(np.uint64) + np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    return ((x >> np.uint64(11)).astype(np.float64) + 1.0) / float(1 << 53)
+
+
+def _draw_next(blocks: Blocks, chosen: np.ndarray, seeds: list[int]) -> np.ndarray:
+    """One more starting centre per restart, a row drawn by its squared distance to the chosen.
+
+    Every row races with an exponential time over its weight; the first one
+    wins, so a draw is a minimum and needs one pass.
+    """
+    width, taken = len(blocks.columns), chosen.shape[1]
+
+    def race(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times = [np.inf] * len(seeds)
+        points = [None] * len(seeds)
+        for ids, matrix in _matrices(batches, width):
+            if taken:
+                weights = _least(_distances(matrix, chosen))
+                weights += np.einsum("ij,ij->i", matrix, matrix)
+            for r, seed in enumerate(seeds):
+                time = -np.log(_uniform(ids, seed * 1000 + taken))
+                if taken:
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        time = np.where(weights[r] > 0, time / weights[r], np.inf)
+                first = int(np.argmin(time))
+                if points[r] is None or time[first] < times[r]:
+                    times[r], points[r] = float(time[first]), matrix[first].tolist()
+        found = [r for r in range(len(seeds)) if points[r] is not None]
+        if found:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(found, pa.int32()),
+                    pa.array([times[r] for r in found], pa.float64()),
+                    pa.array([points[r] for r in found], pa.list_(pa.float64())),
+                ],
+                ["restart", "time", "point"],
+            )
+
+    winners = blocks.table.mapInArrow(race, "restart int, time double, point array<double>")
+    if not blocks.few:
+        winners = (
+            winners.groupBy("restart")
+            .agg(F.min(F.struct("time", "point")).alias("first"))
+            .select("restart", "first.*")
+        )
+    points = {}
+    for w in sorted(winners.collect(), key=lambda w: (w["time"], w["point"]), reverse=True):
+        points[w["restart"]] = w["point"]
+    new = np.array([[points[r]] for r in range(len(seeds))])
+    return np.concatenate([chosen, new], axis=1)
+
+
+def kmeans_plus_plus(blocks: Blocks, k: int, seeds: list[int]) -> np.ndarray:
+    """Starting centres of all restarts, (restarts, k, width), in ``k`` passes."""
+    chosen = np.zeros((len(seeds), 0, len(blocks.columns)))
+    for _ in range(k):
+        chosen = _draw_next(blocks, chosen, seeds)
+    return chosen
+
+
+def lloyd_pass(blocks: Blocks, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means of the rows nearest to each centre, and each restart's cost before the move.
+
+    A centre without rows stays.
     """
-    for _ in range(rounds):
-        means = (
-            assign(df, centres, columns).groupBy(CLUSTER).agg(*[F.avg(c).alias(c) for c in columns])
+    restarts, k, width = centres.shape
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((restarts * k, width))
+        counts = np.zeros(restarts * k)
+        costs = np.zeros(restarts)
+        for _, matrix in _matrices(batches, width):
+            distances = _distances(matrix, centres)
+            best = _least(distances)
+            members = _members(distances, best).reshape(restarts * k, -1)
+            sums += members.astype(np.float64) @ matrix
+            counts += np.count_nonzero(members, axis=1)
+            costs += best.sum(axis=1) + np.einsum("ij,ij->", matrix, matrix)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.repeat(np.arange(restarts, dtype=np.int32), k)),
+                pa.array(np.tile(np.arange(k, dtype=np.int32), restarts)),
+                pa.array(counts),
+                pa.array(np.where(np.arange(restarts * k) % k == 0, np.repeat(costs, k), 0.0)),
+                *[pa.array(sums[:, j].copy()) for j in range(width)],
+            ],
+            ["restart", "cluster", "n", "cost", *[f"s{j}" for j in range(width)]],
         )
-        moved = {r[CLUSTER]: [r[c] for c in columns] for r in means.collect()}
-        centres = [(k, moved.get(k, centre)) for k, centre in centres]
-    return centres
+
+    sum_columns = [f"s{j}" for j in range(width)]
+    schema = ", ".join(
+        ["restart int", "cluster int", "n double", "cost double"]
+        + [f"{c} double" for c in sum_columns]
+    )
+    totals = blocks.table.mapInArrow(reduce, schema)
+    if not blocks.few:
+        measures = ["n", "cost", *sum_columns]
+        totals = totals.groupBy("restart", "cluster").sum(*measures)
+        totals = totals.toDF("restart", "cluster", *measures)
+    table = totals.toArrow()
+    place = table["restart"].to_numpy() * k + table["cluster"].to_numpy()
+    sums = np.zeros((restarts * k, width + 2))
+    np.add.at(sums, place, np.column_stack([table[c].to_numpy() for c in table.column_names[2:]]))
+    counts, costs = sums[:, 0], sums[:, 1].reshape(restarts, k).sum(axis=1)
+    filled = counts > 0
+    moved = centres.reshape(-1, width).copy()
+    moved[filled] = sums[filled, 2:] / counts[filled, None]
+    moved = moved.reshape(centres.shape)
+    return moved, costs
+
+
+def lloyd_rounds(
+    features: DataFrame, centres: list, rounds: int, columns=FEATURES
+) -> list[tuple[int, list[float]]]:
+    """Centres after a fixed number of rounds from fixed starting centres."""
+    with packed(features, columns) as blocks:
+        moving = np.array([[centre for _, centre in centres]]) - blocks.mean
+        for _ in range(rounds):
+            moving, _ = lloyd_pass(blocks, moving)
+    return _numbered(moving[0] + blocks.mean)
+
+
+def _numbered(centres: np.ndarray) -> list[tuple[int, list[float]]]:
+    return [(k, [float(x) for x in centre]) for k, centre in enumerate(centres)]
 
 
 def hashed_start(df: DataFrame, k: int = CLUSTERS, columns=FEATURES):
     """The ``k`` rows with the smallest hash of their id as starting centres."""
     rows = df.orderBy(F.md5(F.col(ROW_ID).cast("string")), ROW_ID).limit(k)
     return [
-        (i, [r[c] for c in columns])
-        for i, r in enumerate(rows.select(*columns).collect())
+        (i, [r[c] for c in columns]) for i, r in enumerate(rows.select(*columns).collect())
     ]
 
 
-def centroid_table(spark, centres) -> DataFrame:
+def centroid_table(spark: SparkSession, centres) -> DataFrame:
     return spark.createDataFrame(
         [(k, [float(x) for x in centre]) for k, centre in centres], CENTROID_SCHEMA
     )
@@ -90,32 +311,25 @@ def fit_restarts(
 ) -> list[tuple[float, list]]:
     """Cost and centres of each restart, the lowest cost first.
 
-    Restart ``i`` uses seed ``seed + i``. The restarts are independent jobs
-    over one persisted matrix and run a few at a time. ``tol`` is relative to
-    the mean variance of the features.
+    Restart ``i`` starts by k-means++ with seed ``seed + i`` and moves until
+    its centres shift by no more than ``tol`` times the mean variance of the
+    features. Restarts that stand still leave the later passes.
     """
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features)
-    rows = rows.select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        shape = features.agg(
-            F.count("*").alias("n"), *[F.var_pop(c).alias(c) for c in FEATURES]
-        ).first()
-        if shape["n"] < k:
-            raise ValueError(f"{shape['n']} rows cannot form {k} clusters")
-        variance = sum(shape[c] for c in FEATURES) / len(FEATURES)
-        movement = (tol * variance) ** 0.5
-
-        def one(i: int) -> tuple[float, list]:
-            model = KMeans(
-                k=k, seed=seed + i, maxIter=max_iter, tol=movement, featuresCol="features"
-            ).fit(rows)
-            centres = [(j, list(map(float, c))) for j, c in enumerate(model.clusterCenters())]
-            return float(model.summary.trainingCost), centres
-
-        with ThreadPoolExecutor(min(PARALLEL_RESTARTS, restarts)) as pool:
-            fits = list(pool.map(one, range(restarts)))
-    finally:
-        rows.unpersist()
+    with packed(features) as blocks:
+        if blocks.rows < k:
+            raise ValueError(f"{blocks.rows} rows cannot form {k} clusters")
+        limit = tol * blocks.variance
+        centres = kmeans_plus_plus(blocks, k, [seed + i for i in range(restarts)])
+        active = np.arange(restarts)
+        for _ in range(max_iter):
+            moved, _ = lloyd_pass(blocks, centres[active])
+            shift = ((moved - centres[active]) ** 2).sum(axis=(1, 2))
+            centres[active] = moved
+            active = active[shift > limit]
+            if len(active) == 0:
+                break
+        _, costs = lloyd_pass(blocks, centres)
+    fits = [(float(costs[i]), _numbered(centres[i] + blocks.mean)) for i in range(restarts)]
     return sorted(fits, key=lambda f: f[0])
 
 
