@@ -29,7 +29,7 @@ def to_number(c: Column, is_text: bool = True) -> Column:
     number = c.try_cast("double")
     if is_text:
         number = F.when(~c.rlike(r"[xX]|[0-9.][dDfF]\s*$"), number)
-    return F.when(~F.isnan(number), number)
+    return F.nanvl(number, F.lit(None).cast("double"))
 
 
 def normalise_flags(c: Column) -> Column:
@@ -47,9 +47,13 @@ def fill_number(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0))
 
 
-def refuse_infinite(c: Column, name: str) -> Column:
-    """Fail on an infinite value: no mean or distance is defined with one."""
-    return F.when(
-        F.abs(c) == F.lit(float("inf")),
-        F.raise_error(F.lit(f"infinite value in column {name}")).cast("double"),
-    ).otherwise(c)
+def refuse_infinite(first: Column, *others: Column) -> Column:
+    """``first``, or a failed job when any of the numbers is infinite.
+
+    No mean or distance is defined with an infinite value. One check for all
+    columns keeps the generated method small enough for the JVM to compile.
+    """
+    largest = F.greatest(*[F.abs(c) for c in (first, *others)])
+    return F.when(largest < F.lit(float("inf")), first).otherwise(
+        F.raise_error(F.lit("infinite value in a numeric column")).cast("double")
+    )

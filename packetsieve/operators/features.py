@@ -37,7 +37,7 @@ def add_missing_numeric(df: DataFrame) -> DataFrame:
 def _numeric(df: DataFrame, name: str) -> Column:
     field = df.schema[name]
     number = to_number(F.col(name), is_text=isinstance(field.dataType, T.StringType))
-    return fill_number(refuse_infinite(number, name)).alias(name)
+    return fill_number(number).alias(name)
 
 
 def _categorical(name: str) -> Column:
@@ -56,12 +56,14 @@ def clean_packets(df: DataFrame, keep=(), time_format: str | None = None) -> Dat
     if lacking:
         raise ValueError(f"capture lacks the columns {lacking}")
     df = add_missing_numeric(df)
-    return df.select(
+    typed = df.select(
         *keep,
         to_timestamp(F.col(TIMESTAMP), time_format).alias(TIMESTAMP),
         *[_categorical(c) for c in CATEGORICAL],
         *[_numeric(df, c) for c in STORED_NUMERIC],
     )
+    first, *others = [F.col(c) for c in STORED_NUMERIC]
+    return typed.withColumn(STORED_NUMERIC[0], refuse_infinite(first, *others))
 
 
 def stage_packets(df: DataFrame, keep=(), time_format: str | None = None) -> tuple[DataFrame, str]:

@@ -23,7 +23,7 @@ FEW_ROWS = 1000
 EULER = 0.5772156649
 MAX_TREES = 1000
 # Rows that take a step together.
-SLICE = 2048
+SLICE = 8192
 LEAF = -1
 # Hash digits behind a uniform number: 13 hexadecimal digits are 52 bits.
 DIGITS = 13
@@ -167,18 +167,30 @@ def forest_arrays(nodes: list) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]
 
 
 def mean_path(matrix: np.ndarray, depth: int, feature, threshold, path) -> np.ndarray:
-    """Mean path length of each row of a matrix over all trees."""
-    rows, width = matrix.shape
-    flat = np.ascontiguousarray(matrix).ravel()
-    base = np.arange(rows, dtype=np.intp) * width
+    """Mean path length of each row of a matrix over all trees.
+
+    The rows go down a tree together, one level per step; the steps reuse their
+    buffers.
+    """
+    rows = len(matrix)
+    flat = np.ascontiguousarray(matrix.T).ravel()
+    place = np.arange(rows, dtype=np.intp)
+    node, at = np.empty(rows, dtype=np.intp), np.empty(rows, dtype=np.intp)
+    value, cut = np.empty(rows), np.empty(rows)
+    right = np.empty(rows, dtype=bool)
     total = np.zeros(rows)
-    for features, cuts, ends in zip(feature, threshold, path):
-        node = np.ones(rows, dtype=np.intp)
+    for starts, cuts, ends in zip(feature * rows, threshold, path):
+        node.fill(1)
         for _ in range(depth):
-            right = flat.take(features.take(node) + base) > cuts.take(node)
-            node <<= 1
-            node += right
-        total += ends.take(node)
+            np.take(starts, node, out=at, mode="clip")
+            np.add(at, place, out=at)
+            np.take(flat, at, out=value, mode="clip")
+            np.take(cuts, node, out=cut, mode="clip")
+            np.greater(value, cut, out=right)
+            np.left_shift(node, 1, out=node)
+            np.add(node, right, out=node)
+        np.take(ends, node, out=value, mode="clip")
+        total += value
     return total / len(feature)
 
 

@@ -24,6 +24,8 @@ DISTANCE = "kmeans_distance"
 BLOCK_SCHEMA = "ids binary, matrix binary"
 # Rows that a pass handles at a time.
 SLICE = 1024
+# Rows of the sample on which starting centres settle before the passes over all rows.
+SAMPLE_ROWS = 1 << 17
 # Up to this many tasks, their few rows go to the driver without a grouped sum.
 FEW_TASKS = 64
 
@@ -221,6 +223,77 @@ def kmeans_plus_plus(blocks: Blocks, k: int, seeds: list[int]) -> np.ndarray:
     return chosen
 
 
+def _totals(matrices, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums and counts of the rows nearest to each centre, and each restart's cost."""
+    restarts, k, width = centres.shape
+    sums, counts = np.zeros((restarts * k, width)), np.zeros(restarts * k)
+    costs = np.zeros(restarts)
+    for matrix in matrices:
+        distances = _distances(matrix, centres)
+        best = _least(distances)
+        members = _members(distances, best).reshape(restarts * k, -1)
+        sums += members.astype(np.float64) @ matrix
+        counts += np.count_nonzero(members, axis=1)
+        costs += best.sum(axis=1) + np.einsum("ij,ij->", matrix, matrix)
+    return sums, counts, costs
+
+
+def _means(sums: np.ndarray, counts: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """New centres; one without rows stays."""
+    moved = centres.reshape(-1, centres.shape[2]).copy()
+    filled = counts > 0
+    moved[filled] = sums[filled] / counts[filled, None]
+    return moved.reshape(centres.shape)
+
+
+def _shift(moved: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((moved - centres) ** 2).sum(axis=(1, 2))
+
+
+def settle_on_sample(
+    blocks: Blocks, centres: np.ndarray, limit: float, max_iter: int
+) -> np.ndarray:
+    """Centres of each restart after they settle on a uniform sample of the rows.
+
+    This only moves the starting point, so that fewer passes over all rows
+    remain. The sample has a fixed expected size; each restart is one task.
+    """
+    restarts, _, width = centres.shape
+    share = SAMPLE_ROWS / blocks.rows
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, matrix in _matrices(batches, width):
+            chosen = matrix[_uniform(ids, 0) <= share]
+            yield pa.RecordBatch.from_arrays([pa.array([chosen.tobytes()])], ["matrix"])
+
+    parts = blocks.table.mapInArrow(pick, "matrix binary").toArrow()["matrix"].to_pylist()
+    spark = blocks.table.sparkSession
+    shared = spark.sparkContext.broadcast(np.frombuffer(b"".join(parts)).reshape(-1, width))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = shared.value
+        for batch in batches:
+            for r in batch.column(0).to_pylist():
+                moving = centres[r : r + 1]
+                for _ in range(max_iter):
+                    slices = (sample[i : i + SLICE] for i in range(0, len(sample), SLICE))
+                    sums, counts, _ = _totals(slices, moving)
+                    moved = _means(sums, counts, moving)
+                    shift, moving = _shift(moved, moving)[0], moved
+                    if shift <= limit:
+                        break
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r]), pa.array([moving.tobytes()])], ["id", "centres"]
+                )
+
+    settled = centres.copy()
+    tasks = spark.range(0, restarts, 1, restarts)
+    for row in tasks.mapInArrow(settle, "id long, centres binary").collect():
+        settled[row["id"]] = np.frombuffer(row["centres"]).reshape(centres.shape[1:])
+    shared.destroy()
+    return settled
+
+
 def lloyd_pass(blocks: Blocks, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Means of the rows nearest to each centre, and each restart's cost before the move.
 
@@ -229,16 +302,7 @@ def lloyd_pass(blocks: Blocks, centres: np.ndarray) -> tuple[np.ndarray, np.ndar
     restarts, k, width = centres.shape
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((restarts * k, width))
-        counts = np.zeros(restarts * k)
-        costs = np.zeros(restarts)
-        for _, matrix in _matrices(batches, width):
-            distances = _distances(matrix, centres)
-            best = _least(distances)
-            members = _members(distances, best).reshape(restarts * k, -1)
-            sums += members.astype(np.float64) @ matrix
-            counts += np.count_nonzero(members, axis=1)
-            costs += best.sum(axis=1) + np.einsum("ij,ij->", matrix, matrix)
+        sums, counts, costs = _totals((m for _, m in _matrices(batches, width)), centres)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.repeat(np.arange(restarts, dtype=np.int32), k)),
@@ -264,12 +328,8 @@ def lloyd_pass(blocks: Blocks, centres: np.ndarray) -> tuple[np.ndarray, np.ndar
     place = table["restart"].to_numpy() * k + table["cluster"].to_numpy()
     sums = np.zeros((restarts * k, width + 2))
     np.add.at(sums, place, np.column_stack([table[c].to_numpy() for c in table.column_names[2:]]))
-    counts, costs = sums[:, 0], sums[:, 1].reshape(restarts, k).sum(axis=1)
-    filled = counts > 0
-    moved = centres.reshape(-1, width).copy()
-    moved[filled] = sums[filled, 2:] / counts[filled, None]
-    moved = moved.reshape(centres.shape)
-    return moved, costs
+    costs = sums[:, 1].reshape(restarts, k).sum(axis=1)
+    return _means(sums[:, 2:], sums[:, 0], centres), costs
 
 
 def lloyd_rounds(
@@ -311,19 +371,21 @@ def fit_restarts(
 ) -> list[tuple[float, list]]:
     """Cost and centres of each restart, the lowest cost first.
 
-    Restart ``i`` starts by k-means++ with seed ``seed + i`` and moves until
-    its centres shift by no more than ``tol`` times the mean variance of the
-    features. Restarts that stand still leave the later passes.
+    Restart ``i`` starts by k-means++ with seed ``seed + i``, settles on a
+    sample, and then moves over all rows until its centres shift by no more
+    than ``tol`` times the mean variance of the features. Restarts that stand
+    still leave the later passes.
     """
     with packed(features) as blocks:
         if blocks.rows < k:
             raise ValueError(f"{blocks.rows} rows cannot form {k} clusters")
         limit = tol * blocks.variance
         centres = kmeans_plus_plus(blocks, k, [seed + i for i in range(restarts)])
+        centres = settle_on_sample(blocks, centres, limit, max_iter)
         active = np.arange(restarts)
         for _ in range(max_iter):
             moved, _ = lloyd_pass(blocks, centres[active])
-            shift = ((moved - centres[active]) ** 2).sum(axis=(1, 2))
+            shift = _shift(moved, centres[active])
             centres[active] = moved
             active = active[shift > limit]
             if len(active) == 0:
