@@ -18,11 +18,10 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from packetsieve.catalog import QUERIES  # noqa: E402
-from packetsieve.catalog.packets import daily_rows, events, packets_of  # noqa: E402
+from packetsieve.catalog.packets import daily_rows, events, packets_of, write_captures  # noqa: E402
 from packetsieve.operators.runs import latest_phases, training_log  # noqa: E402
 from packetsieve.plans import analyse_range, train  # noqa: E402
 from packetsieve.session import build_session, drop_paths, scratch_path  # noqa: E402
-from packetsieve.sources.captures import write_captures  # noqa: E402
 
 OPERATORS = (
     "inter_arrival_stats",

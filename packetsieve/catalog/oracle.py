@@ -589,4 +589,12 @@ ORACLES = {
         f"coalesce({_text('s')}, '0 seconds') AS duration_human, "
         f"{_bucket('coalesce(s, 0)')} AS duration_category FROM failed WHERE event_type = 'error'",
     ),
+    "train_small": "SELECT 'global' AS folder_name, 'low' AS mode, count(*) AS num_rows, "
+    f"CAST({len(RAW_COLUMNS)} AS INTEGER) AS n_features FROM events",
+    "analyse_range": "SELECT 'FINISHED' AS status, count(*) AS rows, 'low' AS mode, "
+    f"'{TRAIN_START}_{TRAIN_END}' AS folder_name, "
+    f"count(*) FILTER (CAST(ts AS DATE) BETWEEN DATE '{TRAIN_START}' AND DATE '{TRAIN_END}') "
+    f"AS trained_rows, CAST({len(RAW_COLUMNS)} AS INTEGER) AS trained_features, "
+    "CAST(31 * 86400 - 1 AS DOUBLE) AS duration_seconds, '31.00 days' AS duration_human, "
+    "'VERY_LONG' AS duration_category FROM events",
 }

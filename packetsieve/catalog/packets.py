@@ -74,3 +74,18 @@ def daily_rows(packets: DataFrame) -> DataFrame:
         F.lit("_00-00-00_(1440.0_minutes)_(0.06_input)_(0.05_output).csv"),
     )
     return packets.select(*[F.col(c).cast("string") for c in RAW_COLUMNS], name.alias(FILE_NAME))
+
+
+def write_captures(df: DataFrame, folder: str) -> str:
+    """Write rows as capture files, one folder of part files per ``file_name``.
+
+    Returns the pattern to read them with.
+    """
+    (
+        df.repartition(FILE_NAME)
+        .write.partitionBy(FILE_NAME)
+        .option("header", True)
+        .option("escape", '"')
+        .csv(folder)
+    )
+    return f"{folder}/*.csv/part-*"

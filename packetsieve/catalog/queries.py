@@ -61,7 +61,6 @@ from ..sources.captures import (
     prune_strict,
     read_captures,
     union_by_name as union_parts,
-    write_captures,
 )
 from ..sources.model_store import Model, load_model, save_model
 from .packets import (
@@ -72,6 +71,7 @@ from .packets import (
     daily_rows,
     events,
     packets,
+    write_captures,
 )
 
 TREES = MODES["low"]["trees"]

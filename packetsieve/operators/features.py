@@ -66,17 +66,17 @@ def clean_packets(df: DataFrame, keep=(), time_format: str | None = None) -> Dat
     return typed.withColumn(STORED_NUMERIC[0], refuse_infinite(first, *others))
 
 
-def stage_packets(df: DataFrame, keep=(), time_format: str | None = None) -> tuple[DataFrame, str]:
+def stage_packets(df: DataFrame, keep=(), time_format: str | None = None) -> DataFrame:
     """Cleaned packets with a unique row id, written once to the shared folder.
 
     Later steps read the columns they need from there and see the same ids,
-    whatever is recomputed. Returns the table and its path.
+    whatever is recomputed.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "packets")
     cleaned = clean_packets(df, keep, time_format)
     cleaned.withColumn(ROW_ID, F.monotonically_increasing_id()).write.parquet(path)
-    return spark.read.parquet(path), path
+    return spark.read.parquet(path)
 
 
 def select_features(df: DataFrame, keep=()) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions.names import name_duration
 from ..operators.features import stage_packets
 from ..operators.runs import append_event, error_durations, require_run
 from ..schema import REPORT_TYPE, RUN_EVENT_SCHEMA
-from ..session import drop_paths
+from ..session import scratch_scope
 from ..sources.captures import captures_in_range, list_captures, read_captures
 from ..sources.model_store import folder_name_of, load_model
 from .score import score, score_report
@@ -104,9 +104,9 @@ def _analyse(
         update(status="RUNNING", started_at=started_at, stage="running", progress=1)
         folder = folder_name_of(model_start, model_end)
         model = load_model(spark, store, model_start, model_end)
-        packets, staged = stage_packets(rows, time_format=time_format)
-        report = score_report(score(packets, model), model, folder).first()
-        drop_paths(spark, [staged])
+        with scratch_scope(spark):
+            packets = stage_packets(rows, time_format=time_format)
+            report = score_report(score(packets, model), model, folder).first()
         result = tuple(report[f] for f in REPORT_FIELDS)
         update(
             status="FINISHED",
@@ -162,12 +162,13 @@ def analyse_range(
     model_start=None,
     model_end=None,
     time_format: str | None = None,
+    same_header: bool = False,
 ) -> DataFrame:
     """Analyse the captures of a date range, by default with the model of that range."""
     date.fromisoformat(start), date.fromisoformat(end)
     if model_start is None and model_end is None:
         model_start, model_end = start, end
-    rows = captures_in_range(spark, captures, start, end)
+    rows = captures_in_range(spark, captures, start, end, same_header)
     duration = _range_duration(spark, start, end)
     return _analyse(
         spark, f"{start}_to_{end}", rows, duration, store, model_start, model_end, time_format

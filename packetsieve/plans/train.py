@@ -14,8 +14,8 @@ from ..operators.isoforest import fit_forest
 from ..operators.kmeans import fit_kmeans
 from ..operators.runs import append_event
 from ..operators.scaling import fit_scaler
-from ..schema import DEFAULT_MODE, MODES, SCALER_SCHEMA, TRAINING_LOG_SCHEMA
-from ..session import drop_paths, scratch_path
+from ..schema import DEFAULT_MODE, MODES, TRAINING_LOG_SCHEMA
+from ..session import scratch_path, scratch_scope
 from ..sources.captures import FILE_NAME, training_captures
 from ..sources.model_store import Model, folder_name_of, save_model
 
@@ -56,33 +56,29 @@ class _Phases:
 
 def fit_tables(
     packets: DataFrame, restarts: int, trees: int, run=lambda name, work: work()
-) -> tuple[Model, list[str]]:
+) -> Model:
     """Fit all model tables on staged packets; ``run`` wraps each phase.
 
-    Returns the tables and the paths they are kept in until they are saved.
+    The tables lie in the shared folder until they are saved.
     """
     spark = packets.sparkSession
-    paths = {n: scratch_path(spark, n) for n in ("gaps", "scaler", "features", "forest")}
 
-    def preprocessor():
-        inter_arrival_gaps(packets).write.parquet(paths["gaps"])
-        gaps = spark.read.parquet(paths["gaps"])
-        fit_scaler(packets, gaps).write.parquet(paths["scaler"])
-        return gaps, fit_vocab(packets), spark.read.schema(SCALER_SCHEMA).parquet(paths["scaler"])
-
-    def transform():
-        feature_matrix(packets, vocab, scaler, gaps).write.parquet(paths["features"])
-        return spark.read.parquet(paths["features"])
+    def written(df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(spark, label)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
 
-    def forest():
-        fit_forest(features, trees).write.parquet(paths["forest"])
-        return spark.read.parquet(paths["forest"])
+    def preprocessor():
+        gaps = written(inter_arrival_gaps(packets), "gaps")
+        return gaps, fit_vocab(packets), written(fit_scaler(packets, gaps), "scaler")
 
     gaps, vocab, scaler = run("preprocessor", preprocessor)
-    features = run("transform", transform)
+    features = run(
+        "transform", lambda: written(feature_matrix(packets, vocab, scaler, gaps), "features")
+    )
     centroids = run("kmeans", lambda: fit_kmeans(features, restarts))
-    trees_table = run("isoforest", forest)
-    return Model(vocab, scaler, centroids, trees_table, None), list(paths.values())
+    forest = run("isoforest", lambda: written(fit_forest(features, trees), "forest"))
+    return Model(vocab, scaler, centroids, forest, None)
 
 
 def train_rows(
@@ -103,22 +99,21 @@ def train_rows(
     width = len([c for c in captured.columns if c != FILE_NAME])
     log = _Phases(spark, f"{store}/training_log", name)
 
-    packets, staged = stage_packets(captured, time_format=time_format)
-    rows = packets.count()
-    log.event(
-        folder_name=name,
-        mode=mode,
-        status="running",
-        num_rows=rows,
-        n_features=width,
-        started_at=datetime.now().isoformat(),
-        phases={"inicio": ("done", 0.0)},
-    )
-    tables, paths = fit_tables(packets, settings["restarts"], settings["trees"], log.run)
-    info = save_model(
-        store, tables, name, mode, applied, datetime.now().isoformat(), rows, width
-    )
-    drop_paths(spark, [staged, *paths])
+    with scratch_scope(spark):
+        packets = stage_packets(captured, time_format=time_format)
+        rows = packets.count()
+        log.event(
+            folder_name=name,
+            mode=mode,
+            status="running",
+            num_rows=rows,
+            n_features=width,
+            started_at=datetime.now().isoformat(),
+            phases={"inicio": ("done", 0.0)},
+        )
+        tables = fit_tables(packets, settings["restarts"], settings["trees"], log.run)
+        trained_at = datetime.now().isoformat()
+        info = save_model(store, tables, name, mode, applied, trained_at, rows, width)
     log.event(
         status="done",
         finished_at=datetime.now().isoformat(),
@@ -136,10 +131,11 @@ def train(
     end=None,
     time_format: str | None = None,
     strict_mode: bool = False,
+    same_header: bool = False,
 ) -> DataFrame | None:
     """Train on the captures under a path pattern; None, and no log entry, without rows."""
     began = time.perf_counter()
-    captured = training_captures(spark, captures, start, end)
+    captured = training_captures(spark, captures, start, end, same_header)
     if captured is None:
         return None
     return train_rows(captured, store, mode, start, end, time_format, strict_mode, began)

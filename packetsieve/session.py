@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -46,13 +49,30 @@ def shared_folder(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+_paths: ContextVar[list[str] | None] = ContextVar("scratch_paths", default=None)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder for one intermediate table."""
-    return f"{shared_folder(spark)}/packetsieve/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/packetsieve/{label}-{uuid.uuid4().hex}"
+    if _paths.get() is not None:
+        _paths.get().append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables of a job when it ends, also when it fails."""
+    token = _paths.set([])
+    try:
+        yield
+    finally:
+        drop_paths(spark, _paths.get())
+        _paths.reset(token)
 
 
 def drop_paths(spark: SparkSession, paths) -> None:
-    """Delete intermediate tables that a finished job no longer needs."""
+    """Delete tables that nothing reads any more."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:

@@ -70,9 +70,12 @@ def _header_line(spark: SparkSession, path: str) -> str | None:
 
 
 def _by_header(
-    spark: SparkSession, paths: list[str], skip_bad: bool
+    spark: SparkSession, paths: list[str], skip_bad: bool, same_header: bool
 ) -> dict[tuple[str, ...], list[str]]:
-    """Paths by column names. One line per file is read, and no row."""
+    """Paths by column names. One line per file is read, and no row.
+
+    With ``same_header`` the first file speaks for all of them.
+    """
 
     def names(path: str) -> tuple[str, ...] | None:
         try:
@@ -81,8 +84,11 @@ def _by_header(
             if skip_bad:
                 return None
             raise
-        return tuple(next(csv.reader([line.lstrip("﻿")]))) if line else None
+        return tuple(next(csv.reader([line.lstrip("\ufeff")]))) if line else None
 
+    if same_header and paths:
+        header = names(paths[0])
+        return {header: paths} if header else {}
     groups = defaultdict(list)
     with ThreadPoolExecutor(HEADER_READERS) as pool:
         for path, header in zip(paths, pool.map(names, paths)):
@@ -112,17 +118,23 @@ def union_by_name(parts: list[DataFrame]) -> DataFrame:
 
 
 def read_captures(
-    spark: SparkSession, files: DataFrame, on_empty: str = "raise", skip_bad: bool = False
+    spark: SparkSession,
+    files: DataFrame,
+    on_empty: str = "raise",
+    skip_bad: bool = False,
+    same_header: bool = False,
 ) -> DataFrame | None:
     """Rows of the listed captures as text, plus ``file_name``.
 
     Files are read per distinct header, so a column keeps its name whatever its
-    place in the file. Without any file the result is an error, or None for
+    place in the file. For very many files, ``same_header`` trusts that they
+    all have the first one's header, which the scan itself then checks: another
+    header fails the job. Without any file the result is an error, or None for
     ``on_empty="skip"``. The driver holds one path per file, as every Spark
     read does.
     """
     paths = sorted(r["path"] for r in files.select("path").collect())
-    groups = _by_header(spark, paths, skip_bad)
+    groups = _by_header(spark, paths, skip_bad, same_header)
     if not groups:
         if on_empty == "skip":
             return None
@@ -130,23 +142,18 @@ def read_captures(
     return union_by_name([_read(spark, p, header, skip_bad) for header, p in groups.items()])
 
 
-def training_captures(spark: SparkSession, pattern: str, start=None, end=None) -> DataFrame | None:
+def training_captures(
+    spark: SparkSession, pattern: str, start=None, end=None, same_header: bool = False
+) -> DataFrame | None:
     """Captures for training: strict names, None when there are none or they hold no row."""
-    rows = read_captures(spark, prune_strict(list_captures(spark, pattern), start, end), "skip")
+    files = prune_strict(list_captures(spark, pattern), start, end)
+    rows = read_captures(spark, files, "skip", same_header=same_header)
     return None if rows is None or rows.isEmpty() else rows
 
 
-def captures_in_range(spark: SparkSession, pattern: str, start, end) -> DataFrame:
+def captures_in_range(
+    spark: SparkSession, pattern: str, start, end, same_header: bool = False
+) -> DataFrame:
     """Captures for scoring: lenient names and files, an error when there are none."""
     files = prune_lenient(list_captures(spark, pattern), start, end)
-    return read_captures(spark, files, "raise", skip_bad=True)
-
-
-def write_captures(df: DataFrame, folder: str, partitions: int | None = None) -> str:
-    """Write rows as capture files, one folder of part files per ``file_name``.
-
-    Returns the pattern to read them with. ``partitions`` bounds the part files.
-    """
-    rows = df if partitions is None else df.repartition(partitions, FILE_NAME)
-    rows.write.partitionBy(FILE_NAME).option("header", True).option("escape", '"').csv(folder)
-    return f"{folder}/*.csv/part-*"
+    return read_captures(spark, files, "raise", skip_bad=True, same_header=same_header)
