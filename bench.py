@@ -1,7 +1,7 @@
 """Times training, scoring and the operators behind them; prints one JSON line.
 
 Settings: ``BENCH_SF_DIR`` (tables), ``BENCH_CPUS`` (local threads) and
-``BENCH_ROWS`` (packets of an extra low-mode training on copies of the events,
+``BENCH_ROWS`` (packets of an extra normal-mode training on copies of the events,
 0 for none).
 """
 
@@ -64,6 +64,11 @@ def timed(times: dict, name: str, work):
     return result
 
 
+def consume(df: DataFrame) -> None:
+    """Compute every row and column, and keep none."""
+    df.write.format("noop").mode("overwrite").save()
+
+
 def jobs(spark: SparkSession, rows: DataFrame, times: dict, mode: str, label: str) -> int:
     """Train on capture files of ``rows``, then score them all."""
     captures, store = scratch_path(spark, "captures"), scratch_path(spark, "store")
@@ -97,12 +102,14 @@ def main() -> None:
     # Start the workers before the clock.
     QUERIES["inter_arrival_stats"](spark, sf_dir).collect()
     for name in OPERATORS:
-        timed(times, name, lambda: QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save())
+        timed(times, name, lambda: consume(QUERIES[name](spark, sf_dir)))
     counted = jobs(spark, events(spark, sf_dir), times, "low", "low")
     sizes = {"train_low": counted}
     if rows:
-        label = f"low_{rows}"
-        sizes[f"train_{label}"] = jobs(spark, copied_events(spark, sf_dir, rows), times, "low", label)
+        label = f"normal_{rows}"
+        sizes[f"train_{label}"] = jobs(
+            spark, copied_events(spark, sf_dir, rows), times, "normal", label
+        )
     total = sum(v for k, v in times.items() if "." not in k)
     print(
         json.dumps(

@@ -37,20 +37,11 @@ def fit_vocab(df: DataFrame, columns=CATEGORICAL) -> DataFrame:
     by column.
     """
     spark = df.sparkSession
-    ranked = ordered_index(
-        value_counts(df, columns), [F.col("col").asc(), F.col("value").asc()]
-    )
-    starts = ranked.groupBy("col").agg(F.min("position").alias("_start"))
+    order = [F.col("col").asc(), F.col("value").asc()]
+    ranked = ordered_index(value_counts(df, columns), order, within=("col",))
     path = scratch_path(spark, "vocab")
     (
-        # One row per column.
-        ranked.join(F.broadcast(starts), "col")
-        .select(
-            "col",
-            "value",
-            (F.col("position") - F.col("_start")).cast("double").alias("code"),
-            "frequency",
-        )
+        ranked.select("col", "value", F.col("position").cast("double").alias("code"), "frequency")
         .write.partitionBy("col")
         .parquet(path)
     )

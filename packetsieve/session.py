@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "8192",
+    # Small batches of packed blocks reach Python faster than a few huge ones.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 
