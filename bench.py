@@ -1,8 +1,8 @@
 """Times training, scoring and the operators behind them; prints one JSON line.
 
 Settings: ``BENCH_SF_DIR`` (tables), ``BENCH_CPUS`` (local threads) and
-``BENCH_ROWS`` (packets of an extra normal-mode training on copies of the events,
-0 for none).
+``BENCH_ROWS`` (packets of a second training, in normal mode on copies of the
+events; 0 for none).
 """
 
 from __future__ import annotations
@@ -86,7 +86,7 @@ def jobs(spark: SparkSession, rows: DataFrame, times: dict, mode: str, label: st
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    rows = int(os.environ.get("BENCH_ROWS", "0"))
+    rows = int(os.environ.get("BENCH_ROWS", "2726614"))
     spark = build_session(
         "bench",
         f"local[{cpus}]",

@@ -21,13 +21,13 @@ def ordered_index(
     folder, so that partition and place stay fixed, and no key can fill a
     partition. A row's number is then its place plus the sizes of the
     partitions before it; there is one size per partition, and one more per
-    group at most.
+    group at most. Adaptive execution may merge neighbouring partitions, which
+    keeps the order.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "ordered")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (
-        df.repartitionByRange(parts, *order)
+        df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_slot", F.monotonically_increasing_id())
         .write.parquet(path)
