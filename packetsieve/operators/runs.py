@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.durations import duration_bucket, duration_text, elapsed_seconds
 from ..functions.cleaning import to_timestamp
@@ -29,7 +30,7 @@ def next_seq() -> int:
 
 def append_event(spark: SparkSession, path: str, schema: str, **fields) -> None:
     """Add one event with the given fields; the others are null and change nothing."""
-    names = spark.createDataFrame([], schema).schema.names
+    names = T.StructType.fromDDL(schema).names
     unknown = set(fields) - set(names)
     if unknown:
         raise ValueError(f"unknown fields {sorted(unknown)}")
