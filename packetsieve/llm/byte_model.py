@@ -1,0 +1,78 @@
+"""What the byte n-gram models share: counting, and scoring against sorted hash arrays."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .textbytes import LOWER, KeyCounter, byte_ngrams, slices, text_bytes
+
+#: Rows of model arrays that one pass may broadcast (16 to 24 bytes a row).
+BROADCAST_ROWS = 12_000_000
+
+
+def ngram_counts(texts: DataFrame, order: int, choose: Callable | None = None) -> DataFrame:
+    """``gram`` (big-endian bytes in a long) and ``n`` over column ``text``; A-Z count as a-z.
+
+    ``choose(bytes, offsets)`` marks the texts of a slice that count (default: all).
+
+    Each task sums what it has before the shuffle, so the shuffle carries the
+    distinct n-grams of a task and not its bytes.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = KeyCounter()
+        for batch in batches:
+            for _, _, data, offsets in slices(*text_bytes(batch.column(0))):
+                grams, at = byte_ngrams(LOWER[data], offsets, order)
+                if choose is not None:
+                    grams = grams[np.repeat(choose(data, offsets), np.diff(at))]
+                counter.add(grams)
+                if counter.full():
+                    yield batch_of(counter)
+        yield batch_of(counter)
+
+    def batch_of(counter: KeyCounter) -> pa.RecordBatch:
+        keys, n = counter.take()
+        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], ["gram", "n"])
+
+    return texts.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def shards_of(sizes: dict[int, int], bound: int = BROADCAST_ROWS) -> list[list[int]]:
+    """Groups of bytes whose model rows stay within ``bound``, as far as single bytes allow."""
+    groups: list[list[int]] = [[]]
+    room = bound
+    for byte, rows in sorted(sizes.items()):
+        if groups[-1] and rows > room:
+            groups.append([])
+            room = bound
+        groups[-1].append(byte)
+        room -= rows
+    return groups
+
+
+def add_by_shard(
+    docs: DataFrame, shards: list, scorer: Callable, fields: list[str], names: list[str]
+) -> DataFrame:
+    """Scores of all texts, summed over the shards of a model that is too large for one pass.
+
+    ``scorer(shard)`` gives a DataFrame of ``docs`` with ``fields`` and partial sums
+    ``names``. One shard, the usual case, is one pass and no shuffle. More are added
+    up by the fields; equal rows get equal scores.
+    """
+    if len(shards) == 1:
+        return scorer(shards[0])
+    parts = None
+    for shard in shards:
+        part = scorer(shard)
+        parts = part if parts is None else parts.unionByName(part)
+    copies = F.expr(f"CAST(count(*) DIV {len(shards)} AS INT)")
+    added = parts.groupBy(*fields).agg(copies.alias("_m"), *[F.sum(n).alias(n) for n in names])
+    return added.select(
+        *fields, *[(F.col(n) / F.col("_m")).alias(n) for n in names], F.explode(F.sequence(F.lit(1), "_m")).alias("_i")
+    ).drop("_i")
