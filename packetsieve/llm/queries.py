@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ctw import lm_scores
 from .quality import quality
+from .rans import token_file_digests
 from .tables import table
+from .warc import round_trip
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file, installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +25,23 @@ def op1_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *base, "base_failed", "kept", "lang", "log10_ppl", "lower", "upper")
 
 
+def op8_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return lm_scores(table(spark, sf_dir, "documents"), held_out)
+
+
+def op2_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+def op3_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
+
+
 QUERIES = {
     "op1_kneser_ney_quality": op1_kneser_ney_quality,
+    "op2_zstd_warc": op2_zstd_warc,
+    "op3_rans_token_files": op3_rans_token_files,
+    "op8_context_tree_scores": op8_context_tree_scores,
 }
 ORACLES: dict[str, str] = {}
