@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ctw import lm_scores
+from .fingerprints import edited_neighbours
 from .quality import quality
 from .rans import token_file_digests
 from .tables import table
@@ -38,10 +39,15 @@ def op3_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op10_one_permutation_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_neighbours(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_kneser_ney_quality": op1_kneser_ney_quality,
     "op2_zstd_warc": op2_zstd_warc,
     "op3_rans_token_files": op3_rans_token_files,
     "op8_context_tree_scores": op8_context_tree_scores,
+    "op10_one_permutation_fingerprints": op10_one_permutation_fingerprints,
 }
 ORACLES: dict[str, str] = {}
