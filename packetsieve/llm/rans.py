@@ -39,7 +39,7 @@ MAGIC = b"RANSTOK1"
 LANES, INTERVAL, BLOCK = 32, 256, 1 << 16
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
-FILE_TOKENS = 1 << 22
+FILE_TOKENS = 1 << 20
 _32 = np.uint64(32)
 
 
@@ -61,7 +61,7 @@ class Frequencies:
         self.symbols = ids
         self.freq = scaled.astype(np.uint64)
         self.start = np.concatenate([[0], np.cumsum(scaled)[:-1]]).astype(np.uint64) if len(ids) else self.freq
-        self.rank = np.zeros(int(ids[-1]) + 1 if len(ids) else 0, dtype=np.int64)
+        self.rank = np.zeros(int(ids[-1]) + 1 if len(ids) else 0, dtype=np.int32)
         self.rank[ids] = np.arange(len(ids))
         self.slots = np.repeat(np.arange(len(ids), dtype=np.uint32), scaled)
 
@@ -75,7 +75,7 @@ def encode_blocks(ids: np.ndarray, table: Frequencies) -> tuple[list[dict], list
     sizes[-1] = len(ids) - BLOCK * (n_blocks - 1)
     unit = LANES * INTERVAL
     steps = -(-int(sizes.max()) // unit) * INTERVAL
-    ranks = np.full((n_blocks, steps * LANES), int(np.argmax(table.freq)), dtype=np.int64)
+    ranks = np.full((n_blocks, steps * LANES), int(np.argmax(table.freq)), dtype=np.int32)
     for b in range(n_blocks):
         ranks[b, : sizes[b]] = table.rank[ids[b * BLOCK : b * BLOCK + sizes[b]]]
     ranks = ranks.reshape(n_blocks, steps, LANES)
@@ -198,7 +198,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int)
         parts: list[np.ndarray] = []
         held, number = 0, 0
         for batch in batches:
-            for a, b, data, offsets in slices(*text_bytes(batch.column(1)), 1 << 22):
+            for a, b, data, offsets in slices(*text_bytes(batch.column(1))):
                 flat, at = tokens.encode(data, offsets)
                 flat = np.insert(flat, at[1:], end_id)
                 names += batch.column(0).slice(a, b - a).to_pylist()

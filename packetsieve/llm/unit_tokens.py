@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from .tables import written
 from .textbytes import SPACE, HashArray, prefix_hash, slices, span_hash, text_bytes
 
-#: Encoded units that are broadcast (about 30 bytes each), the most frequent ones; tasks encode the others.
-HEAD_UNITS = 2_000_000
+#: Encoded units that are broadcast (about 30 bytes each), the most frequent ones; tasks encode the others
+#: and keep as many of those.
+HEAD_UNITS = 1 << 20
 _KIND = np.full(256, 3, dtype=np.uint8)
 _KIND[0x21:0x7F] = 2
 _KIND[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = 1
@@ -65,12 +66,12 @@ class _Cache:
 
     def add(self, keys: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
         ends = np.cumsum(sizes)
-        self.sets.append((HashArray(keys, ends - sizes, sizes), flat, keys, sizes))
+        self.sets.append((HashArray(keys, (ends - sizes).astype(np.int32), sizes.astype(np.int16 if not len(sizes) or sizes.max() < 1 << 15 else np.int32)), flat, keys, sizes))
         while len(self.sets) > 2 and len(self.sets[-1][2]) * 2 > len(self.sets[-2][2]):
             late, early = self.sets.pop(), self.sets.pop()  # near in size: one set instead of two
             keys, sizes, flat = (np.concatenate([early[i], late[i]]) for i in (2, 3, 1))
             ends = np.cumsum(sizes)
-            self.sets.append((HashArray(keys, ends - sizes, sizes), flat, keys, sizes))
+            self.sets.append((HashArray(keys, (ends - sizes).astype(np.int32), sizes.astype(np.int16 if not len(sizes) or sizes.max() < 1 << 15 else np.int32)), flat, keys, sizes))
         if sum(len(s[2]) for s in self.sets[1:]) > HEAD_UNITS:
             del self.sets[1:]
 
@@ -132,7 +133,7 @@ class UnitTokenizer:
         head = encoded.where(F.log2("n") >= least).select("unit", "ids").toArrow()
         ids = head.column("ids").combine_chunks()
         keys = head.column("unit").to_numpy().view(np.uint64)
-        sizes = np.diff(ids.offsets.to_numpy()).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
+        sizes = np.diff(ids.offsets.to_numpy()).astype(np.int32) if len(keys) else np.zeros(0, np.int64)
         flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32) if len(keys) else np.zeros(0, np.int32)
         self.key = uuid.uuid4().hex
         self.head = spark.sparkContext.broadcast((keys, sizes, flat))
@@ -152,7 +153,7 @@ def encoded_units(texts: DataFrame, tokenizer: str) -> DataFrame:
         known: dict[str, list] = {"keys": [], "texts": [], "n": []}
         held = 0
         for batch in batches:
-            for _, _, data, offsets in slices(*text_bytes(batch.column(0)), 1 << 22):
+            for _, _, data, offsets in slices(*text_bytes(batch.column(0))):
                 starts, ends, _ = units(data, offsets)
                 keys, where, n = np.unique(span_hash(prefix_hash(data), starts, ends), return_index=True, return_counts=True)
                 size = ends[where] - starts[where]
@@ -162,7 +163,7 @@ def encoded_units(texts: DataFrame, tokenizer: str) -> DataFrame:
                 known["n"].append(n)
                 known["texts"].append(pa.Array.from_buffers(pa.large_string(), len(keys), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(picked)]))
                 held += len(keys)
-                if held > 1 << 21:
+                if held > 1 << 19:
                     yield rows(known)
                     held = 0
         if held:
