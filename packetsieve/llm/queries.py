@@ -9,6 +9,7 @@ from .ctw import lm_scores
 from .fingerprints import edited_neighbours
 from .quality import quality
 from .rans import token_file_digests
+from .repeats import removal_digests
 from .tables import table
 from .warc import round_trip
 
@@ -26,6 +27,10 @@ def op1_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *base, "base_failed", "kept", "lang", "log10_ppl", "lower", "upper")
 
 
+def op7_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     return lm_scores(table(spark, sf_dir, "documents"), held_out)
@@ -47,6 +52,7 @@ QUERIES = {
     "op1_kneser_ney_quality": op1_kneser_ney_quality,
     "op2_zstd_warc": op2_zstd_warc,
     "op3_rans_token_files": op3_rans_token_files,
+    "op7_suffix_array_repeats": op7_suffix_array_repeats,
     "op8_context_tree_scores": op8_context_tree_scores,
     "op10_one_permutation_fingerprints": op10_one_permutation_fingerprints,
 }
