@@ -1,13 +1,13 @@
 """Suffix-array dedup: removal of all bytes that a long repeated string covers, across all documents.
 
-Every string of ``size`` bytes has an anchor: the position of the smallest hash
-among its substrings of ``ANCHOR`` bytes. Equal strings have equal anchors, so
-all strings that can repeat meet under the hash of an anchor. The strings of
-one anchor position in a document are consecutive; their union is its context.
-Every string lies in exactly one context.
-
-1. All anchors are counted by hash, with their smallest and largest context hash.
-   One that occurs once repeats nothing and stops here.
+Every string of ``size`` bytes has an anchor: the smallest hash among its
+substrings of ``ANCHOR`` bytes. Equal strings have equal anchors, so all strings
+that can repeat meet under their anchor. Consecutive strings with the same
+anchor form a context; every string lies in exactly one context.
+
+1. Contexts are counted by anchor, with their smallest and largest hash. One
+   that is alone stops here, unless its anchor stands at several places in it
+   (periodic text).
 2. Where all contexts of an anchor are equal, they are repeated in full.
 3. The other anchors' distinct contexts are dealt to shards by anchor. Each
    shard concatenates its contexts, builds their suffix array by induced sorting
@@ -39,20 +39,20 @@ from .tables import written
 from .textbytes import mix, prefix_hash, slices, span_hash, text_bytes
 
 SIZE, ANCHOR = 200, 64
-#: Distinct contexts of one anchor that a shard may take whole (at most 336 bytes each).
+#: Distinct contexts of one anchor that a shard may take whole (some 270 bytes each).
 GROUP = 4096
 #: Bytes of contexts that one suffix array covers, and bits of the filter that spares contexts.
 SHARD_BYTES, FILTER_BITS = 1 << 20, 28
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, size: int = SIZE, k: int = ANCHOR) -> dict[str, np.ndarray]:
-    """Of each context of a slice: text, anchor hash, start, end, and hash of its bytes."""
+    """Of each context of a slice: text, anchor, start, end, hash of its bytes, and whether the anchor moves."""
     prefix = prefix_hash(data)
     n = len(data) - k + 1
     w = size - k + 1
     if n < w:
         none = np.zeros(0, dtype=np.int64)
-        return {"text": none, "hash": none.astype(np.uint64), "start": none, "end": none, "context": none.astype(np.uint64)}
+        return {"text": none, "hash": none.astype(np.uint64), "start": none, "end": none, "context": none.astype(np.uint64), "moves": none.astype(bool)}
     at = np.arange(n)
     hashes = span_hash(prefix, at, at + k)
     bits = np.uint64(int(n).bit_length())
@@ -69,13 +69,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray, size: int = SIZE, k: int = AN
     inside = starts + size <= offsets[text + 1]
     starts, least, text = starts[inside], least[inside], text[inside]
     new = np.ones(len(starts), dtype=bool)
-    new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
+    moved = np.append(False, least[1:] != least[:-1])
+    anchor = hashes[least]
+    new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
+    moves = np.add.reduceat(moved & ~new, first) > 0 if len(first) else np.zeros(0, dtype=bool)
     last = np.append(first[1:], len(starts)) - 1
     begin, end = starts[first], starts[last] + size
     if not len(first):
         begin = end = np.zeros(0, dtype=np.int64)
-    return {"text": text[first], "hash": hashes[least[first]], "start": begin, "end": end, "context": span_hash(prefix, begin, end)}
+    return {"text": text[first], "hash": anchor[first], "start": begin, "end": end, "context": span_hash(prefix, begin, end), "moves": moves}
 
 
 def _key() -> list[Column]:
@@ -89,7 +92,9 @@ def _count_anchors(docs: DataFrame, size: int, k: int) -> DataFrame:
         for batch in batches:
             for _, _, data, offsets in slices(*text_bytes(batch.column(0))):
                 a = anchors(data, offsets, size, k)
-                yield pa.RecordBatch.from_arrays([pa.array(a[c].view(np.int64)) for c in ("hash", "context")], ["hash", "context"])
+                # a context that can repeat in itself counts twice, as two different ones
+                rows = [np.concatenate([a["hash"], a["hash"][a["moves"]]]), np.concatenate([a["context"], ~a["context"][a["moves"]]])]
+                yield pa.RecordBatch.from_arrays([pa.array(r.view(np.int64)) for r in rows], ["hash", "context"])
 
     counted = docs.select("text").mapInArrow(run, "hash long, context long").groupBy("hash")
     counted = counted.agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b"))
@@ -154,7 +159,6 @@ def _occurrences(docs: DataFrame, repeated: DataFrame, size: int, k: int) -> Dat
 
 def _shard_spans(contexts: DataFrame, size: int) -> DataFrame:
     """``hash``, ``context``, ``from``, ``to``: the repeated runs of distinct contexts ``(hash, context, n, bytes)``."""
-    longest = 2 * size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -187,7 +191,7 @@ def _shard_spans(contexts: DataFrame, size: int) -> DataFrame:
         place = np.arange(len(data)) + np.repeat(np.arange(n), np.diff(offsets))
         text[place] = data.astype(np.int64) + 2
         text[-1] = 0
-        repeated = repeated_starts(text, suffix_array(text, 258), size, longest)
+        repeated = repeated_starts(text, suffix_array(text, 258), size, size)
         row = np.repeat(np.arange(n), np.diff(own))
         at = np.arange(len(row))
         repeated = repeated[: len(row)] & (at + size < own[row + 1])
