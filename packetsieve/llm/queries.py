@@ -11,6 +11,8 @@ from .quality import quality
 from .rans import token_file_digests
 from .repeats import removal_digests
 from .tables import table
+from .unigram import from_model
+from .unigram import round_trip as unigram_round_trip
 from .warc import round_trip
 
 
@@ -27,6 +29,10 @@ def op1_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *base, "base_failed", "kept", "lang", "log10_ppl", "lower", "upper")
 
 
+def op5_unigram_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram_round_trip(table(spark, sf_dir, "documents"), from_model(vocabulary("piece_bpe_32k.model")))
+
+
 def op7_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(table(spark, sf_dir, "documents"))
 
@@ -52,6 +58,7 @@ QUERIES = {
     "op1_kneser_ney_quality": op1_kneser_ney_quality,
     "op2_zstd_warc": op2_zstd_warc,
     "op3_rans_token_files": op3_rans_token_files,
+    "op5_unigram_viterbi": op5_unigram_viterbi,
     "op7_suffix_array_repeats": op7_suffix_array_repeats,
     "op8_context_tree_scores": op8_context_tree_scores,
     "op10_one_permutation_fingerprints": op10_one_permutation_fingerprints,

@@ -56,13 +56,17 @@ def encode_units(model, texts: list[str]) -> list[list[int]]:
     return [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-class _Cache:
-    """Ids by unit hash within a Python worker: what was broadcast, and what tasks add."""
+class UnitCache:
+    """Ids by unit hash within a Python worker: what was broadcast, and what tasks add.
 
-    def __init__(self, model, head: tuple[np.ndarray, np.ndarray, np.ndarray]):
-        self.model = model
+    ``split(data, offsets)`` gives the units, ``encode_new(data, starts, ends)`` the
+    numbers of ids of units not seen before, and those ids.
+    """
+
+    def __init__(self, split, encode_new, head: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
+        self.split, self.encode_new = split, encode_new
         self.sets = []
-        self.add(*head)
+        self.add(*(head or (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))))
 
     def add(self, keys: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
         ends = np.cumsum(sizes)
@@ -76,7 +80,7 @@ class _Cache:
             del self.sets[1:]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts, ends, first = units(data, offsets)
+        starts, ends, first = self.split(data, offsets)
         hashes = span_hash(prefix_hash(data), starts, ends)
         place = np.full(len(hashes), -1, dtype=np.int64)
         which = np.full(len(hashes), -1, dtype=np.int8)
@@ -88,11 +92,8 @@ class _Cache:
             todo = todo[at < 0]
         if len(todo):
             new, where = np.unique(hashes[todo], return_index=True)
-            raw = data.tobytes()
-            texts = [raw[starts[i] : ends[i]].decode() for i in todo[where].tolist()]
-            ids = encode_units(self.model, texts)
-            sizes = np.array([len(x) for x in ids], dtype=np.int64)
-            flat = np.array([t for x in ids for t in x], dtype=np.int32)
+            new_at = todo[where]
+            sizes, flat = self.encode_new(data, starts[new_at], ends[new_at])
             late = HashArray(new, np.cumsum(sizes) - sizes, sizes)
             place[todo], which[todo] = late.find(hashes[todo]), len(sets)
             sets.append((late, flat, new, sizes))
@@ -116,9 +117,28 @@ class _Cache:
         return out, bounds
 
 
+def encode_with(model):
+    """How the tokenizers library encodes new units."""
+
+    def encode_new(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        ids = encode_units(model, [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())])
+        return np.array([len(x) for x in ids], dtype=np.int64), np.array([t for x in ids for t in x], dtype=np.int32)
+
+    return encode_new
+
+
 _caches: dict = {}
 
 
+def worker_cache(key: str, make) -> UnitCache:
+    """The cache of this worker; only the latest key's is kept."""
+    if key not in _caches:
+        _caches.clear()
+        _caches[key] = make()
+    return _caches[key]
+
+
 class UnitTokenizer:
     """Encodes slices of texts inside tasks; workers keep what they have encoded."""
 
@@ -140,10 +160,8 @@ class UnitTokenizer:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts and their n + 1 offsets."""
-        if self.key not in _caches:
-            _caches.clear()
-            _caches[self.key] = _Cache(load(self.tokenizer), self.head.value)
-        return _caches[self.key].encode(data, offsets)
+        cache = worker_cache(self.key, lambda: UnitCache(units, encode_with(load(self.tokenizer)), self.head.value))
+        return cache.encode(data, offsets)
 
 
 def encoded_units(texts: DataFrame, tokenizer: str) -> DataFrame:
