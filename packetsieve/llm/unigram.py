@@ -80,8 +80,9 @@ class Vocabulary:
                     ids.append(-1)
                 node = children[node][c]
             ids[node] = i
-        base, check, value = [0], [-2], [-1]
-        slot, free, front, queue = {0: 0}, 1, 1, [0]
+        # the first places stay empty, so that every later one can be reached by every byte
+        base, check, value = [0] * 257, [-2] * 257, [-1] * 257
+        slot, free, front, queue = {0: 0}, 257, 257, [0]
         for node in queue:
             below = sorted(children[node].items())
             if not below:
@@ -99,8 +100,9 @@ class Vocabulary:
                     break
                 tries += 1
                 at += 1
-                if tries == 64:  # dense up to here: later nodes start further on
-                    front = max(front, at + 64)
+                if tries % 16 == 0:  # dense up to here: this and later nodes go further on
+                    at += 64 * tries
+                    front = max(front, at)
             base[slot[node]] = at
             for c, child in below:
                 place = at + c + 1
