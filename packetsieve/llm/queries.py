@@ -10,6 +10,7 @@ from .fingerprints import edited_neighbours
 from .quality import quality
 from .rans import token_file_digests
 from .repeats import removal_digests
+from .setsketch import near_duplicates
 from .tables import table
 from .unigram import from_model
 from .unigram import round_trip as unigram_round_trip
@@ -29,6 +30,11 @@ def op1_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *base, "base_failed", "kept", "lang", "log10_ppl", "lower", "upper")
 
 
+def op4_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+    return linked.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_unigram_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_round_trip(table(spark, sf_dir, "documents"), from_model(vocabulary("piece_bpe_32k.model")))
 
@@ -58,6 +64,7 @@ QUERIES = {
     "op1_kneser_ney_quality": op1_kneser_ney_quality,
     "op2_zstd_warc": op2_zstd_warc,
     "op3_rans_token_files": op3_rans_token_files,
+    "op4_setsketch_near_duplicates": op4_setsketch_near_duplicates,
     "op5_unigram_viterbi": op5_unigram_viterbi,
     "op7_suffix_array_repeats": op7_suffix_array_repeats,
     "op8_context_tree_scores": op8_context_tree_scores,

@@ -7,7 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import scratch_path
 
 
+#: Rows and bytes of one Arrow batch: texts can be long, and tasks hold two batches at a time.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; sets the session's batch limits for the texts in it."""
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

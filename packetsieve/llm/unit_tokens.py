@@ -10,6 +10,7 @@ tokenizers library; texts are then gathers of ids by the hash of their units.
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -47,6 +48,8 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def load(tokenizer: str):
+    # tasks fill the cores already, and each thread would keep memory of its own
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(tokenizer)
