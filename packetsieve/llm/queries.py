@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from .ctw import lm_scores
 from .fingerprints import edited_neighbours
+from .mixing import label_domains, mixing_rates
 from .quality import quality
 from .rans import token_file_digests
 from .repeats import removal_digests
 from .setsketch import near_duplicates
 from .tables import table
+from .token_counts import document_token_counts
 from .unigram import from_model
 from .unigram import round_trip as unigram_round_trip
 from .warc import round_trip
@@ -39,6 +41,16 @@ def op5_unigram_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_round_trip(table(spark, sf_dir, "documents"), from_model(vocabulary("piece_bpe_32k.model")))
 
 
+#: Shares of all tokens by domain: toxic text is almost left out, poor text thinned.
+MIX = {"good": 0.97, "poor": 0.02, "toxic": 0.01}
+
+
+def op6_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = mixing_rates(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), MIX)
+    shares = [F.coalesce(F.col("posteriors")[d], F.lit(0.0)).alias(f"p_{d}") for d in MIX]
+    return rates.select("doc_id", "n_tokens", *shares, "rate", "copies")
+
+
 def op7_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(table(spark, sf_dir, "documents"))
 
@@ -56,6 +68,11 @@ def op3_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = from_model(vocabulary("piece_bpe_32k.model"))
+    return document_token_counts(table(spark, sf_dir, "documents"), pieces, separator=2)
+
+
 def op10_one_permutation_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_neighbours(table(spark, sf_dir, "documents"))
 
@@ -66,8 +83,10 @@ QUERIES = {
     "op3_rans_token_files": op3_rans_token_files,
     "op4_setsketch_near_duplicates": op4_setsketch_near_duplicates,
     "op5_unigram_viterbi": op5_unigram_viterbi,
+    "op6_soft_membership_mixing": op6_soft_membership_mixing,
     "op7_suffix_array_repeats": op7_suffix_array_repeats,
     "op8_context_tree_scores": op8_context_tree_scores,
+    "op9_separator_scan": op9_separator_scan,
     "op10_one_permutation_fingerprints": op10_one_permutation_fingerprints,
 }
 ORACLES: dict[str, str] = {}
