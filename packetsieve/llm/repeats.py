@@ -111,7 +111,7 @@ def _filter_of(hashes: DataFrame, rows: int) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = np.zeros((1 << bits) // 8, dtype=np.uint8)
         for batch in batches:
-            at = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            at = _bit(batch.column(0).to_numpy().view(np.uint64), bits)
             np.bitwise_or.at(field, at >> 3, (1 << (at & 7)).astype(np.uint8))
         used = np.flatnonzero(field)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(field[used].astype(np.int16))], ["at", "byte"])
@@ -122,8 +122,13 @@ def _filter_of(hashes: DataFrame, rows: int) -> tuple[np.ndarray, int]:
     return field, bits
 
 
+def _bit(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Anchors are small hashes, so they are mixed again before their leading bits count."""
+    return (mix(hashes) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def _hits(field: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
-    at = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    at = _bit(hashes, bits)
     return (field[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
