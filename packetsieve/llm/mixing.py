@@ -1,8 +1,9 @@
 """Soft-membership mixing: rates per document whose expected token totals by domain meet targets.
 
 1. A labelled table trains a naive Bayes classifier on which hashed words a
-   document has (``BUCKETS`` buckets, add-one counts). It gives every document
-   a posterior over the domains, which are the labels' values.
+   document has: of ``BUCKETS`` buckets the ``KEPT_BUCKETS`` with the most
+   information about the domain. It gives every document a posterior over the
+   domains, which are the labels' values.
 2. Projected-gradient least squares fits a rate of at least 0 per document. The
    residual is ``sum(rate * tokens * posterior) - target`` for each domain; a
    step takes ``posterior . g`` off every rate and projects to 0. ``g`` is the
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .tables import written
 
-BUCKETS, RIDGE, STEPS, TOLERANCE = 8192, 1e-6, 40, 1e-6
+BUCKETS, KEPT_BUCKETS = 1 << 16, 256
+RIDGE, STEPS, TOLERANCE = 1e-6, 40, 1e-6
 
 
 def _words(text: Column) -> Column:
@@ -53,7 +55,7 @@ def fit_classifier(features: DataFrame, labels: DataFrame) -> tuple[DataFrame, d
     """``bucket``, ``logs`` (a log odds of presence per domain, in order), and the log prior of each domain.
 
     ``labels`` has ``doc_id`` and ``domain``. All labelled documents are used.
-    The table has at most ``BUCKETS`` rows.
+    The table has at most ``KEPT_BUCKETS`` rows.
     """
     known = labels.where("domain IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("domain").alias("domain"))
     labelled = features.join(known, "doc_id")
@@ -66,6 +68,11 @@ def fit_classifier(features: DataFrame, labels: DataFrame) -> tuple[DataFrame, d
     )
     all_of = sum(counts.values())
     p = [(F.col(f"n{i}") + 0.5) / (counts[d] + 1.0) for i, d in enumerate(domains)]
+    # mutual information of a bucket's presence and the domain, in nats times documents
+    found = sum(F.col(f"n{i}") for i in range(len(domains)))
+    cell = lambda n, row, column: F.when(n > 0, n * F.ln(n * all_of / (row * column))).otherwise(0.0)
+    told = sum(cell(F.col(f"n{i}"), found, counts[d]) + cell(counts[d] - F.col(f"n{i}"), all_of - found, counts[d]) for i, d in enumerate(domains))
+    seen = seen.withColumn("told", told).orderBy(F.desc("told"), "bucket").limit(KEPT_BUCKETS)
     seen = seen.select("bucket", F.array(*[F.ln(x / (1 - x)) for x in p]).alias("logs"), F.array(*[F.ln(1 - x) for x in p]).alias("absent"))
     seen = written(seen, "mixing-model")
     missing = seen.agg(*[F.sum(F.col("absent")[i]).alias(str(i)) for i in range(len(domains))]).first()
@@ -121,27 +128,24 @@ def fit_rates(members: DataFrame, targets: list[float]) -> tuple[list[list[float
     scale = max(1.0, target.sum())
     steps: list[list[float]] = []
     first = now = totals(steps)
-    size = 1.0
     while len(steps) < STEPS:
         residual = now - target
         error = np.abs(residual).max() / scale
         if error <= TOLERANCE or not now.any() and not steps:
             break
         g = np.linalg.solve(gram(steps) + RIDGE * scale * np.eye(n), residual)
+        size = 1.0
         while True:
             step = (size * g).tolist()
             later = totals([*steps, step])
-            if np.square(later - target).sum() < np.square(residual).sum() or size < 1e-3:
+            gained = 1 - np.square(later - target).sum() / np.square(residual).sum()
+            if gained > 0 or size < 1e-3:
                 break
             size /= 2
-        if np.square(later - target).sum() >= np.square(residual).sum():
-            break
-        if np.abs(later - target).max() / scale > (1 - 1e-4) * error:
-            steps.append(step)
-            now = later
+        if gained < 1e-6:
             break
         steps.append(step)
-        now, size = later, min(1.0, 2 * size)
+        now = later
     return steps, first.tolist(), now.tolist()
 
 
@@ -172,6 +176,5 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], growth:
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
-    """The label table's domains: "toxic", else "good" or "poor" by quality."""
-    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
-    return labels.select("doc_id", domain.alias("domain"))
+    """The label table's domains, "toxic" and "clean"."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean").alias("domain"))

@@ -41,8 +41,8 @@ def op5_unigram_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_round_trip(table(spark, sf_dir, "documents"), from_model(vocabulary("piece_bpe_32k.model")))
 
 
-#: Shares of all tokens by domain: toxic text is almost left out, poor text thinned.
-MIX = {"good": 0.97, "poor": 0.02, "toxic": 0.01}
+#: Shares of all tokens by domain: toxic text is almost left out, and clean text fills its place.
+MIX = {"clean": 0.998, "toxic": 0.002}
 
 
 def op6_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
