@@ -44,7 +44,10 @@ def ngram_counts(texts: DataFrame, order: int, choose: Callable | None = None) -
 
 
 def shards_of(sizes: dict[int, int], bound: int = BROADCAST_ROWS) -> list[list[int]]:
-    """Groups of bytes whose model rows stay within ``bound``, as far as single bytes allow."""
+    """Groups of bytes whose model rows stay within ``bound``, as far as single bytes allow.
+
+    The first group also has the bytes without rows.
+    """
     groups: list[list[int]] = [[]]
     room = bound
     for byte, rows in sorted(sizes.items()):
@@ -53,6 +56,7 @@ def shards_of(sizes: dict[int, int], bound: int = BROADCAST_ROWS) -> list[list[i
             room = bound
         groups[-1].append(byte)
         room -= rows
+    groups[0] += [b for b in range(256) if b not in sizes]
     return groups
 
 

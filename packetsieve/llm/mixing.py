@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import as_row, columns_of, written
 
 BUCKETS, KEPT_BUCKETS = 1 << 16, 256
 RIDGE, STEPS, TOLERANCE = 1e-6, 40, 1e-6
@@ -170,9 +170,9 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], growth: float = 1.0) -> DataFrame:
     """``docs`` with every row as often as the rate of its id says."""
-    rates = written(mixing_rates(docs, labels, targets, growth).select(F.col("doc_id").alias("_id"), "copies").where("copies > 0"), "mixing-copies")
-    joined = docs.join(rates, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*[docs[c] for c in docs.columns])
+    rates = written(mixing_rates(docs, labels, targets, growth).select("doc_id", "copies").where("copies > 0"), "mixing-copies")
+    joined = as_row(docs).join(rates, F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")))
+    return columns_of(joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))))
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_model import add_by_shard, ngram_counts, shards_of
-from .tables import written
+from .tables import as_row, columns_of, written
 from .textbytes import (
     LEADS,
     LOWER,
@@ -227,9 +227,10 @@ def perplexity(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFra
     return add_by_shard(docs, shards, score, [*base, "n_bytes"], ["log10_prob"])
 
 
-def row_key() -> Column:
+def row_key(prefix: str = "") -> Column:
     """Equal for rows with equal text and language, which get equal verdicts."""
-    return F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit("")), F.col("lang").isNull())
+    text, lang = F.col(f"{prefix}text"), F.col(f"{prefix}lang")
+    return F.xxhash64(F.coalesce(text, F.lit("")), F.coalesce(lang, F.lit("")), lang.isNull())
 
 
 def bands(scored: DataFrame, below: float, above: float) -> DataFrame:
@@ -271,9 +272,9 @@ def quality(docs: DataFrame, below: float = 10.0, above: float = 8.0, order: int
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that :func:`quality` keeps, with all their columns."""
-    rejected = quality(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (row_key() == F.col("_key"))
-    return docs.join(rejected.distinct(), same, "left_anti")
+    rejected = quality(docs, **options).where(~F.col("kept")).select("doc_id", "row_key").distinct()
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (row_key("row.") == F.col("row_key"))
+    return columns_of(as_row(docs).join(rejected, same, "left_anti"))
 
 
 def _few_languages(band: DataFrame, bound: int = 100_000) -> bool:

@@ -34,12 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .repeats import _filter_of, _hits
-from .tables import written
+from .tables import as_row, columns_of, written
 from .textbytes import LOWER, distinct_per_text, mix, prefix_hash, slices, span_hash, text_bytes, word_shingles, words
 
 REGISTERS, BASE, RATE = 120, 1.05, 20.0
@@ -298,10 +298,11 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id.
 
     Of rows that share that id, the one with the smallest hash of its text stays.
+    The columns have to be of types with an order (no maps).
     """
     verdict = near_duplicates(docs, k, percent)
-    stays = verdict.where("kept").groupBy("component_id").agg(F.min("row_key").alias("_key")).select(F.col("component_id").alias("_id"), "_key")
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    kept = docs.join(stays, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_semi")
-    first = Window.partitionBy("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
-    return kept.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+    stays = verdict.where("kept").groupBy("component_id").agg(F.min("row_key").alias("row_key"))
+    rows = as_row(docs).select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("key"))
+    kept = rows.join(stays, rows["id"].eqNullSafe(stays["component_id"]) & (rows["key"] == stays["row_key"]), "left_semi")
+    # rows that share id and text: the smallest of the whole rows
+    return columns_of(kept.groupBy("id", "key").agg(F.min("row").alias("row")))

@@ -1,0 +1,183 @@
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from packetsieve.llm import byte_model, ctw, quality
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def grams(text, order):
+    b = b"\xff" * (order - 1) + (text or "").translate(LOWER).encode() + b"\xff"
+    return [b[i : i + order] for i in range(len(b) - order + 1)]
+
+
+def odd_documents(prose):
+    rows = [(i, prose(60, i), "ab"[i % 2]) for i in range(20)]
+    rows += [(30, "word " * 40), (31, None), (32, ""), (33, prose(19, 1)), (34, prose(60, 2) + " ###" * 60, "a"), (None, prose(50, 9), None)]
+    rows += [(35, "same line here\n" * 3 + prose(30, 4)), (35, "same line here\n" * 3 + prose(30, 4)), (36, prose(40, 5) + "\x00 <b> &amp;")]
+    return rows + [(37, prose(30000, 6)), (38, "\n\n a \n\nb\n a \n")]
+
+
+def base(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines, seen, repeated = text.split("\n"), set(), 0
+    for line in lines:
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            repeated += line in seen
+            seen.add(line)
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    times, covered = Counter(windows), set()
+    for i, w in enumerate(windows):
+        if times[w] > 1:
+            covered.update(range(i, i + 8))
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), repeated, len(covered)
+
+
+def test_base_counts_and_verdicts(spark, docs_of, prose):
+    rows = odd_documents(prose)
+    got = quality.quality(docs_of(rows)).collect()
+    assert len(got) == len(rows)
+    fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    seen = sorted(((r["doc_id"], *(r[f] for f in fields), r["base_failed"]) for r in got), key=str)
+    expected = []
+    for doc_id, text, *_ in rows:
+        n = base(text)
+        expected.append((doc_id, *n, n[0] < 20 or 100 * n[4] > 30 * n[0]))
+    assert seen == sorted(expected, key=str)
+    kept = {r["doc_id"]: r["kept"] for r in got}
+    assert not any(kept[i] for i in (30, 31, 32, 33, 34)) and all(kept[i] for i in range(20))
+
+
+def test_kept_documents_keep_their_columns(spark, docs_of, prose):
+    docs = docs_of(odd_documents(prose))
+    out = quality.kept_documents(docs)
+    assert out.schema == docs.schema
+    assert {r["doc_id"] for r in out.collect()} >= set(range(20))
+    assert quality.kept_documents(docs_of([])).count() == 0
+
+
+def kneser_ney(texts, order):
+    types = {order: Counter(g for t in texts for g in grams(t, order))}
+    for k in range(order - 1, 0, -1):
+        types[k] = Counter(g[1:] for g in types[k + 1])
+    cut, total, gamma = {}, {}, {}
+    for k, t in types.items():
+        n = [sum(c == i for c in t.values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        raw = [i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5 for i in (1, 2, 3)]
+        cut[k] = [min(i - 0.01, max(0.1, d)) for i, d in enumerate(raw, 1)]
+        total[k], gamma[k] = Counter(), defaultdict(float)
+        for g, c in t.items():
+            total[k][g[:-1]] += c
+            gamma[k][g[:-1]] += cut[k][min(c, 3) - 1]
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / 257
+        below = p(g[1:])
+        if g[:-1] not in total[k]:
+            return below
+        c = types[k].get(g, 0)
+        own = (c - cut[k][min(c, 3) - 1]) if c else 0.0
+        return (own + gamma[k][g[:-1]] * below) / total[k][g[:-1]]
+
+    return p
+
+
+@pytest.mark.parametrize("bound", [byte_model.BROADCAST_ROWS, 300])
+def test_perplexity_equals_brute_force_also_on_new_texts(spark, docs_of, prose, monkeypatch, bound):
+    monkeypatch.setattr(quality, "shards_of", lambda sizes: byte_model.shards_of(sizes, bound))
+    train = [(i, prose(40, i)) for i in range(10)]
+    new = [(50, prose(30, 77) + " Zyx\x00q"), (51, None), (51, None)]
+    model = quality.fit_kneser_ney(docs_of(train), 4, choose=None)
+    p = kneser_ney([t for _, t in train], 4)
+    got = quality.perplexity(docs_of(train + new), model, 4).collect()
+    assert len(got) == 13
+    expected = {i: sum(math.log10(p(g)) for g in grams(t, 4)) for i, t in train + new}
+    for r in got:
+        assert r["log10_prob"] == pytest.approx(expected[r["doc_id"]], rel=1e-5)
+
+
+def context_tree(texts, depth):
+    counts = defaultdict(lambda: [0, 0])
+    for t in texts:
+        for g in grams(t, depth + 1):
+            for j in range(8):
+                node = (1 << j) | (g[-1] >> (8 - j))
+                for d in range(depth + 1):
+                    counts[d, g[depth - d : depth], node][g[-1] >> (7 - j) & 1] += 1
+    below = defaultdict(list)
+    for d, c, node in counts:
+        if d:
+            below[d - 1, c[1:], node].append((d, c, node))
+    weighted, stop, kt = {}, {}, {}
+    for key in sorted(counts, key=lambda x: -x[0]):
+        a, b = counts[key]
+        own = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+        kt[key] = (b + 0.5) / (a + b + 1)
+        if key[0] == depth:
+            weighted[key], stop[key] = own, 1.0
+        else:
+            rest = sum(weighted[k] for k in below[key])
+            top = max(own, rest)
+            weighted[key] = top + math.log(0.5 * math.exp(own - top) + 0.5 * math.exp(rest - top))
+            stop[key] = 0.5 * math.exp(own - weighted[key])
+
+    def log10(g):
+        total = 0.0
+        for j in range(8):
+            node, one, left = (1 << j) | (g[-1] >> (8 - j)), 0.0, 1.0
+            for d in range(depth + 1):
+                key = d, g[depth - d : depth], node
+                if key not in kt:
+                    break
+                one += left * stop[key] * kt[key]
+                left *= 1 - stop[key]
+            one += left / 2
+            total += math.log10(one if g[-1] >> (7 - j) & 1 else 1 - one)
+        return total
+
+    return log10
+
+
+@pytest.mark.parametrize(("head", "bound"), [(ctw.HEAD_WORDS, byte_model.BROADCAST_ROWS), (40, 2000)])
+def test_scores_equal_brute_force(spark, docs_of, prose, monkeypatch, head, bound):
+    monkeypatch.setattr(ctw, "shards_of", lambda sizes: byte_model.shards_of(sizes, bound))
+    rows = odd_documents(prose)[:-2] + [(60, "Zq\x00 ÿ new"), (60, "Zq\x00 ÿ new")]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    out = ctw.lm_scores(docs_of(rows), F.crc32(F.col("doc_id").cast("string")) % 3 == 1, depth=3, head_words=head).collect()
+    assert len(out) == len(rows)
+    tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + [None]
+    train = Counter(x for i, t, *_ in rows if not held(i) for x in tokens(t))
+    n, v = sum(train.values()), len(train)
+    log10 = context_tree([t for i, t, *_ in rows if not held(i)], 3)
+    expected = {}
+    for i, t, *_ in rows:
+        x = tokens(t)
+        expected[i, len(x)] = (held(i), sum(train[w] > 0 for w in x), n, sum(math.log10((train[w] + 1) / (n + v + 1)) for w in x), sum(map(log10, grams(t, 4))))
+    for r in out:
+        e = expected[r["doc_id"], r["n_tokens"]]
+        assert (r["held_out"], r["n_known"], r["train_tokens"]) == e[:3]
+        assert r["base_score"] == pytest.approx(e[3], abs=1e-6)
+        assert r["score"] == pytest.approx(e[4], rel=1e-9)
+
+
+def test_nothing_to_learn_from(spark, docs_of):
+    out = ctw.lm_scores(docs_of([(1, "ab"), (2, None)]), F.lit(True), depth=2).collect()
+    assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], round(r["score"], 6)) for r in out) == [
+        (1, 0, 0, round(-8 * math.log10(2), 6)), (2, 0, 0, round(-24 * math.log10(2), 6))
+    ]
+    assert ctw.lm_scores(docs_of([]), F.lit(False), depth=2).count() == 0
+
+
+def test_log_gamma(spark):
+    xs = [0.5, 1.0, 2.5, 40.5, 1e6 + 0.5]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(ctw.log_gamma(F.col("x"))).collect()]
+    assert got == pytest.approx([math.lgamma(x) for x in xs], rel=1e-12, abs=1e-9)
