@@ -13,9 +13,11 @@ merge.
    numbers of larger, smaller and equal registers (and the exact set sizes)
    drops pairs that are far below the threshold.
 2. The others are verified on the full sets; verified links give components.
-3. Buckets that still hold several components are compared in blocks: the
-   classes outside the bucket's largest component against all of another
-   component. What the estimate lets pass is verified as well.
+   Buckets that still hold several components try ``PIVOTS`` more classes.
+3. What is left is compared in blocks: the classes outside the bucket's largest
+   component against those of other components, in the order of the estimate,
+   verified on the full sets at once. A block returns links, at most one for
+   each class and component.
 
 No pair of a bucket is left out, unless its classes are linked already. A pair
 at the threshold misses all bands with a probability below 1e-6.
@@ -45,9 +47,11 @@ from .textbytes import LOWER, distinct_per_text, mix, prefix_hash, slices, span_
 REGISTERS, BASE, RATE = 120, 1.05, 20.0
 BAND = 5
 #: Standard deviations by which an estimate may lie below the threshold.
-DOUBT = 6.0
-#: Classes in a block of step 3.
-SIDE = 512
+DOUBT = 5.0
+#: Classes that a bucket tries after the first, before the blocks.
+PIVOTS = 3
+#: Outside classes in a block of step 3, which meet twice as many others; and how many are verified at a time.
+SIDE, AT_ONCE = 512, 32
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,14 +115,18 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     return value
 
 
-def _may_link(a, b, size_a, size_b, percent: int) -> np.ndarray:
+def _lowest(percent: int) -> float:
+    """The lowest estimate of a pair that may reach the threshold."""
     t = percent / 100
-    slack = DOUBT * math.sqrt(t * (1 - t) / REGISTERS)
+    return t - DOUBT * math.sqrt(t * (1 - t) / REGISTERS)
+
+
+def _may_link(a, b, size_a, size_b, percent: int) -> np.ndarray:
     fits = 100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)
     out = np.zeros(len(size_a), dtype=bool)
     at = np.flatnonzero(fits)
     if len(at):
-        out[at] = estimate(a[at], b[at], size_a[at].astype(float), size_b[at].astype(float)) >= t - slack
+        out[at] = estimate(a[at], b[at], size_a[at].astype(float), size_b[at].astype(float)) >= _lowest(percent)
     return out
 
 
@@ -148,7 +156,7 @@ def document_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
-    """``key`` and ``set_id``: one row per class and band."""
+    """``key``, ``band`` and ``set_id``: one row per class and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,9 +166,10 @@ def band_rows(classes: DataFrame) -> DataFrame:
             for i in range(BAND):
                 key = mix(key * np.uint64(65536 + 1) + bands[:, :, i])
             ids = np.repeat(batch.column(0).to_numpy(), bands.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids)], ["key", "set_id"])
+            number = np.tile(np.arange(bands.shape[1], dtype=np.int16), len(sketch))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(number), pa.array(ids)], ["key", "band", "set_id"])
 
-    return classes.select("set_id", "sketch").mapInArrow(run, "key long, set_id long")
+    return classes.select("set_id", "sketch").mapInArrow(run, "key long, band short, set_id long")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -177,10 +186,10 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "u long, v long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
+def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """Written: ``set_id`` and ``members`` (48-bit hashes) of the classes in ``ids``."""
     spark = docs.sparkSession
-    needed = written(pairs.select(F.explode(F.array("u", "v")).alias("hash")).distinct(), "needed-sets")
+    needed = written(ids.select(F.col("set_id").alias("hash")).distinct(), "needed-sets")
     wanted = spark.sparkContext.broadcast(_filter_of(needed, needed.count()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,6 +207,14 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
                 content = pa.Array.from_buffers(pa.binary(), len(hit), [None, pa.py_buffer((6 * bounds).astype(np.int32)), pa.py_buffer(six)])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), content], ["set_id", "members"])
 
+    found = docs.select("text").mapInArrow(sets, "set_id long, members binary")
+    found = found.join(needed.select(F.col("hash").alias("set_id")), "set_id", "left_semi").groupBy("set_id").agg(F.first("members").alias("members"))
+    return written(found, "full-sets")
+
+
+def _verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, at_a = _six(batch.column(2))
@@ -211,9 +228,6 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
                 keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    found = docs.select("text").mapInArrow(sets, "set_id long, members binary")
-    found = found.join(needed.select(F.col("hash").alias("set_id")), "set_id", "left_semi").groupBy("set_id").agg(F.first("members").alias("members"))
-    found = written(found, "full-sets")
     side = lambda c: found.select(F.col("set_id").alias(c), F.col("members").alias(f"m_{c}"))
     joined = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "m_u", "m_v")
     return joined.mapInArrow(check, "u long, v long")
@@ -232,38 +246,61 @@ def _six(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _left_over(members: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of different components in the buckets of ``members`` (key, set_id, component, n, sketch)."""
+    """Links ``u``, ``v`` between components in the buckets of ``members``.
+
+    ``members`` has key, band, set_id, component, n, sketch and members.
+    """
     per = members.groupBy("key", "component").agg(F.count("*").alias("size"))
     ranked = per.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("size").alias("all"), F.max(F.struct("size", "component")).alias("top"))
     crowd = written(ranked.where("kinds > 1").select("key", "all", F.col("top.component").alias("main"), (F.col("all") - F.col("top.size")).alias("outside")), "buckets-left")
     rows = members.join(crowd, "key")
     # blocks of the outside classes, each against blocks of all
     n_a = F.ceil(F.col("outside") / SIDE).cast("int")
-    n_b = F.ceil(F.col("all") / (8 * SIDE)).cast("int")
+    n_b = F.ceil(F.col("all") / (2 * SIDE)).cast("int")
     own = F.pmod(F.xxhash64("set_id"), n_a), F.pmod(F.xxhash64("set_id", F.lit(1)), n_b)
     a = rows.where("component <> main").select("*", own[0].cast("int").alias("i"), F.explode(F.sequence(F.lit(0), n_b - 1)).alias("j"), F.lit(True).alias("outer"))
     b = rows.select("*", F.explode(F.sequence(F.lit(0), n_a - 1)).alias("i"), own[1].cast("int").alias("j"), F.lit(False).alias("outer"))
-    names = ["key", "i", "j", "outer", "set_id", "component", "n", "sketch"]
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        outer = table.column("outer").to_numpy(zero_copy_only=False)
-        ids, comp, n = (table.column(c).to_numpy() for c in ("set_id", "component", "n"))
-        sketch = _sketches(table.column("sketch").combine_chunks())
-        inner = np.flatnonzero(~outer)
-        us, vs = [], []
-        for x in np.flatnonzero(outer).tolist():
-            y = inner[comp[inner] != comp[x]]
-            y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
-            if len(y):
-                y = y[_may_link(np.broadcast_to(sketch[x], (len(y), REGISTERS)), sketch[y], np.full(len(y), n[x]), n[y], percent)]
-                us.append(np.full(len(y), ids[x]))
-                vs.append(ids[y])
-        none = np.zeros(0, dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *us])), pa.array(np.concatenate([none, *vs]))], ["u", "v"])
-
+    names = ["key", "i", "j", "outer", "band", "set_id", "component", "n", "sketch", "members"]
     blocks = a.select(names).unionByName(b.select(names)).groupBy("key", "i", "j")
-    return blocks.applyInArrow(lambda t: pa.Table.from_batches(list(compare(t.to_batches()))), "u long, v long")
+    return blocks.applyInArrow(lambda block: _links_of_block(block, percent), "u long, v long")
+
+
+def _links_of_block(block: pa.Table, percent: int) -> pa.Table:
+    block = block.combine_chunks()
+    outer = block.column("outer").to_numpy(zero_copy_only=False)
+    band = block.column("band")[0].as_py()
+    ids, comp, n = (block.column(c).to_numpy() for c in ("set_id", "component", "n"))
+    sketch = _sketches(block.column("sketch").combine_chunks())
+    sets, at = _six(block.column("members").combine_chunks())
+    bands = sketch.reshape(len(sketch), -1, BAND)
+    inner = np.flatnonzero(~outer)
+    comp = comp.copy()  # components that a link joins become one
+    us, vs = [], []
+    for x in np.flatnonzero(outer).tolist():
+        y = inner[comp[inner] != comp[x]]
+        y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
+        # a pair belongs to the first band that it shares
+        y = y[np.argmax((bands[y] == bands[x]).all(axis=2), axis=1) == band]
+        if not len(y):
+            continue
+        like = estimate(np.broadcast_to(sketch[x], (len(y), REGISTERS)), sketch[y], np.full(len(y), float(n[x])), n[y].astype(float))
+        order = np.argsort(-like, kind="stable")
+        y = y[order[like[order] >= _lowest(percent)]]
+        own = sets[at[x] : at[x + 1]]
+        while len(y):
+            some, y = y[:AT_ONCE], y[AT_ONCE:]
+            size = at[some + 1] - at[some]
+            ends = np.cumsum(size)
+            theirs = sets[np.arange(ends[-1]) + np.repeat(at[some] - (ends - size), size)]
+            place = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+            common = np.add.reduceat((own[place] == theirs).astype(np.int64), ends - size)
+            for z in some[100 * common >= percent * (len(own) + size - common)].tolist():
+                if comp[z] != comp[x]:
+                    us.append(ids[x])
+                    vs.append(ids[z])
+                    comp[comp == comp[z]] = comp[x]
+            y = y[comp[y] != comp[x]]
+    return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -273,18 +310,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = written(classes, "set-classes")
     buckets = written(band_rows(classes).groupBy("key").agg(F.count("*").alias("size"), F.min("set_id").alias("pivot")).where("size > 1"), "set-buckets")
     members = written(band_rows(classes).join(buckets.select("key", "pivot"), "key"), "set-members")
-    star = members.where("set_id <> pivot").select(F.col("set_id").alias("u"), F.col("pivot").alias("v")).distinct()
-    links = written(_verified(docs, written(_likely(star, classes, percent), "star-pairs"), k, percent), "star-links")
-    linked = written(components(links), "star-components")
-    named = members.join(linked.withColumnRenamed("node", "set_id"), "set_id", "left").select(
-        "key", "set_id", F.coalesce("component", "set_id").alias("component")
-    )
-    left = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    rest = written(named.join(left, "key", "left_semi"), "members-left").join(classes.select("set_id", "n", "sketch"), "set_id")
-    pairs = written(_left_over(rest, percent).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "rest-pairs")
-    if pairs.limit(1).count():
-        links = links.unionByName(_verified(docs, pairs, k, percent))
+    found = full_sets(docs, members, k)
+    pairs = members.where("set_id <> pivot").select(F.col("set_id").alias("u"), F.col("pivot").alias("v")).distinct()
+    links = None
+    for turn in range(PIVOTS + 1):
+        new = written(_verified(written(_likely(pairs, classes, percent), "pivot-pairs"), found, percent), "pivot-links")
+        links = new if links is None else links.unionByName(new)
         linked = written(components(links), "set-components")
+        named = members.join(linked.withColumnRenamed("node", "set_id"), "set_id", "left").select(
+            "key", "band", "set_id", F.coalesce("component", "set_id").alias("component")
+        )
+        drawn = F.min_by(F.struct("set_id", "component"), F.xxhash64("set_id", F.lit(turn))).alias("pivot")
+        left = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), drawn).where("a <> b").select("key", "pivot")
+        rest = written(named.join(written(left, "pivots"), "key"), "members-left")
+        if not rest.limit(1).count():
+            break
+        if turn < PIVOTS:
+            pairs = rest.where("component <> pivot.component").select(F.greatest("set_id", "pivot.set_id").alias("u"), F.least("set_id", "pivot.set_id").alias("v")).distinct()
+    else:
+        last = rest.drop("pivot").join(classes.select("set_id", "n", "sketch"), "set_id").join(found, "set_id")
+        linked = written(components(links.unionByName(written(_left_over(last, percent), "rest-links"))), "set-components")
     of_class = classes.join(linked.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "rep", F.coalesce("component", "set_id").alias("component"))
     of_class = written(of_class, "class-components")
     name = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
