@@ -216,12 +216,15 @@ class HashArray:
     def __init__(self, keys: np.ndarray, *values: np.ndarray):
         hashes = mix(keys)
         order = np.argsort(hashes)
-        self.hashes = hashes[order]
+        if len(order) < 1 << 31:
+            order = order.astype(np.int32)
         self.values = [v[order] for v in values]
+        self.hashes = np.take(hashes, order)
+        del hashes, order
         self.bits = max(1, int(len(keys) - 1).bit_length() if len(keys) > 1 else 1)
-        top = np.arange((1 << self.bits) + 1, dtype=np.uint64)
-        slots = self.hashes >> U64(64 - self.bits)
-        self.first = np.searchsorted(slots, top).astype(np.int32 if len(keys) < 1 << 31 else np.int64)
+        counts = np.bincount((self.hashes >> U64(64 - self.bits)).astype(np.int64), minlength=1 << self.bits)
+        self.first = np.zeros((1 << self.bits) + 1, dtype=np.int32 if len(keys) < 1 << 31 else np.int64)
+        np.cumsum(counts, out=self.first[1:])
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The place of each key, or -1."""
