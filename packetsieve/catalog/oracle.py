@@ -6,7 +6,7 @@ table expression, and a chain of them is one statement.
 
 from __future__ import annotations
 
-from ..operators.isoforest import DRAWS, EULER, FEW_ROWS
+from ..operators.isoforest import DRAWS, EULER
 from ..schema import (
     CATEGORICAL,
     CLUSTERS,
@@ -187,16 +187,16 @@ def _forest(rows: str) -> list[tuple[str, str]]:
         (
             "draws",
             "SELECT tree, position, min(draw) AS draw FROM (SELECT tree, d.range AS draw, "
+            f"CASE WHEN d.range < {DRAWS} THEN "
             f"CAST(floor({_uniform(f"concat('{SEED}|', tree, '|', d.range)")} * n) AS BIGINT) "
-            f"AS position FROM trees, range({DRAWS}) d, total) GROUP BY 1, 2",
+            f"ELSE d.range - {DRAWS} END AS position "
+            f"FROM trees, total, range({DRAWS + SAMPLE_PER_TREE}) d "
+            f"WHERE d.range < {DRAWS} + least(n, {SAMPLE_PER_TREE})) GROUP BY 1, 2",
         ),
         (
             "sample",
             f"SELECT tree, row_id FROM (SELECT tree, position, {place} draw) AS place FROM draws) "
-            f"JOIN positions USING (position), total WHERE place <= {SAMPLE_PER_TREE} AND n >= {FEW_ROWS} "
-            f"UNION ALL SELECT tree, row_id FROM (SELECT tree, row_id, {place} "
-            f"md5(concat('{SEED}|', tree, '|', row_id)), row_id) AS place "
-            f"FROM trees, positions, total WHERE n < {FEW_ROWS}) WHERE place <= {SAMPLE_PER_TREE}",
+            f"JOIN positions USING (position) WHERE place <= {SAMPLE_PER_TREE}",
         ),
         ("long", long),
         ("size", "SELECT max(c) AS sample, ceil(log2(greatest(max(c), 2))) AS depth FROM "
@@ -548,13 +548,23 @@ ORACLES = {
     "training_log_latest": _with(
         [
             PHASES,
+            (
+                "starts",
+                f"SELECT {VIEW_DAY} AS entry, max(event_id) FILTER (event_type = 'signup') AS start "
+                "FROM events GROUP BY 1",
+            ),
+            (
+                "current",
+                f"SELECT {VIEW_DAY} AS entry, e.* FROM events e JOIN starts s ON s.entry = "
+                f"{VIEW_DAY} WHERE start IS NULL OR event_id >= start",
+            ),
             (
                 "fields",
-                f"SELECT {VIEW_DAY} AS entry, "
-                "arg_max(event_type, event_id) FILTER (event_type <> 'view') AS status, "
+                "SELECT entry, arg_max(CASE event_type WHEN 'signup' THEN 'running' ELSE event_type "
+                "END, event_id) FILTER (event_type <> 'view') AS status, "
                 "arg_max(user_id, event_id) FILTER (event_id % 3 = 0) AS num_rows, "
                 "arg_max(value, event_id) FILTER (event_type = 'purchase') AS elapsed_sec "
-                "FROM events GROUP BY 1",
+                "FROM current GROUP BY 1",
             ),
         ],
         "SELECT entry, status, num_rows, elapsed_sec, phase, phase_status, phase_sec "

@@ -33,6 +33,7 @@ from ..operators.kmeans import (
 )
 from ..operators.ordering import ordered_index
 from ..operators.runs import (
+    RUNNING,
     error_durations,
     latest_phases,
     latest_runs,
@@ -526,7 +527,9 @@ def _training_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select(
         F.col("ts").cast("date").cast("string").alias("entry"),
         F.col("event_id").alias("seq"),
-        F.when(F.col("event_type") != "view", F.col("event_type")).alias("status"),
+        F.when(F.col("event_type") == "signup", RUNNING)
+        .when(F.col("event_type") != "view", F.col("event_type"))
+        .alias("status"),
         F.when(F.col("event_id") % 3 == 0, F.col("user_id")).alias("num_rows"),
         F.when(F.col("event_type") == "purchase", F.col("value")).alias("elapsed_sec"),
         F.create_map(F.col("event_type"), state).alias("phases"),

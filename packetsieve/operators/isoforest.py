@@ -16,12 +16,9 @@ from .ordering import ordered_index
 
 SCORE = "iso_score"
 FLAG = "is_anomaly"
-# Draws per tree before repeats are dropped.
-DRAWS = 400
-# Below this many rows the draws could run short, and rows are ranked by hash instead.
-FEW_ROWS = 1000
+# Hashed draws per tree before repeats are dropped; the first positions follow as later draws.
+DRAWS = 4096
 EULER = 0.5772156649
-MAX_TREES = 1000
 # Rows that take a step together.
 SLICE = 8192
 LEAF = -1
@@ -50,38 +47,32 @@ def mean_depth(n: int) -> float:
 
 
 def sample_rows(features: DataFrame, trees: int, seed: int = SEED) -> DataFrame:
-    """``(tree, row_id)``: up to 256 different rows per tree, uniform over the input.
+    """``(tree, row_id)``: min(n, 256) different rows per tree, uniform over the input.
 
-    Tree ``t`` draws row numbers by hash, so the input is read once and not once
-    per tree. The draws are at most ``trees * DRAWS`` rows and are broadcast.
+    One rule for every n: a tree draws row numbers by hash, then takes the
+    positions from 0 on as later draws; the first occurrences count. The input is
+    read once and not once per tree. At most ``trees * 256`` rows are broadcast.
     """
     spark = features.sparkSession
     ids = features.select(ROW_ID)
     n = ids.count()
-    tree_numbers = F.sequence(F.lit(0), F.lit(trees - 1))
-    if n <= SAMPLE_PER_TREE:
-        return ids.select(F.explode(tree_numbers).alias("tree"), ROW_ID)
-    by_tree = Window.partitionBy("tree")
-    if n < FEW_ROWS:
-        key = F.md5(F.concat_ws("|", F.lit(seed), "tree", ROW_ID))
-        ranked = ids.select(F.explode(tree_numbers).alias("tree"), ROW_ID).withColumn(
-            "_rank", F.row_number().over(by_tree.orderBy(key, ROW_ID))
-        )
-        return ranked.where(F.col("_rank") <= SAMPLE_PER_TREE).select("tree", ROW_ID)
+    size = min(n, SAMPLE_PER_TREE)
+    by_tree = Window.partitionBy("tree").orderBy("_draw")
+    hashed = F.floor(uniform(F.concat_ws("|", F.lit(seed), "tree", "_draw")) * F.lit(n))
+    every = DRAWS + size
     draws = (
-        spark.range(trees * DRAWS)
+        spark.range(trees * every)
         .select(
-            F.floor(F.col("id") / DRAWS).cast("int").alias("tree"),
-            (F.col("id") % DRAWS).alias("_draw"),
+            F.floor(F.col("id") / every).cast("int").alias("tree"),
+            (F.col("id") % every).alias("_draw"),
         )
         .withColumn(
-            "position",
-            F.floor(uniform(F.concat_ws("|", F.lit(seed), "tree", "_draw")) * F.lit(n)),
+            "position", F.when(F.col("_draw") < DRAWS, hashed).otherwise(F.col("_draw") - DRAWS)
         )
         .groupBy("tree", "position")
         .agg(F.min("_draw").alias("_draw"))
-        .withColumn("_rank", F.row_number().over(by_tree.orderBy("_draw")))
-        .where(F.col("_rank") <= SAMPLE_PER_TREE)
+        .withColumn("_rank", F.row_number().over(by_tree))
+        .where(F.col("_rank") <= size)
         .select("tree", "position")
     )
     return (
@@ -195,10 +186,7 @@ def mean_path(matrix: np.ndarray, depth: int, feature, threshold, path) -> np.nd
 
 
 def collect_forest(forest: DataFrame) -> list:
-    """The nodes on the driver: at most 511 per tree, and the trees are counted first."""
-    trees = forest.agg(F.count_distinct("tree")).first()[0]
-    if trees > MAX_TREES:
-        raise ValueError(f"{trees} trees exceed the limit of {MAX_TREES}")
+    """The nodes on the driver: at most 511 per tree, about 12 kB."""
     return forest.select("tree", "node", "feature", "threshold", "depth", "n_samples").collect()
 
 

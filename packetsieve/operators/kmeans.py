@@ -24,10 +24,6 @@ DISTANCE = "kmeans_distance"
 BLOCK_SCHEMA = "ids binary, matrix binary"
 # Rows that a pass handles at a time.
 SLICE = 1024
-# Rows of the sample on which starting centres settle before the passes over all rows.
-SAMPLE_ROWS = 1 << 17
-# Up to this many tasks, their few rows go to the driver without a grouped sum.
-FEW_TASKS = 64
 
 
 # Assignment
@@ -78,7 +74,6 @@ class Blocks:
     variance: float
     rows: int
     columns: tuple[str, ...]
-    few: bool
 
 
 @contextmanager
@@ -113,8 +108,7 @@ def packed(features: DataFrame, columns=FEATURES) -> Iterator[Blocks]:
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     try:
-        few = table.rdd.getNumPartitions() <= FEW_TASKS
-        yield Blocks(table, mean, variance, shape["n"], columns, few)
+        yield Blocks(table, mean, variance, shape["n"], columns)
     finally:
         table.unpersist()
 
@@ -202,15 +196,8 @@ def _draw_next(blocks: Blocks, chosen: np.ndarray, seeds: list[int]) -> np.ndarr
             )
 
     winners = blocks.table.mapInArrow(race, "restart int, time double, point array<double>")
-    if not blocks.few:
-        winners = (
-            winners.groupBy("restart")
-            .agg(F.min(F.struct("time", "point")).alias("first"))
-            .select("restart", "first.*")
-        )
-    points = {}
-    for w in sorted(winners.collect(), key=lambda w: (w["time"], w["point"]), reverse=True):
-        points[w["restart"]] = w["point"]
+    winners = winners.groupBy("restart").agg(F.min(F.struct("time", "point")).alias("first"))
+    points = {w["restart"]: w["first"]["point"] for w in winners.collect()}
     new = np.array([[points[r]] for r in range(len(seeds))])
     return np.concatenate([chosen, new], axis=1)
 
@@ -250,50 +237,6 @@ def _shift(moved: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((moved - centres) ** 2).sum(axis=(1, 2))
 
 
-def settle_on_sample(
-    blocks: Blocks, centres: np.ndarray, limit: float, max_iter: int
-) -> np.ndarray:
-    """Centres of each restart after they settle on a uniform sample of the rows.
-
-    This only moves the starting point, so that fewer passes over all rows
-    remain. The sample has a fixed expected size; each restart is one task.
-    """
-    restarts, _, width = centres.shape
-    share = SAMPLE_ROWS / blocks.rows
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, matrix in _matrices(batches, width):
-            chosen = matrix[_uniform(ids, 0) <= share]
-            yield pa.RecordBatch.from_arrays([pa.array([chosen.tobytes()])], ["matrix"])
-
-    parts = blocks.table.mapInArrow(pick, "matrix binary").toArrow()["matrix"].to_pylist()
-    spark = blocks.table.sparkSession
-    shared = spark.sparkContext.broadcast(np.frombuffer(b"".join(parts)).reshape(-1, width))
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample = shared.value
-        for batch in batches:
-            for r in batch.column(0).to_pylist():
-                moving = centres[r : r + 1]
-                for _ in range(max_iter):
-                    slices = (sample[i : i + SLICE] for i in range(0, len(sample), SLICE))
-                    sums, counts, _ = _totals(slices, moving)
-                    moved = _means(sums, counts, moving)
-                    shift, moving = _shift(moved, moving)[0], moved
-                    if shift <= limit:
-                        break
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r]), pa.array([moving.tobytes()])], ["id", "centres"]
-                )
-
-    settled = centres.copy()
-    tasks = spark.range(0, restarts, 1, restarts)
-    for row in tasks.mapInArrow(settle, "id long, centres binary").collect():
-        settled[row["id"]] = np.frombuffer(row["centres"]).reshape(centres.shape[1:])
-    shared.destroy()
-    return settled
-
-
 def lloyd_pass(blocks: Blocks, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Means of the rows nearest to each centre, and each restart's cost before the move.
 
@@ -320,11 +263,8 @@ def lloyd_pass(blocks: Blocks, centres: np.ndarray) -> tuple[np.ndarray, np.ndar
         + [f"{c} double" for c in sum_columns]
     )
     totals = blocks.table.mapInArrow(reduce, schema)
-    if not blocks.few:
-        measures = ["n", "cost", *sum_columns]
-        totals = totals.groupBy("restart", "cluster").sum(*measures)
-        totals = totals.toDF("restart", "cluster", *measures)
-    table = totals.toArrow()
+    measures = ["n", "cost", *sum_columns]
+    table = totals.groupBy("restart", "cluster").sum(*measures).toDF("restart", "cluster", *measures).toArrow()
     place = table["restart"].to_numpy() * k + table["cluster"].to_numpy()
     sums = np.zeros((restarts * k, width + 2))
     np.add.at(sums, place, np.column_stack([table[c].to_numpy() for c in table.column_names[2:]]))
@@ -371,8 +311,8 @@ def fit_restarts(
 ) -> list[tuple[float, list]]:
     """Cost and centres of each restart, the lowest cost first.
 
-    Restart ``i`` starts by k-means++ with seed ``seed + i``, settles on a
-    sample, and then moves over all rows until its centres shift by no more
+    Restart ``i`` starts by k-means++ with seed ``seed + i`` and moves over all
+    rows until its centres shift by no more
     than ``tol`` times the mean variance of the features. Restarts that stand
     still leave the later passes.
     """
@@ -381,7 +321,6 @@ def fit_restarts(
             raise ValueError(f"{blocks.rows} rows cannot form {k} clusters")
         limit = tol * blocks.variance
         centres = kmeans_plus_plus(blocks, k, [seed + i for i in range(restarts)])
-        centres = settle_on_sample(blocks, centres, limit, max_iter)
         active = np.arange(restarts)
         for _ in range(max_iter):
             moved, _ = lloyd_pass(blocks, centres[active])

@@ -24,6 +24,10 @@ TRAINING_FIELDS = (
 )
 
 
+#: The status that a training starts with.
+RUNNING = "running"
+
+
 def next_seq() -> int:
     return time.time_ns()
 
@@ -65,10 +69,14 @@ def latest_phases(events: DataFrame) -> DataFrame:
 def latest_training(events: DataFrame, fields=TRAINING_FIELDS) -> DataFrame:
     """State of each training: later fields win, phases merge by name.
 
-    Events combine before the shuffle, so an entry with very many of them is no
-    hot group. A log has a handful of phase names.
+    A start (status "running") clears the fields of the run before it; phases
+    merge over all runs. Events combine before the shuffle, so an entry with very
+    many of them is no hot group. A log has a handful of phase names.
     """
-    state = events.groupBy("entry").agg(*[_newest(f, "seq") for f in fields])
+    starts = events.where(F.col("status") == RUNNING).groupBy("entry")
+    starts = starts.agg(F.max("seq").alias("_start"))
+    current = events.join(starts, "entry", "left").where("_start IS NULL OR seq >= _start")
+    state = current.groupBy("entry").agg(*[_newest(f, "seq") for f in fields])
     phases = (
         latest_phases(events)
         .groupBy("entry")

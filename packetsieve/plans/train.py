@@ -12,7 +12,7 @@ from ..operators.encoding import fit_vocab
 from ..operators.features import feature_matrix, stage_packets
 from ..operators.isoforest import fit_forest
 from ..operators.kmeans import fit_kmeans
-from ..operators.runs import append_event
+from ..operators.runs import RUNNING, append_event
 from ..operators.scaling import fit_scaler
 from ..schema import DEFAULT_MODE, MODES, TRAINING_LOG_SCHEMA
 from ..session import scratch_path, scratch_scope
@@ -38,7 +38,8 @@ class _Phases:
     def event(self, **fields) -> None:
         append_event(self.spark, self.path, TRAINING_LOG_SCHEMA, entry=self.entry, **fields)
 
-    def run(self, name: str, work):
+    def run(self, name: str, work, done: bool = True):
+        """Do ``work`` as a phase; with ``done`` false only a failure of it is logged."""
         began = time.perf_counter()
         try:
             result = work()
@@ -50,7 +51,8 @@ class _Phases:
                 finished_at=datetime.now().isoformat(),
             )
             raise
-        self.event(phases={name: ("done", time.perf_counter() - began)})
+        if done:
+            self.event(phases={name: ("done", time.perf_counter() - began)})
         return result
 
 
@@ -100,20 +102,27 @@ def train_rows(
     log = _Phases(spark, f"{store}/training_log", name)
 
     with scratch_scope(spark):
-        packets = stage_packets(captured, time_format=time_format)
-        rows = packets.count()
         log.event(
             folder_name=name,
             mode=mode,
-            status="running",
-            num_rows=rows,
+            status=RUNNING,
             n_features=width,
             started_at=datetime.now().isoformat(),
             phases={"inicio": ("done", 0.0)},
         )
+        # A failure while staging is one of the preprocessor, and is logged as such.
+        packets = log.run(
+            "preprocessor", lambda: stage_packets(captured, time_format=time_format), done=False
+        )
+        rows = packets.count()
+        log.event(num_rows=rows)
         tables = fit_tables(packets, settings["restarts"], settings["trees"], log.run)
         trained_at = datetime.now().isoformat()
-        info = save_model(store, tables, name, mode, applied, trained_at, rows, width)
+        info = log.run(
+            "save",
+            lambda: save_model(store, tables, name, mode, applied, trained_at, rows, width),
+            done=False,
+        )
     log.event(
         status="done",
         finished_at=datetime.now().isoformat(),

@@ -7,6 +7,7 @@ from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ def list_captures(spark: SparkSession, pattern: str) -> DataFrame:
     """``(path, file_name)`` of the files under a path pattern; contents are not read."""
     # An aggregated or filtered listing of this source never loads ``content``.
     files = spark.read.format("binaryFile").load(pattern)
-    return files.select("path", capture_file_name(F.col("path")).alias(FILE_NAME))
+    return files.select("path", capture_file_name(F.col("_metadata.file_path")).alias(FILE_NAME))
 
 
 def _within(date: Column, start, end) -> Column:
@@ -59,7 +60,7 @@ def prune_lenient(files: DataFrame, start, end) -> DataFrame:
 def _header_line(spark: SparkSession, path: str) -> str | None:
     """First line of a file, through the file system Spark reads it with."""
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path))
+    target = jvm.org.apache.hadoop.fs.Path(path)
     stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(target)
     try:
         return jvm.java.io.BufferedReader(
@@ -69,6 +70,12 @@ def _header_line(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def _is_read_error(spark: SparkSession, error: Py4JJavaError) -> bool:
+    return spark.sparkContext._jvm.java.lang.Class.forName("java.io.IOException").isInstance(
+        error.java_exception
+    )
+
+
 def _by_header(
     spark: SparkSession, paths: list[str], skip_bad: bool, same_header: bool
 ) -> dict[tuple[str, ...], list[str]]:
@@ -80,8 +87,8 @@ def _by_header(
     def names(path: str) -> tuple[str, ...] | None:
         try:
             line = _header_line(spark, path)
-        except Exception:
-            if skip_bad:
+        except Py4JJavaError as error:
+            if skip_bad and _is_read_error(spark, error):
                 return None
             raise
         return tuple(next(csv.reader([line.lstrip("\ufeff")]))) if line else None
@@ -97,21 +104,62 @@ def _by_header(
     return groups
 
 
-def _read(spark: SparkSession, paths: list[str], header, skip_bad: bool) -> DataFrame:
+RAW_RECORD = "_raw_record"
+
+
+def _is_broken(header: tuple[str, ...]) -> Column:
+    """Records with more fields than the header, or cut off by a line break in quotes.
+
+    Spark keeps the text of records whose fields are not as many as the header's;
+    one with fewer is right and has nulls at its end.
+    """
+    raw = F.col(RAW_RECORD)
+    fields = ", ".join(f"c{i} string" for i in range(len(header) + 1))
+    # No text equals this null value, so a field is null only where it is missing.
+    parsed = F.from_csv(raw, fields, {"escape": '"', "nullValue": "\x01"})
+    quotes = F.length(raw) - F.length(F.replace(raw, F.lit('"'), F.lit("")))
+    broken = parsed[f"c{len(header)}"].isNotNull() | (quotes % 2 == 1)
+    # Spark refuses to read nothing but the raw text, so a column is named as well.
+    looked_at = raw.isNotNull() | F.col(f"`{header[0]}`").eqNullSafe(F.lit("\x01"))
+    return F.when(looked_at, F.coalesce(broken, F.lit(False))).otherwise(False)
+
+
+def _scan(spark: SparkSession, paths: list[str], header, multi_line: bool) -> DataFrame:
+    """Raw rows with ``file_name`` and the mark ``_broken``."""
     rows = (
-        spark.read.schema(text_schema(header))
+        spark.read.schema(text_schema([*header, RAW_RECORD]))
         .option("header", True)
         .option("enforceSchema", False)
         .option("escape", '"')
-        .option("ignoreCorruptFiles", skip_bad)
+        .option("columnNameOfCorruptRecord", RAW_RECORD)
+        # A pruned parse does not count the fields of a record.
+        .option("columnPruning", False)
+        .option("multiLine", multi_line)
         .csv(paths)
     )
     return rows.select(
         *[null_spellings_to_null(F.col(f"`{c}`")).alias(c) for c in header],
         capture_file_name(F.col("_metadata.file_path")).alias(FILE_NAME),
+        _is_broken(header).alias("_broken"),
     )
 
 
+def _checked(rows: DataFrame) -> DataFrame:
+    """The rows; a broken record fails the job with the name of its file."""
+    message = F.concat(F.lit("a record does not fit the header in "), F.col(FILE_NAME))
+    fits = F.when(F.col("_broken"), F.raise_error(message).cast("boolean")).otherwise(True)
+    return rows.where(fits).drop("_broken")
+
+
+def _without_broken_files(
+    spark: SparkSession, paths: list[str], header, multi_line: bool
+) -> DataFrame:
+    """Rows of the files that have no broken record; the others are left out whole."""
+    rows = _scan(spark, paths, header, multi_line)
+    broken = rows.where("_broken").select(FILE_NAME).distinct()
+    return rows.drop("_broken").join(broken, FILE_NAME, "left_anti").select(*header, FILE_NAME)
+
+
 def union_by_name(parts: list[DataFrame]) -> DataFrame:
     """All rows of all parts; a column that a part lacks is null there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -123,14 +171,18 @@ def read_captures(
     on_empty: str = "raise",
     skip_bad: bool = False,
     same_header: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame | None:
     """Rows of the listed captures as text, plus ``file_name``.
 
     Files are read per distinct header, so a column keeps its name whatever its
     place in the file. For very many files, ``same_header`` trusts that they
     all have the first one's header, which the scan itself then checks: another
-    header fails the job. Without any file the result is an error, or None for
-    ``on_empty="skip"``. The driver holds one path per file, as every Spark
+    header fails the job. A record that is longer than the header, or that a line
+    break in quotes cuts off, fails the job; with ``skip_bad`` its whole file is
+    left out, as are files that cannot be opened. ``multi_line`` allows line
+    breaks in quotes, at the price of one task per file. Without any file the
+    result is an error, or None for ``on_empty="skip"``. The driver holds one path per file, as every Spark
     read does.
     """
     paths = sorted(r["path"] for r in files.select("path").collect())
@@ -139,21 +191,39 @@ def read_captures(
         if on_empty == "skip":
             return None
         raise FileNotFoundError("no captures in that range")
-    return union_by_name([_read(spark, p, header, skip_bad) for header, p in groups.items()])
+    if skip_bad:
+        parts = [_without_broken_files(spark, p, h, multi_line) for h, p in groups.items()]
+    else:
+        parts = [_checked(_scan(spark, p, h, multi_line)) for h, p in groups.items()]
+    return union_by_name(parts)
 
 
 def training_captures(
-    spark: SparkSession, pattern: str, start=None, end=None, same_header: bool = False
+    spark: SparkSession,
+    pattern: str,
+    start=None,
+    end=None,
+    same_header: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame | None:
     """Captures for training: strict names, None when there are none or they hold no row."""
     files = prune_strict(list_captures(spark, pattern), start, end)
-    rows = read_captures(spark, files, "skip", same_header=same_header)
+    rows = read_captures(
+        spark, files, "skip", same_header=same_header, multi_line=multi_line
+    )
     return None if rows is None or rows.isEmpty() else rows
 
 
 def captures_in_range(
-    spark: SparkSession, pattern: str, start, end, same_header: bool = False
+    spark: SparkSession,
+    pattern: str,
+    start,
+    end,
+    same_header: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Captures for scoring: lenient names and files, an error when there are none."""
     files = prune_lenient(list_captures(spark, pattern), start, end)
-    return read_captures(spark, files, "raise", skip_bad=True, same_header=same_header)
+    return read_captures(
+        spark, files, "raise", skip_bad=True, same_header=same_header, multi_line=multi_line
+    )

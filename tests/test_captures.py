@@ -92,6 +92,32 @@ def test_empty_input(spark, folder):
     assert training_captures(spark, f"{folder}/*.csv", "2025-01-01", "2025-01-01") is None
 
 
+def test_odd_names_broken_records_and_line_breaks(spark, tmp_path):
+    header = list(RAW_COLUMNS)
+    good = row(header, ip_src="good")
+    write(tmp_path, "a b%20c_2024-01-01_x 5%.csv", header, good, good[:5])
+    write(tmp_path, "long_2024-01-02_x.csv", header, good, [*good, "more"], good)
+    write(tmp_path, "quoted_2024-01-03_x.csv", header, row(header, ip_src='"two\nlines"'), good)
+    ranged = captures_in_range(spark, f"{tmp_path}/*.csv", "2024-01-01", "2024-01-03")
+    rows = ranged.collect()
+    assert ranged.count() == len(rows) == 2
+    assert {r["file_name"] for r in rows} == {"a b%20c_2024-01-01_x 5%.csv"}
+    for day in ("02", "03"):
+        with pytest.raises(Exception, match="does not fit the header"):
+            training_captures(spark, f"{tmp_path}/*.csv", f"2024-01-{day}", f"2024-01-{day}").collect()
+    whole = training_captures(
+        spark, f"{tmp_path}/*.csv", "2024-01-03", "2024-01-03", multi_line=True
+    )
+    assert sorted(r["ip_src"] for r in whole.collect()) == ["good", "two\nlines"]
+
+
+def test_another_header_fails_also_in_scoring(spark, folder):
+    with pytest.raises(Exception, match="(?i)header"):
+        captures_in_range(
+            spark, f"{folder}/*.csv", "2024-01-01", "2024-01-04", same_header=True
+        ).collect()
+
+
 def test_required_columns(spark):
     columns = [c for c in RAW_COLUMNS if c != "timestamp"]
     df = spark.createDataFrame([["v"] * len(columns)], columns)

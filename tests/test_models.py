@@ -60,10 +60,7 @@ def test_lloyd_rounds_against_numpy(spark):
     assert np.allclose([c for _, c in got], want)
 
 
-@pytest.mark.parametrize("few", [0, 64])
-def test_restarts_find_the_blobs(spark, monkeypatch, few):
-    monkeypatch.setattr(kmeans, "FEW_TASKS", few)
-    monkeypatch.setattr(kmeans, "SAMPLE_ROWS", 200)
+def test_restarts_find_the_blobs(spark):
     x = blobs(400)
     fits = fit_restarts(features_of(spark, x), 4)
     costs = [cost for cost, _ in fits]

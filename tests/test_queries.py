@@ -5,20 +5,10 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from packetsieve.catalog import ORACLES, QUERIES
 from tools.check_queries import difference
 
 TABLES = "/root/testdata/sf0.001"
-# The other fitted queries share their steps with these.
-SLOW = {
-    "kmeans_assign",
-    "isoforest_flag",
-    "score_report_json",
-    "train_small",
-    "analyse_range",
-    "ordinal_encode",
-    "scaler_transform",
-}
-
 
 @pytest.fixture(scope="module")
 def database():
@@ -29,15 +19,16 @@ def database():
     return db
 
 
-@pytest.mark.parametrize("name", sorted(set(oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, database, name):
-    got = queries()[name](spark, TABLES).toPandas()
+    got = QUERIES[name](spark, TABLES).toPandas()
     assert len(got) > 0
-    assert difference(got, database.execute(oracle_sql()[name]).df()) is None
+    assert difference(got, database.execute(ORACLES[name]).df()) is None
 
 
 def test_only_the_k_means_fit_has_no_sql():
-    assert set(queries()) - set(oracle_sql()) == {"kmeans_fit"}
+    assert set(QUERIES) - set(ORACLES) == {"kmeans_fit"}
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 
 def test_entry(spark):
