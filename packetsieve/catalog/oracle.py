@@ -22,6 +22,8 @@ from .packets import PACKETS_SELECT, SHORT_END, TRAIN_END, TRAIN_START
 
 TREES = MODES["low"]["trees"]
 ROUNDS = 4
+# Rounds after which the compared k-means fit ends at the latest.
+FIT_ROUNDS = 12
 LEVELS = 8
 
 
@@ -166,6 +168,92 @@ def _lloyd(rows: str, rounds: int) -> list[tuple[str, str]]:
     return steps
 
 
+def _mixed(expr: str) -> str:
+    """The hash behind a starting draw, as an unsigned 64-bit integer."""
+    x = f"(({expr})::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT"
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (
+            f"((xor({x}, {x} >> {shift})::UHUGEINT * {factor}::UHUGEINT) "
+            "% 18446744073709551616::UHUGEINT)::UBIGINT"
+        )
+    return x
+
+
+def _restarts(rows: str, restarts: int, rounds: int) -> list[tuple[str, str]]:
+    """k-means++ draws of all restarts, then rounds in which a restart at rest stays."""
+    columns = ", ".join(f"m.{c}" for c in FEATURES)
+    variance = " + ".join(f"var_pop({c})" for c in FEATURES)
+    steps = [
+        ("tries", f"SELECT CAST(range AS INTEGER) AS restart FROM range({restarts})"),
+        ("still", f"SELECT 1e-4 * ({variance}) / {len(FEATURES)} AS limit_ FROM {rows}"),
+    ]
+    for t in range(CLUSTERS):
+        salt = f"((({SEED} + restart) * 1000 + {t})::UHUGEINT * 11400714819323198485::UHUGEINT)"
+        first = _mixed(f"row_id::UHUGEINT + {salt} % 18446744073709551616::UHUGEINT")
+        steps.append((f"hash{t}", f"SELECT row_id, restart, {first} AS h FROM {rows}, tries"))
+        uniform = "((xor(h, h >> 31) >> 11)::DOUBLE + 1.0) / 9007199254740992.0"
+        if t:
+            steps.append(
+                (
+                    f"weight{t}",
+                    f"SELECT m.row_id, c.restart, min({SQUARED}) AS w "
+                    f"FROM {rows} m, chosen{t - 1} c GROUP BY 1, 2",
+                )
+            )
+            race = f"SELECT row_id, restart, -ln({uniform}) / nullif(w, 0) AS t FROM hash{t} JOIN weight{t} USING (row_id, restart)"
+        else:
+            race = f"SELECT row_id, restart, -ln({uniform}) AS t FROM hash{t}"
+        won = (
+            f"SELECT restart, {t} AS cluster, {columns} FROM (SELECT restart, "
+            f"arg_min(row_id, t) AS row_id FROM ({race}) GROUP BY 1) JOIN {rows} m USING (row_id)"
+        )
+        before = f"SELECT * FROM chosen{t - 1} UNION ALL " if t else ""
+        steps.append((f"chosen{t}", before + won))
+    steps.append(("try0", f"SELECT *, false AS done FROM chosen{CLUSTERS - 1}"))
+    near = (
+        f"SELECT row_id, restart, cluster, d2 FROM (SELECT m.row_id, c.restart, c.cluster, "
+        f"{SQUARED} AS d2, row_number() OVER (PARTITION BY m.row_id, c.restart "
+        f"ORDER BY {SQUARED}, c.cluster) AS place FROM {rows} m, {{}} c) WHERE place = 1"
+    )
+    means = ", ".join(f"avg(m.{c}) AS {c}" for c in FEATURES)
+    moved = ", ".join(
+        f"CASE WHEN c.done THEN c.{c} ELSE coalesce(a.{c}, c.{c}) END AS {c}" for c in FEATURES
+    )
+    gap = " + ".join(f"(n.{c} - c.{c}) * (n.{c} - c.{c})" for c in FEATURES)
+    kept = ", ".join(f"n.{c}" for c in FEATURES)
+    for i in range(rounds):
+        steps += [
+            (f"near{i}", near.format(f"try{i}")),
+            (
+                f"mean{i}",
+                f"SELECT n.restart, n.cluster, {means} FROM near{i} n "
+                f"JOIN {rows} m USING (row_id) GROUP BY 1, 2",
+            ),
+            (
+                f"moved{i}",
+                f"SELECT c.restart, c.cluster, {moved} FROM try{i} c "
+                f"LEFT JOIN mean{i} a USING (restart, cluster)",
+            ),
+            (
+                f"shift{i}",
+                f"SELECT restart, sum({gap}) AS shift FROM moved{i} n "
+                f"JOIN try{i} c USING (restart, cluster) GROUP BY 1",
+            ),
+            (
+                f"try{i + 1}",
+                f"SELECT restart, n.cluster, {kept}, shift <= limit_ AS done FROM moved{i} n "
+                f"JOIN shift{i} USING (restart), still",
+            ),
+        ]
+    steps.append(
+        (
+            "costs",
+            f"SELECT restart, round(sum(d2), 3) AS cost FROM ({near.format(f'try{rounds}')}) GROUP BY 1",
+        )
+    )
+    return steps
+
+
 def _uniform(text: str) -> str:
     return f"(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
 
@@ -508,6 +596,12 @@ ORACLES = {
         [PACKETS],
         f"SELECT count(*) AS num_rows, CAST({len(RAW_COLUMNS)} AS INTEGER) AS n_features FROM packets",
     ),
+    "kmeans_fit": _with(
+        [*WHOLE_MATRIX, *_restarts("known", MODES["low"]["restarts"], FIT_ROUNDS)],
+        "SELECT restart, cost + 0.0 AS cost, cost <= (SELECT min(cost) FROM costs) AS is_best, "
+        f"CAST(cluster AS INTEGER) AS cluster, {', '.join(_r(f'{c} + 1e-9', c) for c in FEATURES)} "
+        f"FROM try{FIT_ROUNDS} JOIN costs USING (restart)",
+    ),
     "kmeans_lloyd": _with(
         [*WHOLE_MATRIX, *LLOYD_STEPS],
         f"SELECT cluster, {', '.join(_r(c) for c in FEATURES)} FROM centres{ROUNDS}",

@@ -27,7 +27,7 @@ from ..operators.kmeans import (
     DISTANCE,
     assign,
     centroid_table,
-    fit_restarts,
+    restart_fits,
     hashed_start,
     lloyd_rounds,
 )
@@ -77,6 +77,8 @@ from .packets import (
 
 TREES = MODES["low"]["trees"]
 ROUNDS = 4
+# Rounds after which the compared k-means fit ends at the latest.
+FIT_ROUNDS = 12
 
 
 def _r(c: Column | str) -> Column:
@@ -396,16 +398,21 @@ def input_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All restarts, so that the stop rule, the costs and the choice can be compared."""
     features = _written(_whole_matrix(spark, sf_dir))
-    fits = fit_restarts(features, MODES["low"]["restarts"])
+    fits = restart_fits(features, MODES["low"]["restarts"], max_iter=FIT_ROUNDS)
+    least = min(round(cost, 3) for cost, _ in fits)
     rows = [
-        (rank, cost, cost <= min(f[0] for f in fits), k, [float(x) for x in centre])
-        for rank, (cost, centres) in enumerate(fits)
+        (restart, round(cost, 3) + 0.0, round(cost, 3) <= least, k, *[float(x) for x in centre])
+        for restart, (cost, centres) in enumerate(fits)
         for k, centre in centres
     ]
-    return spark.createDataFrame(
-        rows, "cost_rank int, cost double, is_best boolean, cluster int, centre array<double>"
+    columns = ", ".join(f"`{c}` double" for c in FEATURES)
+    table = spark.createDataFrame(
+        rows, f"restart int, cost double, is_best boolean, cluster int, {columns}"
     )
+    # Means of whole numbers can end in an exact half, so the rounding is moved off it.
+    return _rounded(table.withColumns({c: F.col(c) + 1e-9 for c in FEATURES}), FEATURES)
 
 
 def kmeans_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:

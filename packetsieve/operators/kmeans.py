@@ -301,7 +301,7 @@ def centroid_table(spark: SparkSession, centres) -> DataFrame:
     )
 
 
-def fit_restarts(
+def restart_fits(
     features: DataFrame,
     restarts: int,
     k: int = CLUSTERS,
@@ -309,7 +309,7 @@ def fit_restarts(
     max_iter: int = 300,
     tol: float = 1e-4,
 ) -> list[tuple[float, list]]:
-    """Cost and centres of each restart, the lowest cost first.
+    """Cost and centres of each restart, in their order.
 
     Restart ``i`` starts by k-means++ with seed ``seed + i`` and moves over all
     rows until its centres shift by no more
@@ -330,8 +330,12 @@ def fit_restarts(
             if len(active) == 0:
                 break
         _, costs = lloyd_pass(blocks, centres)
-    fits = [(float(costs[i]), _numbered(centres[i] + blocks.mean)) for i in range(restarts)]
-    return sorted(fits, key=lambda f: f[0])
+    return [(float(costs[i]), _numbered(centres[i] + blocks.mean)) for i in range(restarts)]
+
+
+def fit_restarts(features: DataFrame, restarts: int, **options) -> list[tuple[float, list]]:
+    """The same, the lowest cost first."""
+    return sorted(restart_fits(features, restarts, **options), key=lambda f: f[0])
 
 
 def fit_kmeans(features: DataFrame, restarts: int, **options) -> DataFrame:
