@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import written
-from .textbytes import SPACE, HashArray, prefix_hash, slices, span_hash, text_bytes
+from .textbytes import LOWER, SPACE, HashArray, prefix_hash, slices, span_hash, text_bytes
 
-#: Encoded units that are broadcast (about 30 bytes each), the most frequent ones; tasks encode the others
-#: and keep as many of those.
-HEAD_UNITS = 1 << 20
+#: Encoded units that are broadcast (about 25 bytes each), the most frequent ones; tasks encode the others
+#: and keep some of those.
+HEAD_UNITS, KEPT_UNITS = 1 << 22, 1 << 17
 _KIND = np.full(256, 3, dtype=np.uint8)
 _KIND[0x21:0x7F] = 2
 _KIND[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = 1
@@ -47,6 +47,15 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
+def folded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A-Z as a-z, which the tokenizer's normaliser does as well, but for units with ``<`` (special tokens)."""
+    out = LOWER[data]
+    marks = np.flatnonzero(data == ord("<"))
+    for i in np.unique(np.searchsorted(starts, marks, "right") - 1).tolist():
+        out[starts[i] : ends[i]] = data[starts[i] : ends[i]]
+    return out
+
+
 def load(tokenizer: str):
     # tasks fill the cores already, and each thread would keep memory of its own
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,10 +75,11 @@ class UnitCache:
     numbers of ids of units not seen before, and those ids.
     """
 
-    def __init__(self, split, encode_new, head: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
-        self.split, self.encode_new = split, encode_new
-        self.sets = []
-        self.add(*(head or (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))))
+    def __init__(self, split, encode_new, head: tuple[HashArray, np.ndarray] | None = None, fold=None, kept: int = 1 << 20):
+        self.split, self.encode_new, self.fold, self.kept = split, encode_new, fold, kept
+        none = np.zeros(0, np.int32)
+        head, flat = head or (HashArray(none.astype(np.uint64), none, none), none)
+        self.sets = [(head, flat, None, None)]
 
     def add(self, keys: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
         ends = np.cumsum(sizes)
@@ -79,11 +89,13 @@ class UnitCache:
             keys, sizes, flat = (np.concatenate([early[i], late[i]]) for i in (2, 3, 1))
             ends = np.cumsum(sizes)
             self.sets.append((HashArray(keys, (ends - sizes).astype(np.int32), sizes.astype(np.int16 if not len(sizes) or sizes.max() < 1 << 15 else np.int32)), flat, keys, sizes))
-        if sum(len(s[2]) for s in self.sets[1:]) > HEAD_UNITS:
+        if sum(len(s[2]) for s in self.sets[1:]) > self.kept:
             del self.sets[1:]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, first = self.split(data, offsets)
+        if self.fold is not None:
+            data = self.fold(data, starts, ends)
         hashes = span_hash(prefix_hash(data), starts, ends)
         place = np.full(len(hashes), -1, dtype=np.int64)
         which = np.full(len(hashes), -1, dtype=np.int8)
@@ -156,14 +168,20 @@ class UnitTokenizer:
         head = encoded.where(F.log2("n") >= least).select("unit", "ids").toArrow()
         ids = head.column("ids").combine_chunks()
         keys = head.column("unit").to_numpy().view(np.uint64)
-        sizes = np.diff(ids.offsets.to_numpy()).astype(np.int32) if len(keys) else np.zeros(0, np.int64)
-        flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32) if len(keys) else np.zeros(0, np.int32)
+        bounds = ids.offsets.to_numpy() if len(keys) else np.zeros(1, np.int32)
+        sizes = np.diff(bounds)
+        flat = ids.flatten().to_numpy(zero_copy_only=False) if len(keys) else np.zeros(0, np.int32)
+        flat = flat.astype(np.uint16 if not len(flat) or flat.max() < 1 << 16 else np.int32)
+        begin = (bounds[:-1] - bounds[0]).astype(np.int32)
+        known = HashArray(keys, begin, sizes.astype(np.int16 if not len(sizes) or sizes.max() < 1 << 15 else np.int32))
+        del head, ids, keys, bounds
+        pa.default_memory_pool().release_unused()
         self.key = uuid.uuid4().hex
-        self.head = spark.sparkContext.broadcast((keys, sizes, flat))
+        self.head = spark.sparkContext.broadcast((known, flat))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts and their n + 1 offsets."""
-        cache = worker_cache(self.key, lambda: UnitCache(units, encode_with(load(self.tokenizer)), self.head.value))
+        cache = worker_cache(self.key, lambda: UnitCache(units, encode_with(load(self.tokenizer)), self.head.value, folded, KEPT_UNITS))
         return cache.encode(data, offsets)
 
 
@@ -176,6 +194,7 @@ def encoded_units(texts: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             for _, _, data, offsets in slices(*text_bytes(batch.column(0))):
                 starts, ends, _ = units(data, offsets)
+                data = folded(data, starts, ends)
                 keys, where, n = np.unique(span_hash(prefix_hash(data), starts, ends), return_index=True, return_counts=True)
                 size = ends[where] - starts[where]
                 bounds = np.concatenate([[0], np.cumsum(size)])
