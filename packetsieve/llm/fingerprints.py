@@ -106,7 +106,7 @@ def in_ranges(docs: DataFrame) -> DataFrame:
     n = max(1, -(-size // RANGE_BYTES))
     ids = rows.select((-F.col("doc_id")).cast("double").alias("order"))
     cuts = sorted(set(ids.approxQuantile("order", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
-    edges = [-float("inf"), *cuts, float("inf")]
+    edges = [-float("inf"), *(cuts or [0.0]), float("inf")]
     ranged = Bucketizer(splits=edges, inputCol="order", outputCol="range", handleInvalid="keep").transform(
         rows.withColumn("order", (-F.col("doc_id")).cast("double"))
     )
