@@ -104,15 +104,16 @@ def in_ranges(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // RANGE_BYTES))
-    ids = rows.select((-F.col("doc_id")).cast("double").alias("order"))
+    order = F.coalesce((-F.col("doc_id")).cast("double"), F.lit(float("inf")))  # null ids come last
+    ids = rows.where("doc_id IS NOT NULL").select(order.alias("order"))
     cuts = sorted(set(ids.approxQuantile("order", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
     edges = [-float("inf"), *(cuts or [0.0]), float("inf")]
     ranged = Bucketizer(splits=edges, inputCol="order", outputCol="range", handleInvalid="keep").transform(
-        rows.withColumn("order", (-F.col("doc_id")).cast("double"))
+        rows.withColumn("order", order)
     )
     ranged = ranged.select(F.col("range").cast("int").alias("range"), "doc_id", F.xxhash64("text").alias("hash"), "text")
-    heads = ranged.groupBy("range").agg(F.min_by(F.struct("doc_id", "hash"), F.struct(F.coalesce(-F.col("doc_id"), F.lit(0)), "hash")).alias("head")).collect()
-    heads = sorted((r["range"], r["head"]["doc_id"], r["head"]["hash"]) for r in heads) if heads else []
+    heads = ranged.groupBy("range").agg(F.min_by(F.struct("doc_id", "hash"), F.struct(F.col("doc_id").isNull(), -F.col("doc_id"), "hash")).alias("head")).collect()
+    heads = sorted(((r["range"], r["head"]["doc_id"], r["head"]["hash"]) for r in heads), key=lambda h: h[0])
     before = [(heads[i - 1][0], doc_id, h) for i, (_, doc_id, h) in enumerate(heads)]
     ahead = spark.createDataFrame(before, "before int, head_id long, head_hash long")
     is_head = ranged["doc_id"].eqNullSafe(ahead["head_id"]) & (ranged["hash"] == ahead["head_hash"])
