@@ -3,7 +3,8 @@
 The model is over lower-cased bytes, so its size is bound by the bytes that
 follow each other in any language and not by the vocabulary. Spark counts the
 n-grams of every reference text: all documents that pass the base rules and
-have at most one symbol in ten words. Continuation counts, discounts and
+have at most one symbol in ten words. Copies of a text count once, in the model
+and in the quartiles. Continuation counts, discounts and
 interpolation are joins and windows on distinct n-grams. Scoring looks keys up
 in arrays sorted by hash. A document is rejected when its perplexity lies
 outside the band of its language: the median of that language's reference
@@ -233,9 +234,28 @@ def row_key(prefix: str = "") -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), F.coalesce(lang, F.lit("")), lang.isNull())
 
 
+def distinct_texts(docs: DataFrame, key: Column, bound: int = 1_000_000) -> DataFrame:
+    """``text`` and ``lang`` of one row for each ``key``.
+
+    Only texts with copies are shuffled, one of them for each task and key. Up to
+    ``bound`` keys of such texts are broadcast.
+    """
+    rows = docs.select(key.alias("_key"), "text", "lang")
+    several = written(rows.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select("_key"), "text-copies")
+    n = several.count()
+    if not n:
+        return rows.drop("_key")
+    several = F.broadcast(several) if n <= bound else several
+    once = rows.join(several, "_key", "left_anti")
+    again = rows.join(several, "_key", "left_semi").groupBy("_key").agg(F.first("text").alias("text"), F.first("lang").alias("lang"))
+    return once.unionByName(again).drop("_key")
+
+
 def bands(scored: DataFrame, below: float, above: float) -> DataFrame:
-    """``lang``, ``lower`` and ``upper`` of log10(perplexity), from exact counts of its classes."""
-    classes = scored.groupBy("lang", F.floor(F.col("log10_ppl") * CLASSES).alias("class")).agg(F.count("*").alias("n"))
+    """``lang``, ``lower`` and ``upper`` of log10(perplexity), from exact counts of its classes over distinct texts."""
+    # copies count once; their sums may differ in the last digits
+    distinct = scored.groupBy("lang", "row_key").agg(F.min("log10_ppl").alias("log10_ppl"))
+    classes = distinct.groupBy("lang", F.floor(F.col("log10_ppl") * CLASSES).alias("class")).agg(F.count("*").alias("n"))
     up_to = Window.partitionBy("lang").orderBy("class")
     ranked = classes.select("lang", "class", F.sum("n").over(up_to).alias("upto"), F.sum("n").over(Window.partitionBy("lang")).alias("all"))
     quartile = [F.min(F.when(F.col("upto") * 4 >= F.col("all") * q, F.col("class"))).alias(f"q{q}") for q in (1, 2, 3)]
@@ -256,8 +276,9 @@ def quality(docs: DataFrame, below: float = 10.0, above: float = 8.0, order: int
     """
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     reference = ~F.col("base_failed") & (10 * F.col("n_symbols") <= F.col("n_words"))
+    texts = distinct_texts(docs, F.xxhash64(F.coalesce("text", F.lit(""))))
     scored = written(
-        perplexity(docs, fit_kneser_ney(docs, order), order).select(
+        perplexity(docs, fit_kneser_ney(texts, order), order).select(
             "*", failed.alias("base_failed"), (-F.col("log10_prob") / F.col("n_bytes")).alias("log10_ppl")
         ),
         "kn-scored",

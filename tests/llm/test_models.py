@@ -62,6 +62,18 @@ def test_kept_documents_keep_their_columns(spark, docs_of, prose):
     assert quality.kept_documents(docs_of([])).count() == 0
 
 
+@pytest.mark.parametrize("copies", [7, 33])
+def test_copies_count_once(spark, docs_of, prose, copies):
+    clean = [(i, prose(60, i)) for i in range(60)]
+    once = {r["doc_id"]: r for r in quality.quality(docs_of(clean)).collect()}
+    many = quality.quality(docs_of(clean + [(200 + i, clean[3][1]) for i in range(copies)])).collect()
+    assert len(many) == len(clean) + copies
+    for r in many:
+        expected = once[r["doc_id"] if r["doc_id"] < 200 else 3]
+        assert [r[c] for c in ("lower", "upper", "log10_ppl")] == pytest.approx([expected[c] for c in ("lower", "upper", "log10_ppl")])
+        assert r["kept"] == expected["kept"]
+
+
 def kneser_ney(texts, order):
     types = {order: Counter(g for t in texts for g in grams(t, order))}
     for k in range(order - 1, 0, -1):
