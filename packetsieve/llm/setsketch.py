@@ -304,7 +304,12 @@ def _links_of_block(block: pa.Table, percent: int) -> pa.Table:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id``, ``row_key`` (hash of the text), ``n_shingles``, ``component_id`` and ``kept`` of every row."""
+    """``doc_id``, ``row_key`` (hash of the text), ``n_shingles``, ``component_id``, ``kept`` and ``group`` of every row.
+
+    ``component_id`` is the smallest id in the component, which other components
+    share where ids are null or repeated. ``group`` tells all components apart;
+    it is null for empty sets.
+    """
     sets = written(document_sets(docs, k), "set-sketches")
     classes = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(classes, "set-classes")
@@ -333,21 +338,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     of_class = classes.join(linked.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "rep", F.coalesce("component", "set_id").alias("component"))
     of_class = written(of_class, "class-components")
     name = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = written(of_class.join(name, "component").select("set_id", "component_id"), "class-names")
+    named = written(of_class.join(name, "component").select("set_id", "component", "component_id"), "class-names")
     out = sets.select("doc_id", "row_key", F.col("n").alias("n_shingles"), "set_id").join(named, "set_id", "left")
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "row_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select(
+        "doc_id", "row_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("component").alias("group")
+    )
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id.
 
-    Of rows that share that id, the one with the smallest hash of its text stays.
-    The columns have to be of types with an order (no maps).
+    Of rows that share that id, the one with the smallest hash of its text stays,
+    and of equal ones the smallest whole row. A null id comes after all others.
+    Rows with empty sets all stay. The columns have to be of types with an order
+    (no maps).
     """
     verdict = near_duplicates(docs, k, percent)
-    stays = verdict.where("kept").groupBy("component_id").agg(F.min("row_key").alias("row_key"))
-    rows = as_row(docs).select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("key"))
-    kept = rows.join(stays, rows["id"].eqNullSafe(stays["component_id"]) & (rows["key"] == stays["row_key"]), "left_semi")
-    # rows that share id and text: the smallest of the whole rows
-    return columns_of(kept.groupBy("id", "key").agg(F.min("row").alias("row")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
+    stays = written(verdict.where("group IS NOT NULL").groupBy("group").agg(first).select("first.doc_id", "first.row_key"), "components-first")
+    row = as_row(docs).select("row", F.col("row.doc_id").cast("long").alias("id"), F.coalesce("row.text", F.lit("")).alias("text"))
+    worded = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    keyed = row.where(worded).select("row", "id", F.xxhash64("text").alias("key"))
+    kept = keyed.join(stays, keyed["id"].eqNullSafe(stays["doc_id"]) & (keyed["key"] == stays["row_key"]), "left_semi")
+    kept = kept.groupBy("id", "key").agg(F.min("row").alias("row"))
+    return columns_of(kept.select("row").unionByName(row.where(~worded).select("row")))

@@ -65,6 +65,16 @@ def test_one_of_each_keeps_columns(spark, docs_of, prose):
     assert sorted(r["doc_id"] for r in out.collect()) == [2, 4, 5]
 
 
+def test_one_of_each_keeps_unlike_texts_with_null_and_repeated_ids(spark, docs_of, prose):
+    texts = [prose(50, i) for i in range(12)]
+    rows = [(None, t) for t in texts[:6]] + [(None, texts[0])] + [(7, t) for t in texts[6:9]] + [(7, texts[6])]
+    rows += [(8, texts[9]), (None, texts[9]), (9, texts[10]), (None, None), (None, ""), (10, " "), (10, None)]
+    out = setsketch.one_of_each(docs_of(rows))
+    expected = [(None, t) for t in texts[:6]] + [(7, t) for t in texts[6:9]] + [(8, texts[9]), (9, texts[10])]
+    expected += [(None, None), (None, ""), (10, " "), (10, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(expected, key=str)
+
+
 def test_no_documents(spark, docs_of):
     assert setsketch.near_duplicates(docs_of([])).count() == 0
 
