@@ -1,9 +1,12 @@
 """Soft-membership mixing: rates per document whose expected token totals by domain meet targets.
 
-1. A labelled table trains a naive Bayes classifier on which hashed words a
-   document has: of ``BUCKETS`` buckets the ``KEPT_BUCKETS`` with the most
-   information about the domain. It gives every document a posterior over the
-   domains, which are the labels' values.
+1. A labelled table trains a naive Bayes classifier on which words a document
+   has. Words are known by a 64-bit hash. Of all V words of the labelled
+   documents it uses those whose information about the domain is at least ln(V)
+   nats, which chance alone gives to fewer than one word: the odds of the others
+   are within chance, and their errors would add up with a text's length. Their
+   number has no bound. It gives every document a posterior over the domains,
+   which are the labels' values.
 2. Projected-gradient least squares fits a rate of at least 0 per document. The
    residual is ``sum(rate * tokens * posterior) - target`` for each domain; a
    step takes ``posterior . g`` off every rate and projects to 0. ``g`` is the
@@ -31,7 +34,8 @@ from pyspark.sql import functions as F
 
 from .tables import as_row, columns_of, written
 
-BUCKETS, KEPT_BUCKETS = 1 << 16, 256
+#: Words of the classifier that one broadcast may hold; more are joined by shuffle.
+BROADCAST_WORDS = 1_000_000
 RIDGE, STEPS, TOLERANCE = 1e-6, 40, 1e-6
 
 
@@ -41,50 +45,48 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
-
-
 def featurised(docs: DataFrame) -> DataFrame:
-    """Written: ``doc_id``, ``n_tokens`` and the distinct word buckets of each id."""
+    """``doc_id``, ``n_tokens`` and the distinct words (hashes) of each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _words(F.col("text")).alias("words"))
-    return rows.select("doc_id", F.size("words").cast("long").alias("n_tokens"), F.array_distinct(F.transform("words", _bucket)).alias("buckets"))
+    return rows.select("doc_id", F.size("words").cast("long").alias("n_tokens"), F.transform(F.array_distinct("words"), lambda w: F.xxhash64(w)).alias("words"))
 
 
 def fit_classifier(features: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[str, float]]:
-    """``bucket``, ``logs`` (a log odds of presence per domain, in order), and the log prior of each domain.
+    """``word``, ``logs`` (a log odds of presence per domain, in order), and the log prior of each domain.
 
     ``labels`` has ``doc_id`` and ``domain``. All labelled documents are used.
-    The table has at most ``KEPT_BUCKETS`` rows.
     """
     known = labels.where("domain IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("domain").alias("domain"))
     labelled = features.join(known, "doc_id")
     counts = {r["domain"]: r["count"] for r in labelled.groupBy("domain").count().collect()}
     if not counts:
-        return features.sparkSession.createDataFrame([], "bucket int, logs array<double>"), {"all": 0.0}
+        return features.sparkSession.createDataFrame([], "word long, logs array<double>"), {"all": 0.0}
     domains = sorted(counts)
-    seen = labelled.select("domain", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(
+    seen = labelled.select("domain", F.explode("words").alias("word")).groupBy("word").agg(
         *[F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"n{i}") for i, d in enumerate(domains)]
     )
-    all_of = sum(counts.values())
+    seen = written(seen, "mixing-words")
+    all_of, kinds = sum(counts.values()), seen.count()
     p = [(F.col(f"n{i}") + 0.5) / (counts[d] + 1.0) for i, d in enumerate(domains)]
-    # mutual information of a bucket's presence and the domain, in nats times documents
+    # mutual information of a word's presence and the domain, in nats times documents
     found = sum(F.col(f"n{i}") for i in range(len(domains)))
     cell = lambda n, row, column: F.when(n > 0, n * F.ln(n * all_of / (row * column))).otherwise(0.0)
     told = sum(cell(F.col(f"n{i}"), found, counts[d]) + cell(counts[d] - F.col(f"n{i}"), all_of - found, counts[d]) for i, d in enumerate(domains))
-    seen = seen.withColumn("told", told).orderBy(F.desc("told"), "bucket").limit(KEPT_BUCKETS)
-    seen = seen.select("bucket", F.array(*[F.ln(x / (1 - x)) for x in p]).alias("logs"), F.array(*[F.ln(1 - x) for x in p]).alias("absent"))
+    seen = seen.where(told >= float(np.log(max(kinds, 1))))
+    seen = seen.select("word", F.array(*[F.ln(x / (1 - x)) for x in p]).alias("logs"), F.array(*[F.ln(1 - x) for x in p]).alias("absent"))
     seen = written(seen, "mixing-model")
     missing = seen.agg(*[F.sum(F.col("absent")[i]).alias(str(i)) for i in range(len(domains))]).first()
     prior = {d: float(np.log(counts[d] / all_of) + (missing[i] or 0.0)) for i, d in enumerate(domains)}
-    return seen.select("bucket", "logs"), prior
+    return seen.select("word", "logs"), prior
 
 
 def posteriors(features: DataFrame, model: DataFrame, prior: dict[str, float]) -> DataFrame:
     """Written: ``doc_id``, ``n_tokens``, and ``posterior`` (array in the order of ``prior``) of each id."""
     n = len(prior)
     start = [F.lit(v) for v in prior.values()]
-    hits = features.select("doc_id", F.explode("buckets").alias("bucket")).join(F.broadcast(model), "bucket")
+    few = model.count() <= BROADCAST_WORDS
+    pooled = features.select("doc_id", F.explode("words").alias("word")).join(F.broadcast(model) if few else model, "word")
+    hits = pooled.groupBy("doc_id", "word").agg(F.first("logs").alias("logs"))  # rows of one id may share words
     logs = hits.groupBy("doc_id").agg(*[F.sum(F.col("logs")[i]).alias(f"l{i}") for i in range(n)])
     tokens = features.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"))
     joined = tokens.withColumnRenamed("doc_id", "_id").join(logs, F.col("_id").eqNullSafe(F.col("doc_id")), "left")

@@ -73,6 +73,24 @@ def test_rates_meet_the_targets(spark, docs_of, prose):
     assert all(times.get(i, 0) == r["copies"] for i, r in by_id.items() if i != 303)
 
 
+def test_long_clean_texts_stay(spark, docs_of):
+    r = random.Random(5)
+    insults = [f"slur{i}" for i in range(40)]
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for i in range(300):
+        own = [word() for _ in range(60)]
+        if i % 3 == 0:
+            own[10:18] = r.sample(insults, 8)
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, " ".join(word() for _ in range(40_000))) for i in range(4)]  # clean, and two of them labelled
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)] + [(1000, 0), (1001, 0)], "doc_id long, toxic int")
+    by_id = {x["doc_id"]: x for x in mixing.mixing_rates(docs_of(rows), mixing.label_domains(labels), MIX).collect()}
+    for i in range(1000, 1004):
+        assert by_id[i]["posteriors"]["toxic"] < 0.01 and by_id[i]["rate"] >= 1 and by_id[i]["copies"] >= 1
+    assert all((by_id[i]["posteriors"]["toxic"] > 0.5) == (i % 3 == 0) for i in range(300))
+
+
 def test_no_labels_and_no_documents(spark, docs_of, prose):
     docs, labels = labelled(spark, docs_of, prose)
     rows = mixing.mixing_rates(docs, labels.limit(0), MIX).collect()
