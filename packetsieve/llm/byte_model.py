@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textbytes import LOWER, KeyCounter, byte_ngrams, slices, text_bytes
@@ -15,32 +15,41 @@ from .textbytes import LOWER, KeyCounter, byte_ngrams, slices, text_bytes
 BROADCAST_ROWS = 12_000_000
 
 
-def ngram_counts(texts: DataFrame, order: int, choose: Callable | None = None) -> DataFrame:
+def ngram_counts(texts: DataFrame, order: int, choose: Callable | None = None, group: Column | None = None) -> DataFrame:
     """``gram`` (big-endian bytes in a long) and ``n`` over column ``text``; A-Z count as a-z.
 
     ``choose(bytes, offsets)`` marks the texts of a slice that count (default: all).
+    With ``group`` (a long) each group is counted for itself, and a column of the result.
 
     Each task sums what it has before the shuffle, so the shuffle carries the
     distinct n-grams of a task and not its bytes.
     """
+    keys = ["gram"] if group is None else ["group", "gram"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = KeyCounter()
+        counters: dict[int, KeyCounter] = {}
         for batch in batches:
-            for _, _, data, offsets in slices(*text_bytes(batch.column(0))):
+            every = batch.column(1).to_numpy()
+            for a, b, data, offsets in slices(*text_bytes(batch.column(0))):
                 grams, at = byte_ngrams(LOWER[data], offsets, order)
-                if choose is not None:
-                    grams = grams[np.repeat(choose(data, offsets), np.diff(at))]
-                counter.add(grams)
-                if counter.full():
-                    yield batch_of(counter)
-        yield batch_of(counter)
-
-    def batch_of(counter: KeyCounter) -> pa.RecordBatch:
-        keys, n = counter.take()
-        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], ["gram", "n"])
-
-    return texts.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+                chosen = np.ones(b - a, dtype=bool) if choose is None else choose(data, offsets)
+                for g in np.unique(every[a:b][chosen]).tolist():
+                    mine = chosen & (every[a:b] == g)
+                    counters.setdefault(g, KeyCounter()).add(grams[np.repeat(mine, np.diff(at))])
+                if sum(c.size for c in counters.values()) > KeyCounter().limit:
+                    for c in counters.values():
+                        c.merge()
+                    if sum(c.size for c in counters.values()) > KeyCounter().limit:
+                        yield from rows_of(counters)
+        yield from rows_of(counters)
+
+    def rows_of(counters: dict[int, KeyCounter]) -> Iterator[pa.RecordBatch]:
+        for g in list(counters):
+            grams, n = counters.pop(g).take()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), g)), pa.array(grams.astype(np.int64)), pa.array(n)], ["group", "gram", "n"])
+
+    rows = texts.select("text", (F.lit(0) if group is None else group).cast("long").alias("group"))
+    return rows.mapInArrow(count, "group long, gram long, n long").groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
 def shards_of(sizes: dict[int, int], bound: int = BROADCAST_ROWS) -> list[list[int]]:

@@ -1,15 +1,17 @@
 """Quality rules: n-gram perplexity under a modified Kneser-Ney model, with bands for each language.
 
-The model is over lower-cased bytes, so its size is bound by the bytes that
-follow each other in any language and not by the vocabulary. Spark counts the
-n-grams of every reference text: all documents that pass the base rules and
-have at most one symbol in ten words. Copies of a text count once, in the model
-and in the quartiles. Continuation counts, discounts and
-interpolation are joins and windows on distinct n-grams. Scoring looks keys up
-in arrays sorted by hash. A document is rejected when its perplexity lies
-outside the band of its language: the median of that language's reference
-texts, less ``below`` or plus ``above`` times the distance between their
-quartiles.
+Each language has two models over lower-cased bytes, of order 7, so their size
+is bound by the bytes that follow each other and not by the vocabulary. Spark
+counts the n-grams of every reference text: all documents that pass the base
+rules and have at most one symbol in ten words. Copies of a text count once, in
+the models and in the quartiles. A hash of the text deals it to one of two
+folds, and it is scored by the model of its language's other fold: no text is
+scored by what it taught. Continuation counts, discounts and interpolation are
+joins and windows on distinct n-grams. Scoring looks keys up in arrays sorted by
+hash. A document is rejected when its perplexity lies outside the band of its
+language and fold: the median of the reference texts there, less ``below`` or
+plus ``above`` times the distance between their quartiles. From few texts the
+quartiles are uncertain, and the band is wider by ``(n + WIDER) / n``.
 
 Defined cases: a null text counts as empty, has one symbol (its end) and fails
 the base rules; null languages form a language of their own; equal rows get
@@ -44,7 +46,11 @@ from .textbytes import (
     words,
 )
 
-ORDER = 5
+ORDER = 7
+#: By so many distinct texts the distance between quartiles is twice as wide as measured.
+WIDER = 8
+#: Quartile distances below and above the median.
+BELOW, ABOVE = 10.0, 6.0
 #: Bytes and the end of a text.
 SYMBOLS = 257
 #: Tenths of a thousandth of log10(perplexity): the classes in which quartiles are counted.
@@ -52,7 +58,7 @@ CLASSES = 10_000
 SYMBOL = np.zeros(256, dtype=bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
-BASE_FIELDS = "doc_id long, lang string, row_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+BASE_FIELDS = "doc_id long, lang string, row_key long, group long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
 def is_reference(stats: dict[str, np.ndarray]) -> np.ndarray:
@@ -65,29 +71,32 @@ def _reference(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return is_reference(base_statistics(data, offsets))
 
 
-def fit_kneser_ney(texts: DataFrame, order: int = ORDER, choose=_reference) -> DataFrame:
+def fit_kneser_ney(texts: DataFrame, order: int = ORDER, choose=_reference, group: Column | None = None) -> DataFrame:
     """The model of the texts that ``choose(bytes, offsets)`` marks in each slice.
 
     It is a written table ``(key, weight, value, previous)`` of log10 values.
 
     A key is an n-gram with its order in the top byte, or where ``weight`` is true
     the context that a back-off weight belongs to. ``previous`` is the byte before
-    the one predicted, -1 where there is none.
+    the one predicted, -1 where there is none. With ``group``, a long, each group
+    has a model of its own, whose keys are combined with the group by exclusive or.
+    Discounts are those of all groups together.
     """
-    counts = written(ngram_counts(texts, order, choose), "kn-counts")
-    types = {order: counts.select("gram", F.col("n").alias("c"))}
+    counts = written(ngram_counts(texts, order, choose, F.lit(0) if group is None else group), "kn-counts")
+    types = {order: counts.select("group", "gram", F.col("n").alias("c"))}
     for k in range(order - 1, 0, -1):
         suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
-        types[k] = types[k + 1].groupBy(suffix.alias("gram")).agg(F.count("*").alias("c"))
+        types[k] = types[k + 1].groupBy("group", suffix.alias("gram")).agg(F.count("*").alias("c"))
     discounts = _discounts(types)
     rows, lower = None, None
     for k in range(1, order + 1):
         d1, d2, d3 = discounts[k]
         context = F.shiftright("gram", 8)
-        same = Window.partitionBy(context)
+        same = Window.partitionBy("group", context)
         c = F.col("c")
         cut = F.when(c == 1, d1).when(c == 2, d2).otherwise(d3)
         graded = types[k].select(
+            "group",
             "gram",
             context.alias("context"),
             ((c - cut) / F.sum("c").over(same)).alias("own"),
@@ -97,15 +106,15 @@ def fit_kneser_ney(texts: DataFrame, order: int = ORDER, choose=_reference) -> D
             graded = graded.withColumn("p", F.col("own") + F.col("gamma") / SYMBOLS)
         else:
             suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))
-            graded = graded.withColumn("suffix", suffix).join(lower, "suffix")
+            graded = graded.withColumn("suffix", suffix).join(lower, ["group", "suffix"])
             graded = graded.withColumn("p", F.col("own") + F.col("gamma") * F.col("q"))
-        graded = written(graded.select("gram", "context", "gamma", "p"), "kn-order")
-        lower = graded.select(F.col("gram").alias("suffix"), F.col("p").alias("q"))
+        graded = written(graded.select("group", "gram", "context", "gamma", "p"), "kn-order")
+        lower = graded.select("group", F.col("gram").alias("suffix"), F.col("p").alias("q"))
         previous = F.col("context").bitwiseAND(F.lit(255)) if k > 1 else F.lit(-1)
         tag = F.lit(k << 56)
-        probs = graded.select(F.col("gram").bitwiseOR(tag).alias("key"), F.log10("p").alias("value"), previous.alias("previous"))
-        weights = graded.groupBy("context").agg(F.max("gamma").alias("g")).select(
-            F.col("context").bitwiseOR(tag).alias("key"),
+        probs = graded.select(F.col("gram").bitwiseOR(tag).bitwiseXOR(F.col("group")).alias("key"), F.log10("p").alias("value"), previous.alias("previous"))
+        weights = graded.groupBy("group", "context").agg(F.max("gamma").alias("g")).select(
+            F.col("context").bitwiseOR(tag).bitwiseXOR(F.col("group")).alias("key"),
             F.log10("g").alias("value"),
             previous.alias("previous"),
         )
@@ -137,19 +146,19 @@ class KneserNey:
         self.order = order
         self.probs, self.weights = HashArray(key[~weight], value[~weight]), HashArray(key[weight], value[weight])
 
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each n-gram after the others."""
+    def log10(self, grams: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """log10 probability of the last byte of each n-gram after the others, in the model of its group."""
         out = np.zeros(len(grams))
         todo = np.arange(len(grams))
         for k in range(self.order, 0, -1):
             tag = np.uint64(k << 56)
             own = grams[todo] & np.uint64((1 << 8 * k) - 1)
-            at = self.probs.find(own | tag)
+            at = self.probs.find((own | tag) ^ group[todo])
             out[todo[at >= 0]] += self.probs.values[0][at[at >= 0]]
             todo, own = todo[at < 0], own[at < 0]
             if not len(todo):
                 return out
-            at = self.weights.find((own >> np.uint64(8)) | tag)
+            at = self.weights.find(((own >> np.uint64(8)) | tag) ^ group[todo])
             out[todo[at >= 0]] += self.weights.values[0][at[at >= 0]]
         out[todo] -= np.log10(SYMBOLS)
         return out
@@ -191,8 +200,11 @@ def base_statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarr
     return stats
 
 
-def perplexity(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """``doc_id``, ``lang``, the base counts, ``n_bytes`` (with the end) and ``log10_prob`` of every row."""
+def perplexity(docs: DataFrame, model: DataFrame, order: int = ORDER, group: Column | None = None) -> DataFrame:
+    """``doc_id``, ``lang``, the base counts, ``n_bytes`` (with the end) and ``log10_prob`` of every row.
+
+    ``group`` says which group's model scores a row.
+    """
     spark = docs.sparkSession
     base = [f.split()[0] for f in BASE_FIELDS.split(", ")]
     schema = f"{BASE_FIELDS}, n_bytes long, log10_prob double"
@@ -209,21 +221,23 @@ def perplexity(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFra
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kn = sent.value
             for batch in batches:
-                for a, b, data, offsets in slices(*text_bytes(batch.column(3))):
+                for a, b, data, offsets in slices(*text_bytes(batch.column(4))):
                     stats = base_statistics(data, offsets)
                     grams, at = byte_ngrams(LOWER[data], offsets, order)
+                    groups = np.repeat(batch.column(3).to_numpy()[a:b].view(np.uint64), np.diff(at))
                     if len(shards) > 1:
                         mine = owned[((grams >> np.uint64(8)) & np.uint64(255)).astype(np.int64)]
                         logs = np.zeros(len(grams))
-                        logs[mine] = kn.log10(grams[mine])
+                        logs[mine] = kn.log10(grams[mine], groups[mine])
                     else:
-                        logs = kn.log10(grams)
-                    columns = [batch.column(i).slice(a, b - a) for i in range(3)]
-                    columns += [pa.array(stats[name].astype(np.int64)) for name in base[3:]]
+                        logs = kn.log10(grams, groups)
+                    columns = [batch.column(i).slice(a, b - a) for i in range(4)]
+                    columns += [pa.array(stats[name].astype(np.int64)) for name in base[4:]]
                     columns += [pa.array(np.diff(at)), pa.array(per_text(logs, at))]
                     yield pa.RecordBatch.from_arrays(columns, [*base, "n_bytes", "log10_prob"])
 
-        return docs.select(F.col("doc_id").cast("long"), "lang", row_key().alias("row_key"), "text").mapInArrow(run, schema)
+        by = (F.lit(0) if group is None else group).cast("long").alias("group")
+        return docs.select(F.col("doc_id").cast("long"), "lang", row_key().alias("row_key"), by, "text").mapInArrow(run, schema)
 
     return add_by_shard(docs, shards, score, [*base, "n_bytes"], ["log10_prob"])
 
@@ -234,6 +248,16 @@ def row_key(prefix: str = "") -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), F.coalesce(lang, F.lit("")), lang.isNull())
 
 
+def fold() -> Column:
+    """The fold of a row, 0 or 1: the same for equal texts."""
+    return F.pmod(F.xxhash64(F.lit("fold"), F.coalesce("text", F.lit(""))), F.lit(2)).cast("long")
+
+
+def group_of(lang: Column, fold: Column) -> Column:
+    """A number for the model of a language's fold."""
+    return F.xxhash64(F.coalesce(lang, F.lit("")), lang.isNull(), fold)
+
+
 def distinct_texts(docs: DataFrame, key: Column, bound: int = 1_000_000) -> DataFrame:
     """``text`` and ``lang`` of one row for each ``key``.
 
@@ -252,42 +276,42 @@ def distinct_texts(docs: DataFrame, key: Column, bound: int = 1_000_000) -> Data
 
 
 def bands(scored: DataFrame, below: float, above: float) -> DataFrame:
-    """``lang``, ``lower`` and ``upper`` of log10(perplexity), from exact counts of its classes over distinct texts."""
+    """``group``, ``lower`` and ``upper`` of log10(perplexity), from exact counts of its classes over distinct texts."""
     # copies count once; their sums may differ in the last digits
-    distinct = scored.groupBy("lang", "row_key").agg(F.min("log10_ppl").alias("log10_ppl"))
-    classes = distinct.groupBy("lang", F.floor(F.col("log10_ppl") * CLASSES).alias("class")).agg(F.count("*").alias("n"))
-    up_to = Window.partitionBy("lang").orderBy("class")
-    ranked = classes.select("lang", "class", F.sum("n").over(up_to).alias("upto"), F.sum("n").over(Window.partitionBy("lang")).alias("all"))
+    distinct = scored.groupBy("group", "row_key").agg(F.min("log10_ppl").alias("log10_ppl"))
+    classes = distinct.groupBy("group", F.floor(F.col("log10_ppl") * CLASSES).alias("class")).agg(F.count("*").alias("n"))
+    up_to = Window.partitionBy("group").orderBy("class")
+    ranked = classes.select("group", "class", F.sum("n").over(up_to).alias("upto"), F.sum("n").over(Window.partitionBy("group")).alias("all"))
     quartile = [F.min(F.when(F.col("upto") * 4 >= F.col("all") * q, F.col("class"))).alias(f"q{q}") for q in (1, 2, 3)]
-    spread = (F.col("q3") - F.col("q1") + 1) / CLASSES
-    return ranked.groupBy("lang").agg(*quartile).select(
-        "lang",
+    spread = (F.col("q3") - F.col("q1") + 1) / CLASSES * (1 + WIDER / F.col("all"))
+    return ranked.groupBy("group").agg(F.max("all").alias("all"), *quartile).select(
+        "group",
         (F.col("q2") / CLASSES - below * spread).alias("lower"),
         ((F.col("q2") + 1) / CLASSES + above * spread).alias("upper"),
     )
 
 
-def quality(docs: DataFrame, below: float = 10.0, above: float = 8.0, order: int = ORDER) -> DataFrame:
+def quality(docs: DataFrame, below: float = BELOW, above: float = ABOVE, order: int = ORDER) -> DataFrame:
     """One row per document: base counts, ``base_failed``, ``log10_ppl``, its band, and ``kept``.
 
     The base rules fail fewer than 20 words, or over 30 % of the words in repeated
-    8-word windows. A language without reference texts has no band, and its
-    documents are kept if they pass the base rules.
+    8-word windows. A language's fold without reference texts has no band, and
+    its documents are kept if they pass the base rules.
     """
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     reference = ~F.col("base_failed") & (10 * F.col("n_symbols") <= F.col("n_words"))
-    texts = distinct_texts(docs, F.xxhash64(F.coalesce("text", F.lit(""))))
+    other = group_of(F.col("lang"), 1 - fold())
+    model = fit_kneser_ney(distinct_texts(docs, row_key()), order, group=group_of(F.col("lang"), fold()))
     scored = written(
-        perplexity(docs, fit_kneser_ney(texts, order), order).select(
+        perplexity(docs, model, order, other).select(
             "*", failed.alias("base_failed"), (-F.col("log10_prob") / F.col("n_bytes")).alias("log10_ppl")
         ),
         "kn-scored",
     )
     band = bands(scored.where(reference), below, above)
-    same = scored["lang"].eqNullSafe(band["lang"])
     inside = F.col("log10_ppl").between(F.col("lower"), F.col("upper"))
-    return scored.join(F.broadcast(band) if _few_languages(band) else band, same, "left").select(
-        scored["*"], "lower", "upper", (~F.col("base_failed") & F.coalesce(inside, F.col("lower").isNull())).alias("kept")
+    return scored.join(F.broadcast(band) if _few_languages(band) else band, "group", "left").select(
+        *[c for c in scored.columns if c != "group"], "lower", "upper", (~F.col("base_failed") & F.coalesce(inside, F.col("lower").isNull())).alias("kept")
     )
 
 

@@ -1,4 +1,6 @@
+import base64
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -74,6 +76,37 @@ def test_copies_count_once(spark, docs_of, prose, copies):
         assert r["kept"] == expected["kept"]
 
 
+def test_junk_beside_clean_texts_is_rejected(spark, docs_of):
+    r = random.Random(4)
+    kinds = {"en": ["the", "of", "and", "ing", "ra", "mo", "te", "lin"], "de": ["ch", "sch", "ung", "ei", "ber", "zu", "ö", "pf"]}
+    follow = {}
+    for lang, parts in kinds.items():  # every word has two that may follow it
+        known = ["".join(r.choice(parts) for _ in range(r.randint(1, 2))) for _ in range(40)]
+        follow[lang] = {w: (r.choice(known), r.choice(known), r.choice(known)) for w in known}
+
+    def text(lang):
+        out = [r.choice(list(follow[lang]))]
+        while len(out) < 120:
+            out.append(r.choice(follow[lang][out[-1]]))
+        return " ".join(out)
+
+    lines = lambda x: "\n".join(x[i : i + 12] for i in range(0, 480, 12))
+    clean = [(i, text(lang), lang) for i, lang in enumerate(["en"] * 150 + ["de"] * 80)]
+    clean = [c for c in clean if base(c[1])[4] * 100 <= 30 * 120]
+    junk = []
+    for _ in range(2):
+        junk.append(lines(base64.b64encode(r.randbytes(480)).decode()))
+        junk.append(lines(r.randbytes(480).hex()))
+        junk.append(" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(120)))
+        junk.append(" ".join(r.sample(text("en").split(" "), 120)))
+        junk.append(text("de"))
+    rows = quality.quality(docs_of(clean + [(1000 + i, x) for i, x in enumerate(junk)])).collect()
+    assert not any(x["base_failed"] for x in rows)
+    kept = {x["doc_id"] for x in rows if x["kept"]}
+    assert not kept & set(range(1000, 1010))
+    assert len(kept) >= 0.97 * len(clean)
+
+
 def kneser_ney(texts, order):
     types = {order: Counter(g for t in texts for g in grams(t, order))}
     for k in range(order - 1, 0, -1):
