@@ -20,7 +20,9 @@ merge.
    each class and component.
 
 No pair of a bucket is left out, unless its classes are linked already. A pair
-at the threshold misses all bands with a probability below 1e-6.
+at the threshold misses all bands with a probability below 1e-6: the width of a
+band follows from the threshold, 5 registers (24 bands, 5e-7) at 0.85 and 4 (30
+bands, 9e-8) at 0.80.
 
 Defined cases: a text of fewer than ``k`` words has its whole sequence as one
 shingle; without words (or null) the set is empty and links with nothing, so
@@ -45,7 +47,8 @@ from .tables import as_row, columns_of, written
 from .textbytes import LOWER, distinct_per_text, mix, prefix_hash, slices, span_hash, text_bytes, word_shingles, words
 
 REGISTERS, BASE, RATE = 120, 1.05, 20.0
-BAND = 5
+#: The largest chance of a pair at the threshold to miss all bands.
+MISS = 1e-6
 #: Standard deviations by which an estimate may lie below the threshold.
 DOUBT = 5.0
 #: Classes that a bucket tries after the first, before the blocks.
@@ -155,15 +158,28 @@ def document_sets(docs: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, row_key long, n long, set_id long, sketch binary")
 
 
-def band_rows(classes: DataFrame) -> DataFrame:
+def missed(percent: int, width: int) -> float:
+    """The chance that sets at the threshold share no band of ``width`` registers."""
+    # registers agree least where one set contains the other
+    same = 1 + math.log1p(-(1 - percent / 100) * (BASE - 1) / BASE) / math.log(BASE)
+    return (1 - same**width) ** (REGISTERS // width)
+
+
+def band_width(percent: int) -> int:
+    """The most registers in a band with which :func:`missed` stays within ``MISS``."""
+    widths = [w for w in range(1, REGISTERS + 1) if REGISTERS % w == 0]
+    return max((w for w in widths if missed(percent, w) <= MISS), default=1)
+
+
+def band_rows(classes: DataFrame, width: int) -> DataFrame:
     """``key``, ``band`` and ``set_id``: one row per class and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sketch = _sketches(batch.column(1)).astype(np.uint64)
-            bands = sketch.reshape(len(sketch), -1, BAND)
+            bands = sketch.reshape(len(sketch), -1, width)
             key = np.zeros(bands.shape[:2], dtype=np.uint64) + np.arange(bands.shape[1], dtype=np.uint64)
-            for i in range(BAND):
+            for i in range(width):
                 key = mix(key * np.uint64(65536 + 1) + bands[:, :, i])
             ids = np.repeat(batch.column(0).to_numpy(), bands.shape[1])
             number = np.tile(np.arange(bands.shape[1], dtype=np.int16), len(sketch))
@@ -272,7 +288,7 @@ def _links_of_block(block: pa.Table, percent: int) -> pa.Table:
     ids, comp, n = (block.column(c).to_numpy() for c in ("set_id", "component", "n"))
     sketch = _sketches(block.column("sketch").combine_chunks())
     sets, at = _six(block.column("members").combine_chunks())
-    bands = sketch.reshape(len(sketch), -1, BAND)
+    bands = sketch.reshape(len(sketch), -1, band_width(percent))
     inner = np.flatnonzero(~outer)
     comp = comp.copy()  # components that a link joins become one
     us, vs = [], []
@@ -313,8 +329,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sets = written(document_sets(docs, k), "set-sketches")
     classes = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(classes, "set-classes")
-    buckets = written(band_rows(classes).groupBy("key").agg(F.count("*").alias("size"), F.min("set_id").alias("pivot")).where("size > 1"), "set-buckets")
-    members = written(band_rows(classes).join(buckets.select("key", "pivot"), "key"), "set-members")
+    width = band_width(percent)
+    buckets = written(band_rows(classes, width).groupBy("key").agg(F.count("*").alias("size"), F.min("set_id").alias("pivot")).where("size > 1"), "set-buckets")
+    members = written(band_rows(classes, width).join(buckets.select("key", "pivot"), "key"), "set-members")
     found = full_sets(docs, members, k)
     pairs = members.where("set_id <> pivot").select(F.col("set_id").alias("u"), F.col("pivot").alias("v")).distinct()
     links = None

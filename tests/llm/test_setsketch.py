@@ -92,6 +92,20 @@ def test_estimate_follows_similarity_and_registers_merge():
         assert (setsketch.registers(union, np.array([0, len(union)])) == np.maximum(x, y)).all()
 
 
+def test_bands_catch_pairs_at_the_threshold():
+    assert [setsketch.band_width(p) for p in (80, 85)] == [4, 5]
+    assert all(setsketch.missed(p, setsketch.band_width(p)) < 1e-6 for p in (50, 80, 85, 95))
+    assert setsketch.missed(80, 5) > 1e-5
+    # measured agreement of sets at 0.80, one inside the other
+    values = np.random.default_rng(3).integers(1, 1 << 62, 400).astype(np.uint64)
+    shares = []
+    for i in range(60):
+        own = np.sort(values * np.uint64(2 * i + 1))
+        sketch = setsketch.registers(np.concatenate([own, own[:320]]), np.array([0, 400, 720]))
+        shares.append((sketch[0] == sketch[1]).mean())
+    assert abs(np.mean(shares) - 0.804) < 0.02
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = dict(components(spark.createDataFrame(links, "u long, v long")).collect())
