@@ -1,4 +1,4 @@
 from .oracle import ORACLES
-from .queries import QUERIES
+from .queries import QUERIES, WITHOUT_SQL
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "WITHOUT_SQL"]

@@ -6,6 +6,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from packetsieve.catalog import ORACLES, QUERIES
+from packetsieve.catalog import queries as catalog_queries
 from tools.check_queries import difference
 
 TABLES = "/root/testdata/sf0.001"
@@ -31,5 +32,12 @@ def test_every_query_has_sql():
     assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 
+def test_settled_fit_goes_on_after_the_rounds_of_the_sql(spark, monkeypatch):
+    monkeypatch.setattr(catalog_queries, "FIT_ROUNDS", 1)
+    costs = [{r["restart"]: r["cost"] for r in queries()[q](spark, TABLES).collect()} for q in ("kmeans_fit", "kmeans_fit_settled")]
+    assert costs[0].keys() == costs[1].keys()
+    assert all(costs[1][i] <= costs[0][i] for i in costs[0]) and costs[1] != costs[0]
+
+
 def test_entry(spark):
     assert entry(spark).count() == 1
