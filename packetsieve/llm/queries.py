@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import chat_round_trip
+from .collocations import collocations
 from .ctw import lm_scores
 from .fingerprints import edited_neighbours
+from .merkle import changed_third, versions
 from .mixing import label_domains, mixing_rates
+from .oracles import CHAT, COLLOCATIONS, MERKLE
 from .quality import quality
 from .rans import token_file_digests
 from .repeats import removal_digests
@@ -77,6 +81,22 @@ def op10_one_permutation_fingerprints(spark: SparkSession, sf_dir: str) -> DataF
     return edited_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op11_rabin_karp_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = versions(table(spark, sf_dir, "documents"), changed_third())
+    return made.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_round_trip(given.unionByName(planted))
+
+
 QUERIES = {
     "op1_kneser_ney_quality": op1_kneser_ney_quality,
     "op2_zstd_warc": op2_zstd_warc,
@@ -88,5 +108,12 @@ QUERIES = {
     "op8_context_tree_scores": op8_context_tree_scores,
     "op9_separator_scan": op9_separator_scan,
     "op10_one_permutation_fingerprints": op10_one_permutation_fingerprints,
+    "op11_rabin_karp_collocations": op11_rabin_karp_collocations,
+    "op12_merkle_versions": op12_merkle_versions,
+    "op13_chat_round_trip": op13_chat_round_trip,
+}
+ORACLES = {
+    "op11_rabin_karp_collocations": COLLOCATIONS,
+    "op12_merkle_versions": MERKLE,
+    "op13_chat_round_trip": CHAT,
 }
-ORACLES: dict[str, str] = {}
