@@ -33,8 +33,8 @@ NO_LANG = "und"
 #: Text behind one bucket of fingerprints, and fingerprints that a task holds before it passes them on.
 BUCKET_BYTES = 1 << 20
 HELD_KEYS = 1 << 22
-#: Text that is searched for frequent phrases at a time.
-SLICE_BYTES = 8 << 20
+#: Phrases whose texts a task holds before it passes them on.
+HELD_PHRASES = 200_000
 
 
 class Words:
@@ -177,17 +177,33 @@ def _frequent(counted: DataFrame, least: int) -> DataFrame:
 # From fingerprints to text
 
 
-def _combined(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Batches put together up to about ``size`` bytes."""
-    held, total = [], 0
+def _merged(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    """The rows of all batches, one for each language and text."""
+    table = pa.Table.from_batches(held).group_by(["lang", "n", "phrase"], use_threads=False)
+    summed = table.aggregate([("a", "sum"), ("doc_id", "min")]).rename_columns(["lang", "n", "phrase", "a", "doc_id"])
+    return summed.combine_chunks().to_batches()
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together by text as they come; a task holds some ``HELD_PHRASES`` rows."""
+    held, rows = [], 0
     for batch in batches:
         held.append(batch)
-        total += batch.nbytes
-        if total >= size:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, total = [], 0
+        rows += batch.num_rows
+        if rows > 2 * HELD_PHRASES:
+            held = _merged(held)
+            rows = sum(b.num_rows for b in held)
+            if rows > HELD_PHRASES:
+                yield from _cut(held)
+                held, rows = [], 0
     if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        yield from _cut(_merged(held))
+
+
+def _cut(batches: list[pa.RecordBatch], rows: int = 8192) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 def _strings(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -202,13 +218,16 @@ TEXT_SCHEMA = "lang string, n int, phrase string, a long, doc_id long"
 
 
 def _occurrences(rows: DataFrame, longest: int, frequent) -> DataFrame:
-    """Text, count and an occurrence (``doc_id``) of each phrase in a slice, and under n = 0 each language's words."""
+    """Text, count and an occurrence (``doc_id``) of each phrase in a task, and under n = 0 each language's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _combined(batches, SLICE_BYTES):
+        yield from _summed(slice_rows(batches))
+
+    def slice_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             langs = batch.column(0).to_pylist()
             salts = _salts(langs)
-            for a, b, data, offsets in slices(*text_bytes(batch.column(1)), SLICE_BYTES):
+            for a, b, data, offsets in slices(*text_bytes(batch.column(1))):
                 words = Words(data, offsets)
                 names, ids = batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a)
                 per_text = np.bincount(words.text, minlength=b - a)

@@ -57,7 +57,7 @@ def test_equals_brute_force_on_odd_rows(spark, docs_of, odd_rows):
 
 def test_other_lengths_and_small_buffers(spark, docs_of, odd_rows, monkeypatch):
     monkeypatch.setattr(co, "HELD_KEYS", 500)
-    monkeypatch.setattr(co, "SLICE_BYTES", 4000)
+    monkeypatch.setattr(co, "HELD_PHRASES", 50)
     monkeypatch.setattr(textbytes, "SLICE_BYTES", 3000)
     rows = odd_rows[:30] + odd_rows[42:43]
     got = co.collocations(docs_of(rows, odd=False), longest=4, least=4, percent=70, top=30)
