@@ -32,7 +32,7 @@ GAP[[0x20, 0x09]] = True
 NO_LANG = "und"
 #: Text behind one bucket of fingerprints, and fingerprints that a task holds before it passes them on.
 BUCKET_BYTES = 1 << 20
-HELD_KEYS = 1 << 22
+HELD_KEYS = 1 << 20
 #: Phrases whose texts a task holds before it passes them on.
 HELD_PHRASES = 200_000
 

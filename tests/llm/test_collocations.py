@@ -110,3 +110,16 @@ def test_same_bytes_compares_whole_runs():
     data = np.frombuffer(b"abcdefghijkl abcdefghijkX abcdefghijkl", dtype=np.uint8)
     a, b = np.array([0, 0, 0, 5]), np.array([13, 26, 13, 31])
     assert co.same_bytes(data, a, b, np.array([12, 12, 11, 7])).tolist() == [False, True, True, True]
+
+
+def test_phrases_are_added_up_within_a_task(monkeypatch):
+    monkeypatch.setattr(co, "HELD_PHRASES", 50)
+    rows = [(["en", "fr"][i % 2], 1 + i % 3, f"p{i * i % 97}" if i % 5 else None, i, None if i % 7 == 0 else i) for i in range(3000)]
+    batches = [co._row_batch(*(pa.array(c, t) for c, t in zip(zip(*rows[i : i + 40]), [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()]))) for i in range(0, 3000, 40)]
+    got, want = Counter(), Counter()
+    for batch in co._summed(iter(batches)):
+        for lang, n, phrase, a in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            got[lang, n, phrase] += a
+    for lang, n, phrase, a, _ in rows:
+        want[lang, n, phrase] += a
+    assert got == want
