@@ -32,7 +32,9 @@ GAP[[0x20, 0x09]] = True
 NO_LANG = "und"
 #: Text behind one bucket of fingerprints, and fingerprints that a task holds before it passes them on.
 BUCKET_BYTES = 1 << 20
-HELD_KEYS = 1 << 20
+HELD_KEYS = 1 << 19
+#: Text that is hashed at a time; small slices keep a worker's memory low.
+SLICE_BYTES = 1 << 18
 #: Phrases whose texts a task holds before it passes them on.
 HELD_PHRASES = 200_000
 
@@ -127,7 +129,7 @@ def _counted(rows: DataFrame, orders: list[int], bits: int, shorter) -> DataFram
         counter = KeyCounter(HELD_KEYS)
         for batch in batches:
             salts = _salts(batch.column(0).to_pylist())
-            for a, b, data, offsets in slices(*text_bytes(batch.column(1))):
+            for a, b, data, offsets in slices(*text_bytes(batch.column(1)), SLICE_BYTES):
                 words = Words(data, offsets)
                 for n in orders:
                     first, keys = words.ngrams(n, salts[a:b])
@@ -227,7 +229,7 @@ def _occurrences(rows: DataFrame, longest: int, frequent) -> DataFrame:
         for batch in batches:
             langs = batch.column(0).to_pylist()
             salts = _salts(langs)
-            for a, b, data, offsets in slices(*text_bytes(batch.column(1))):
+            for a, b, data, offsets in slices(*text_bytes(batch.column(1)), SLICE_BYTES):
                 words = Words(data, offsets)
                 names, ids = batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a)
                 per_text = np.bincount(words.text, minlength=b - a)

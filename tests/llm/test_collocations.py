@@ -6,7 +6,6 @@ import pyarrow as pa
 import pytest
 
 from packetsieve.llm import collocations as co
-from packetsieve.llm import textbytes
 from packetsieve.llm.bloom import bloom_of
 
 LETTERS = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
@@ -58,7 +57,7 @@ def test_equals_brute_force_on_odd_rows(spark, docs_of, odd_rows):
 def test_other_lengths_and_small_buffers(spark, docs_of, odd_rows, monkeypatch):
     monkeypatch.setattr(co, "HELD_KEYS", 500)
     monkeypatch.setattr(co, "HELD_PHRASES", 50)
-    monkeypatch.setattr(textbytes, "SLICE_BYTES", 3000)
+    monkeypatch.setattr(co, "SLICE_BYTES", 3000)
     rows = odd_rows[:30] + odd_rows[42:43]
     got = co.collocations(docs_of(rows, odd=False), longest=4, least=4, percent=70, top=30)
     assert result(got) == sorted(brute(rows, 4, 4, 70, 30))
