@@ -6,7 +6,7 @@ table expression, and a chain of them is one statement.
 
 from __future__ import annotations
 
-from ..operators.isoforest import DRAWS, EULER
+from ..operators.isoforest import EULER, LAST_SHIFT, MIX_ROUNDS, STEP, TURN
 from ..schema import (
     CATEGORICAL,
     CLUSTERS,
@@ -258,6 +258,20 @@ def _uniform(text: str) -> str:
     return f"(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
 
 
+def _priority(row_id: str, tree: str) -> str:
+    """The 64-bit hash of a row for a tree; products are taken with 128 bits."""
+    word = 1 << 64
+
+    def cut(value: str) -> str:
+        return f"CAST(({value}) % {word}::UHUGEINT AS UBIGINT)"
+
+    offset = f"({tree} + 1)::UHUGEINT * {STEP}::UHUGEINT + {SEED * TURN % word}::UHUGEINT"
+    x = cut(f"{row_id}::UHUGEINT + {offset}")
+    for shift, factor in MIX_ROUNDS:
+        x = cut(f"list_transform([{x}], lambda v: xor(v, v >> {shift}))[1]::UHUGEINT * {factor}::UHUGEINT")
+    return f"list_transform([{x}], lambda v: xor(v, v >> {LAST_SHIFT}))[1]"
+
+
 def _forest(rows: str) -> list[tuple[str, str]]:
     """Samples, then one step per level: ends of each feature, pick and cut, move rows."""
     place = "row_number() OVER (PARTITION BY tree ORDER BY"
@@ -266,25 +280,15 @@ def _forest(rows: str) -> list[tuple[str, str]]:
         for i, c in enumerate(FEATURES)
     )
     steps = [
-        ("total", f"SELECT count(*) AS n FROM {rows}"),
         ("trees", f"SELECT CAST(range AS INTEGER) AS tree FROM range({TREES})"),
         (
-            "positions",
-            f"SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS position FROM {rows}",
-        ),
-        (
-            "draws",
-            "SELECT tree, position, min(draw) AS draw FROM (SELECT tree, d.range AS draw, "
-            f"CASE WHEN d.range < {DRAWS} THEN "
-            f"CAST(floor({_uniform(f"concat('{SEED}|', tree, '|', d.range)")} * n) AS BIGINT) "
-            f"ELSE d.range - {DRAWS} END AS position "
-            f"FROM trees, total, range({DRAWS + SAMPLE_PER_TREE}) d "
-            f"WHERE d.range < {DRAWS} + least(n, {SAMPLE_PER_TREE})) GROUP BY 1, 2",
+            "hashes",
+            f"SELECT tree, row_id, {_priority('row_id', 'tree')} AS hash FROM {rows}, trees",
         ),
         (
             "sample",
-            f"SELECT tree, row_id FROM (SELECT tree, position, {place} draw) AS place FROM draws) "
-            f"JOIN positions USING (position) WHERE place <= {SAMPLE_PER_TREE}",
+            f"SELECT tree, row_id FROM (SELECT tree, row_id, {place} hash, row_id) AS place FROM hashes) "
+            f"WHERE place <= {SAMPLE_PER_TREE}",
         ),
         ("long", long),
         ("size", "SELECT max(c) AS sample, ceil(log2(greatest(max(c), 2))) AS depth FROM "

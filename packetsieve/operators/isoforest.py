@@ -8,16 +8,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import FEATURES, FOREST_SCHEMA, ROW_ID, SAMPLE_PER_TREE, SEED
-from .ordering import ordered_index
+from ..session import scratch_path
 
 SCORE = "iso_score"
 FLAG = "is_anomaly"
-# Hashed draws per tree before repeats are dropped; the first positions follow as later draws.
-DRAWS = 4096
+# Fixed values of the hash (splitmix64): steps between trees and seeds, then shifts and factors.
+STEP = 0x9E3779B97F4A7C15
+TURN = 0xD1B54A32D192ED03
+MIX_ROUNDS = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))
+LAST_SHIFT = 31
+# Rows below the bound of a sample, as a multiple of the sample.
+SLACK = 2.0
 EULER = 0.5772156649
 # Rows that take a step together.
 SLICE = 8192
@@ -46,40 +52,57 @@ def mean_depth(n: int) -> float:
     return 2.0 * (math.log(n - 1.0) + EULER) - 2.0 * (n - 1.0) / n
 
 
-def sample_rows(features: DataFrame, trees: int, seed: int = SEED) -> DataFrame:
+def priorities(ids: np.ndarray, tree: int, seed: int = SEED) -> np.ndarray:
+    """64-bit hash of each row id for a tree: the rows with the smallest ones are its sample."""
+    offset = (tree + 1) * STEP + seed * TURN & (1 << 64) - 1
+    x = ids.astype(np.uint64) + np.uint64(offset)
+    for shift, factor in MIX_ROUNDS:
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(LAST_SHIFT)
+    return x
+
+
+def sample_rows(features: DataFrame, trees: int, seed: int = SEED, slack: float = SLACK) -> DataFrame:
     """``(tree, row_id)``: min(n, 256) different rows per tree, uniform over the input.
 
-    One rule for every n: a tree draws row numbers by hash, then takes the
-    positions from 0 on as later draws; the first occurrences count. The input is
-    read once and not once per tree. At most ``trees * 256`` rows are broadcast.
+    Every row has a hash for every tree, and a tree takes the rows with the
+    smallest ones (of equal hashes the smallest id): a bottom-k sample, which
+    hangs on the ids alone and merges over tasks. Tasks pass on only what lies
+    below a bound that about ``slack`` times the sample is expected to meet; if a
+    tree has too few, the bound is raised and the ids are read again. Row ids are
+    neither sorted nor shuffled.
     """
-    spark = features.sparkSession
-    ids = features.select(ROW_ID)
+    ids = features.select(F.col(ROW_ID).cast("long").alias(ROW_ID))
     n = ids.count()
     size = min(n, SAMPLE_PER_TREE)
-    by_tree = Window.partitionBy("tree").orderBy("_draw")
-    hashed = F.floor(uniform(F.concat_ws("|", F.lit(seed), "tree", "_draw")) * F.lit(n))
-    every = DRAWS + size
-    draws = (
-        spark.range(trees * every)
-        .select(
-            F.floor(F.col("id") / every).cast("int").alias("tree"),
-            (F.col("id") % every).alias("_draw"),
-        )
-        .withColumn(
-            "position", F.when(F.col("_draw") < DRAWS, hashed).otherwise(F.col("_draw") - DRAWS)
-        )
-        .groupBy("tree", "position")
-        .agg(F.min("_draw").alias("_draw"))
-        .withColumn("_rank", F.row_number().over(by_tree))
-        .where(F.col("_rank") <= size)
-        .select("tree", "position")
-    )
-    return (
-        ordered_index(ids, [F.col(ROW_ID).asc()])
-        .join(F.broadcast(draws), "position")
-        .select("tree", ROW_ID)
-    )
+    by_hash = Window.partitionBy("tree").orderBy("_hash", ROW_ID)
+    while True:
+        share = 1.0 if n == 0 else min(1.0, slack * (size + 16) / n)
+        bound = (1 << 64) - 1 if share >= 1.0 else int(share * 2.0**64)
+
+        def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.column(0).to_numpy()
+                for tree in range(trees):
+                    hashes = priorities(own, tree, seed)
+                    kept = np.flatnonzero(hashes <= np.uint64(bound))
+                    if len(kept):
+                        # Shifted so that signed order is that of the hashes.
+                        signed = (hashes[kept] ^ np.uint64(1 << 63)).view(np.int64)
+                        columns = [np.full(len(kept), tree, np.int32), signed, own[kept]]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(c) for c in columns], ["tree", "_hash", ROW_ID]
+                        )
+
+        path = scratch_path(features.sparkSession, "sample")
+        schema = f"tree int, _hash long, {ROW_ID} long"
+        ranked = ids.mapInArrow(below, schema).withColumn("_place", F.row_number().over(by_hash))
+        ranked.where(F.col("_place") <= size).select("tree", ROW_ID).write.parquet(path)
+        sample = features.sparkSession.read.schema(f"tree int, {ROW_ID} long").parquet(path)
+        if share >= 1.0 or sample.count() == trees * size:
+            return sample
+        slack *= 4
 
 
 def grow_tree(tree: int, x: np.ndarray, seed: int) -> list[tuple]:
