@@ -1,12 +1,21 @@
-"""Reads packet captures: one CSV file per capture, chosen by the date in its name."""
+"""Reads packet captures: one CSV file per capture, chosen by the date in its name.
+
+Tasks read the first line of each file; the driver sees each distinct header once.
+However many there are, one scan reads all files by place, and a small table says
+which column each place of a header is.
+"""
 
 from __future__ import annotations
 
 import csv
-from collections import defaultdict
+import re
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,16 +23,21 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import null_spellings_to_null
 from ..functions.names import capture_date, capture_file_name
 from ..schema import text_schema
+from ..session import scratch_path
 
 FILE_NAME = "file_name"
+#: A file's path as scans give it in ``_metadata.file_path``.
+URI = "uri"
 HEADER_READERS = 32
+HEADER_CHUNK = 1 << 13
 
 
 def list_captures(spark: SparkSession, pattern: str) -> DataFrame:
-    """``(path, file_name)`` of the files under a path pattern; contents are not read."""
+    """``(path, file_name, uri)`` of the files under a path pattern; contents are not read."""
     # An aggregated or filtered listing of this source never loads ``content``.
     files = spark.read.format("binaryFile").load(pattern)
-    return files.select("path", capture_file_name(F.col("_metadata.file_path")).alias(FILE_NAME))
+    uri = F.col("_metadata.file_path")
+    return files.select("path", capture_file_name(uri).alias(FILE_NAME), uri.alias(URI))
 
 
 def _within(date: Column, start, end) -> Column:
@@ -57,7 +71,70 @@ def prune_lenient(files: DataFrame, start, end) -> DataFrame:
     return files.where(date.isNotNull() & _within(date, start, end))
 
 
-def _header_line(spark: SparkSession, path: str) -> str | None:
+# Headers
+
+
+Header = tuple[str, ...]
+
+
+def _names(line: str | None) -> Header | None:
+    """Column names of a header line, None for an empty file."""
+    return tuple(next(csv.reader([line.lstrip("\ufeff")]))) if line else None
+
+
+def _open(uri: str):
+    store, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+    return store.open_input_stream(path)
+
+
+def _is_known_store(uri: str) -> bool:
+    """Whether tasks can open files of this store without Spark."""
+    try:
+        fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+    except (pa.ArrowException, OSError):
+        return False
+    return True
+
+
+def _first_line(uri: str) -> str | None:
+    """First line of a file; no more than its first chunks are read."""
+    line = b""
+    with _open(uri) as stream:
+        while chunk := stream.read(HEADER_CHUNK):
+            ends = [i for i in (chunk.find(b"\n"), chunk.find(b"\r")) if i >= 0]
+            line += chunk[: min(ends)] if ends else chunk
+            if ends:
+                break
+    return line.decode("utf-8", "replace") or None
+
+
+def _header_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        headers, errors = [], []
+        for uri in batch.column(1).to_pylist():
+            header = error = None
+            try:
+                header = _names(_first_line(uri))
+            except OSError as failure:
+                error = str(failure)
+            headers.append(header and list(header))
+            errors.append(error)
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(headers, pa.list_(pa.string())), pa.array(errors, pa.string())],
+            ["path", URI, "header", "error"],
+        )
+
+
+def header_table(files: DataFrame) -> DataFrame:
+    """``path``, ``uri``, ``header`` (null: empty or unreadable) and ``error`` of each file, read in tasks, once."""
+    spark = files.sparkSession
+    path = scratch_path(spark, "headers")
+    schema = f"path string, {URI} string, header array<string>, error string"
+    files.select("path", URI).mapInArrow(_header_rows, schema).write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _line_on_driver(spark: SparkSession, path: str) -> str | None:
     """First line of a file, through the file system Spark reads it with."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -70,77 +147,132 @@ def _header_line(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def _is_read_error(spark: SparkSession, error: Py4JJavaError) -> bool:
-    return spark.sparkContext._jvm.java.lang.Class.forName("java.io.IOException").isInstance(
-        error.java_exception
-    )
+def _headers_on_driver(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """The same table for a store that only Spark can open."""
+    listed = [(r["path"], r[URI]) for r in files.select("path", URI).collect()]
+
+    def read(file: tuple[str, str]):
+        try:
+            return *file, _names(_line_on_driver(spark, file[0])), None
+        except Py4JJavaError as error:
+            io = spark.sparkContext._jvm.java.lang.Class.forName("java.io.IOException")
+            if not io.isInstance(error.java_exception):
+                raise
+            return *file, None, str(error.java_exception)
+
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        rows = [(p, u, h and list(h), e) for p, u, h, e in pool.map(read, listed)]
+    return spark.createDataFrame(rows, f"path string, {URI} string, header array<string>, error string")
+
 
+@dataclass(frozen=True)
+class Layout:
+    """Files to scan and the distinct headers they have, the one with the first path first."""
 
-def _by_header(
-    spark: SparkSession, paths: list[str], skip_bad: bool, same_header: bool
-) -> dict[tuple[str, ...], list[str]]:
-    """Paths by column names. One line per file is read, and no row.
+    paths: list[str]
+    headers: list[Header]
+    files: list[int]
+    table: DataFrame | None
+
+
+def layout_of(spark: SparkSession, files: DataFrame, skip_bad: bool, same_header: bool) -> Layout:
+    """Headers of the listed files. One line per file is read, and no row.
 
     With ``same_header`` the first file speaks for all of them.
     """
-
-    def names(path: str) -> tuple[str, ...] | None:
-        try:
-            line = _header_line(spark, path)
-        except Py4JJavaError as error:
-            if skip_bad and _is_read_error(spark, error):
-                return None
-            raise
-        return tuple(next(csv.reader([line.lstrip("\ufeff")]))) if line else None
-
-    if same_header and paths:
-        header = names(paths[0])
-        return {header: paths} if header else {}
-    groups = defaultdict(list)
-    with ThreadPoolExecutor(HEADER_READERS) as pool:
-        for path, header in zip(paths, pool.map(names, paths)):
-            if header:
-                groups[header].append(path)
-    return groups
+    first = files.select("path", URI).orderBy("path").first()
+    if first is None:
+        return Layout([], [], [], None)
+    if same_header:
+        header = _names(_line_on_driver(spark, first["path"]))
+        paths = sorted(r["path"] for r in files.select("path").collect()) if header else []
+        return Layout(paths, [header] if header else [], [len(paths)], None)
+    table = header_table(files) if _is_known_store(first[URI]) else _headers_on_driver(spark, files)
+    if not skip_bad:
+        bad = table.where("error IS NOT NULL").orderBy("path").first()
+        if bad is not None:
+            raise OSError(f"{bad['path']}: {bad['error']}")
+    good = table.where("header IS NOT NULL")
+    grouped = good.groupBy("header").agg(F.min("path").alias("first"), F.count("*").alias("files"))
+    found = sorted(grouped.collect(), key=lambda r: r["first"])
+    paths = sorted(r["path"] for r in good.select("path").collect())
+    return Layout(paths, [tuple(r["header"]) for r in found], [r["files"] for r in found], good)
+
+
+# Scans
 
 
 RAW_RECORD = "_raw_record"
 
 
-def _is_broken(header: tuple[str, ...]) -> Column:
-    """Records with more fields than the header, or cut off by a line break in quotes.
+def _is_broken(first: str, widest: int, width: Column) -> Column:
+    """Records with more fields than their header, or cut off by a line break in quotes.
 
-    Spark keeps the text of records whose fields are not as many as the header's;
-    one with fewer is right and has nulls at its end.
+    Spark keeps the text of records whose fields are not as many as the ``widest``
+    header's; one with fewer than its own header's is right and has nulls at its end.
     """
     raw = F.col(RAW_RECORD)
-    fields = ", ".join(f"c{i} string" for i in range(len(header) + 1))
+    fields = ", ".join(f"c{i} string" for i in range(widest + 1))
     # No text equals this null value, so a field is null only where it is missing.
     parsed = F.from_csv(raw, fields, {"escape": '"', "nullValue": "\x01"})
+    beyond = F.get(F.array(*[parsed[f"c{i}"] for i in range(widest + 1)]), width)
     quotes = F.length(raw) - F.length(F.replace(raw, F.lit('"'), F.lit("")))
-    broken = parsed[f"c{len(header)}"].isNotNull() | (quotes % 2 == 1)
+    broken = F.coalesce(beyond.isNotNull() | (quotes % 2 == 1), F.lit(False))
     # Spark refuses to read nothing but the raw text, so a column is named as well.
-    looked_at = raw.isNotNull() | F.col(f"`{header[0]}`").eqNullSafe(F.lit("\x01"))
-    return F.when(looked_at, F.coalesce(broken, F.lit(False))).otherwise(False)
+    looked_at = raw.isNotNull() | F.col(f"`{first}`").eqNullSafe(F.lit("\x01"))
+    return F.when(looked_at, broken).otherwise(width < widest)
 
 
-def _scan(spark: SparkSession, paths: list[str], header, multi_line: bool) -> DataFrame:
-    """Raw rows with ``file_name`` and the mark ``_broken``."""
-    rows = (
-        spark.read.schema(text_schema([*header, RAW_RECORD]))
+def _reader(spark: SparkSession, columns, multi_line: bool):
+    return (
+        spark.read.schema(text_schema([*columns, RAW_RECORD]))
         .option("header", True)
-        .option("enforceSchema", False)
         .option("escape", '"')
         .option("columnNameOfCorruptRecord", RAW_RECORD)
         # A pruned parse does not count the fields of a record.
         .option("columnPruning", False)
         .option("multiLine", multi_line)
-        .csv(paths)
     )
+
+
+def _scan(spark: SparkSession, paths: list[str], header: Header, multi_line: bool) -> DataFrame:
+    """Raw rows of files with one header, with ``file_name`` and the mark ``_broken``."""
+    rows = _reader(spark, header, multi_line).option("enforceSchema", False).csv(paths)
     return rows.select(
         *[null_spellings_to_null(F.col(f"`{c}`")).alias(c) for c in header],
         capture_file_name(F.col("_metadata.file_path")).alias(FILE_NAME),
-        _is_broken(header).alias("_broken"),
+        _is_broken(header[0], len(header), F.lit(len(header))).alias("_broken"),
+    )
+
+
+def _scan_by_place(spark: SparkSession, layout: Layout, multi_line: bool) -> DataFrame:
+    """The same for files with several headers, in one scan.
+
+    Fields are read by place. Files with the most common header are not looked up;
+    the others are joined by their path, so Spark's own size check decides whether
+    that table is broadcast.
+    """
+    names = list(dict.fromkeys(name for header in layout.headers for name in header))
+    widest = max(len(h) for h in layout.headers)
+    common = max(range(len(layout.headers)), key=lambda i: (layout.files[i], -i))
+    places = [
+        (i, list(h), [h.index(n) if n in h else None for n in names], len(h))
+        for i, h in enumerate(layout.headers)
+    ]
+    headers = spark.createDataFrame(places, "_id int, header array<string>, _places array<int>, _width int")
+    others = layout.table.join(headers.where(F.col("_id") != common), "header").select(URI, "_id")
+    fields = [f"_field{i}" for i in range(widest)]
+    uri = F.col("_metadata.file_path")
+    rows = _reader(spark, fields, multi_line).csv(layout.paths).select(
+        F.array(*fields).alias("_fields"), fields[0], RAW_RECORD, capture_file_name(uri).alias(FILE_NAME), uri.alias(URI)
+    )
+    rows = rows.join(others, URI, "left").withColumn("_id", F.coalesce("_id", F.lit(common)))
+    rows = rows.join(headers.drop("header"), "_id")
+    values = [F.get("_fields", F.get("_places", F.lit(i))) for i in range(len(names))]
+    return rows.select(
+        *[null_spellings_to_null(v).alias(n) for n, v in zip(names, values)],
+        FILE_NAME,
+        _is_broken(fields[0], widest, F.col("_width")).alias("_broken"),
     )
 
 
@@ -151,13 +283,11 @@ def _checked(rows: DataFrame) -> DataFrame:
     return rows.where(fits).drop("_broken")
 
 
-def _without_broken_files(
-    spark: SparkSession, paths: list[str], header, multi_line: bool
-) -> DataFrame:
+def _without_broken_files(rows: DataFrame) -> DataFrame:
     """Rows of the files that have no broken record; the others are left out whole."""
-    rows = _scan(spark, paths, header, multi_line)
     broken = rows.where("_broken").select(FILE_NAME).distinct()
-    return rows.drop("_broken").join(broken, FILE_NAME, "left_anti").select(*header, FILE_NAME)
+    kept = rows.drop("_broken")
+    return kept.join(broken, FILE_NAME, "left_anti").select(*[F.col(f"`{c}`") for c in kept.columns])
 
 
 def union_by_name(parts: list[DataFrame]) -> DataFrame:
@@ -175,27 +305,26 @@ def read_captures(
 ) -> DataFrame | None:
     """Rows of the listed captures as text, plus ``file_name``.
 
-    Files are read per distinct header, so a column keeps its name whatever its
-    place in the file. For very many files, ``same_header`` trusts that they
-    all have the first one's header, which the scan itself then checks: another
-    header fails the job. A record that is longer than the header, or that a line
-    break in quotes cuts off, fails the job; with ``skip_bad`` its whole file is
-    left out, as are files that cannot be opened. ``multi_line`` allows line
-    breaks in quotes, at the price of one task per file. Without any file the
-    result is an error, or None for ``on_empty="skip"``. The driver holds one path per file, as every Spark
-    read does.
+    A column keeps its name whatever its place in a file; a column that a file
+    lacks is null in its rows. Tasks read the header of each file. For very many files,
+    ``same_header`` trusts that they all have the first one's header, which the scan
+    itself then checks: another header fails the job. A record that is longer than
+    the header, or that a line break in quotes cuts off, fails the job; with
+    ``skip_bad`` its whole file is left out, as are files that cannot be opened.
+    ``multi_line`` allows line breaks in quotes, at the price of one task per file.
+    Without any file the result is an error, or None for ``on_empty="skip"``. The
+    driver holds the paths of the files that are kept, as every Spark read does.
     """
-    paths = sorted(r["path"] for r in files.select("path").collect())
-    groups = _by_header(spark, paths, skip_bad, same_header)
-    if not groups:
+    layout = layout_of(spark, files, skip_bad, same_header)
+    if not layout.headers:
         if on_empty == "skip":
             return None
         raise FileNotFoundError("no captures in that range")
-    if skip_bad:
-        parts = [_without_broken_files(spark, p, h, multi_line) for h, p in groups.items()]
+    if len(layout.headers) == 1:
+        rows = _scan(spark, layout.paths, layout.headers[0], multi_line)
     else:
-        parts = [_checked(_scan(spark, p, h, multi_line)) for h, p in groups.items()]
-    return union_by_name(parts)
+        rows = _scan_by_place(spark, layout, multi_line)
+    return _without_broken_files(rows) if skip_bad else _checked(rows)
 
 
 def training_captures(
