@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.durations import duration_bucket, duration_text, elapsed_seconds
 from ..functions.cleaning import to_timestamp
 from ..schema import PHASES_TYPE, RUN_EVENT_FIELDS, RUN_EVENT_SCHEMA, TRAINING_LOG_SCHEMA
+from ..sources import event_store
 
 TRAINING_FIELDS = (
     "folder_name",
@@ -28,40 +27,48 @@ TRAINING_FIELDS = (
 RUNNING = "running"
 
 
-def next_seq() -> int:
-    return time.time_ns()
-
-
 def append_event(spark: SparkSession, path: str, schema: str, **fields) -> None:
     """Add one event with the given fields; the others are null and change nothing."""
-    names = T.StructType.fromDDL(schema).names
-    unknown = set(fields) - set(names)
-    if unknown:
-        raise ValueError(f"unknown fields {sorted(unknown)}")
-    fields.setdefault("seq", next_seq())
-    row = tuple(fields.get(n) for n in names)
-    spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(path)
+    event_store.append(spark, path, schema, _key(schema), **fields)
+
+
+def _key(schema: str) -> str:
+    """The column that names a run or training: the first one."""
+    return T.StructType.fromDDL(schema).names[0]
+
+
+def compact_events(spark: SparkSession, path: str, schema: str) -> bool:
+    """Put the events of a log or history into few files; readers see the same events."""
+    return event_store.compact(spark, path, schema, _key(schema))
 
 
 def training_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TRAINING_LOG_SCHEMA).parquet(path)
+    return event_store.read(spark, path, TRAINING_LOG_SCHEMA)
+
+
+def run_events(spark: SparkSession, path: str, job_id: str | None = None) -> DataFrame:
+    """All events, or those of one run, for which other buckets are not read."""
+    events = event_store.read(spark, path, RUN_EVENT_SCHEMA, job_id)
+    return events if job_id is None else events.where(F.col("job_id") == job_id)
 
 
-def run_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RUN_EVENT_SCHEMA).parquet(path)
+def _order(events: DataFrame):
+    """What events are ordered by; the writer tells equal numbers apart."""
+    return F.struct("seq", "writer") if "writer" in events.columns else F.col("seq")
 
 
-def _newest(field: str, seq: str):
+def _newest(field: str, order):
     """The value of the last event that sets a field."""
-    return F.max_by(field, F.when(F.col(field).isNotNull(), F.col(seq))).alias(field)
+    return F.max_by(field, F.when(F.col(field).isNotNull(), order)).alias(field)
 
 
 def latest_phases(events: DataFrame) -> DataFrame:
     """``(entry, phase, status, time_sec)``: a later phase of the same name wins."""
-    phases = events.select("entry", "seq", F.explode("phases").alias("phase", "_state"))
+    order = _order(events).alias("_order")
+    phases = events.select("entry", order, F.explode("phases").alias("phase", "_state"))
     return (
         phases.groupBy("entry", "phase")
-        .agg(F.max_by("_state", "seq").alias("_state"))
+        .agg(F.max_by("_state", "_order").alias("_state"))
         .select("entry", "phase", "_state.status", "_state.time_sec")
     )
 
@@ -74,9 +81,10 @@ def latest_training(events: DataFrame, fields=TRAINING_FIELDS) -> DataFrame:
     many of them is no hot group. A log has a handful of phase names.
     """
     starts = events.where(F.col("status") == RUNNING).groupBy("entry")
-    starts = starts.agg(F.max("seq").alias("_start"))
-    current = events.join(starts, "entry", "left").where("_start IS NULL OR seq >= _start")
-    state = current.groupBy("entry").agg(*[_newest(f, "seq") for f in fields])
+    order = _order(events)
+    starts = starts.agg(F.max(order).alias("_start"))
+    current = events.join(starts, "entry", "left").where(F.col("_start").isNull() | (order >= F.col("_start")))
+    state = current.groupBy("entry").agg(*[_newest(f, order) for f in fields])
     phases = (
         latest_phases(events)
         .groupBy("entry")
@@ -103,12 +111,12 @@ def phase_shares(phases: DataFrame) -> DataFrame:
 
 def latest_runs(events: DataFrame, fields=RUN_EVENT_FIELDS) -> DataFrame:
     """State of each run: for every field the value of the last event that sets it."""
-    return events.groupBy("job_id").agg(*[_newest(f, "seq") for f in fields])
+    return events.groupBy("job_id").agg(*[_newest(f, _order(events)) for f in fields])
 
 
 def require_run(spark: SparkSession, path: str, job_id: str) -> None:
     """Fail for a run without a record."""
-    if run_events(spark, path).where(F.col("job_id") == job_id).isEmpty():
+    if run_events(spark, path, job_id).isEmpty():
         raise LookupError(f"no run {job_id} in the history")
 
 

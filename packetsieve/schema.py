@@ -87,7 +87,7 @@ MODEL_INFO_SCHEMA = (
 )
 PHASES_TYPE = "map<string, struct<status: string, time_sec: double>>"
 TRAINING_LOG_SCHEMA = (
-    "entry string, seq long, folder_name string, mode string, status string, "
+    "entry string, seq long, writer string, folder_name string, mode string, status string, "
     "num_rows long, n_features int, started_at string, finished_at string, "
     f"elapsed_sec double, phases {PHASES_TYPE}"
 )
@@ -112,7 +112,7 @@ RUN_EVENT_FIELDS = (
     "error",
 )
 RUN_EVENT_SCHEMA = (
-    "job_id string, seq long, csv_file string, created_at string, "
+    "job_id string, seq long, writer string, csv_file string, created_at string, "
     "started_at string, finished_at string, progress int, stage string, "
     "status string, duration_seconds double, duration_human string, "
     f"duration_category string, result {REPORT_TYPE}, error string"
