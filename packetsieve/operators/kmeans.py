@@ -3,6 +3,14 @@
 All restarts share their passes over the data. A pass reads the rows as packed
 blocks, reduces each task's blocks to one row per restart and cluster, and adds
 those up; only such sums reach the driver.
+
+Once the centres slow down, a full pass also finds for each row and restart how
+much nearer its centre is than each other one. Until the two centres have moved by
+that much together, the row cannot change from the one to the other. Rows that
+some more steps could change are kept with their clusters; the passes that follow
+read only those, and add what changes to the sums of that full pass. When a pair
+of centres has moved further, a full pass marks the rows anew. The centres are
+those of full passes throughout.
 """
 
 from __future__ import annotations
@@ -24,6 +32,20 @@ DISTANCE = "kmeans_distance"
 BLOCK_SCHEMA = "ids binary, matrix binary"
 # Rows that a pass handles at a time.
 SLICE = 1024
+# Tasks whose sums reach the driver as they are; those of more tasks are added up before.
+DIRECT_TASKS = 64
+# Full passes before rows are marked, as the centres move too far at first.
+FULL_PASSES = 3
+# Rows are kept if as many steps as the last one could change their cluster.
+HORIZON = 8
+# A centre that stands nearly still is expected to move by this share of the fastest one's step.
+LEAST_PACE = 0.05
+# Marks on more than this share of the rows save too little: the next ones are tried later.
+MARKED_SHARE = 0.5
+# Up to so many marked rows (6 MB) come to the driver, which makes the passes itself.
+DRIVER_ROWS = 1 << 15
+# Relative error of a squared distance, with room to spare.
+ROUNDING = 1e-12
 
 
 # Assignment
@@ -74,6 +96,7 @@ class Blocks:
     variance: float
     rows: int
     columns: tuple[str, ...]
+    tasks: int
 
 
 @contextmanager
@@ -108,7 +131,7 @@ def packed(features: DataFrame, columns=FEATURES) -> Iterator[Blocks]:
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     try:
-        yield Blocks(table, mean, variance, shape["n"], columns)
+        yield Blocks(table, mean, variance, shape["n"], columns, table.rdd.getNumPartitions())
     finally:
         table.unpersist()
 
@@ -196,9 +219,13 @@ def _draw_next(blocks: Blocks, chosen: np.ndarray, seeds: list[int]) -> np.ndarr
             )
 
     winners = blocks.table.mapInArrow(race, "restart int, time double, point array<double>")
-    winners = winners.groupBy("restart").agg(F.min(F.struct("time", "point")).alias("first"))
-    points = {w["restart"]: w["first"]["point"] for w in winners.collect()}
-    new = np.array([[points[r]] for r in range(len(seeds))])
+    if blocks.tasks > DIRECT_TASKS:
+        first = F.min(F.struct("time", "point")).alias("first")
+        winners = winners.groupBy("restart").agg(first).select("restart", "first.*")
+    points = {}
+    for w in winners.collect():
+        points[w["restart"]] = min(points.get(w["restart"], w[1:]), w[1:])
+    new = np.array([[points[r][1]] for r in range(len(seeds))])
     return np.concatenate([chosen, new], axis=1)
 
 
@@ -237,6 +264,39 @@ def _shift(moved: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((moved - centres) ** 2).sum(axis=(1, 2))
 
 
+def _sum_names(width: int) -> list[str]:
+    return ["n", "cost", *[f"s{j}" for j in range(width)]]
+
+
+def _sums_schema(width: int) -> str:
+    return "restart int, cluster int, " + ", ".join(f"{c} double" for c in _sum_names(width))
+
+
+def _sum_columns(sums: np.ndarray, counts: np.ndarray, costs: np.ndarray, k: int) -> list[pa.Array]:
+    """One task's sums as columns; the first cluster of a restart carries its cost."""
+    restarts = len(costs)
+    return [
+        pa.array(np.repeat(np.arange(restarts, dtype=np.int32), k)),
+        pa.array(np.tile(np.arange(k, dtype=np.int32), restarts)),
+        pa.array(counts.astype(np.float64)),
+        pa.array(np.where(np.arange(restarts * k) % k == 0, np.repeat(costs, k), 0.0)),
+        *[pa.array(sums[:, j].copy()) for j in range(sums.shape[1])],
+    ]
+
+
+def _gathered(totals: DataFrame, tasks: int, restarts: int, k: int, width: int) -> np.ndarray:
+    """Counts, costs and sums (restarts * k, 2 + width) over all tasks."""
+    measures = _sum_names(width)
+    totals = totals.select("restart", "cluster", *measures)
+    if tasks > DIRECT_TASKS:
+        totals = totals.groupBy("restart", "cluster").sum(*measures).toDF("restart", "cluster", *measures)
+    table = totals.toArrow()
+    place = table["restart"].to_numpy() * k + table["cluster"].to_numpy()
+    sums = np.zeros((restarts * k, width + 2))
+    np.add.at(sums, place, np.column_stack([table[c].to_numpy() for c in measures]))
+    return sums
+
+
 def lloyd_pass(blocks: Blocks, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Means of the rows nearest to each centre, and each restart's cost before the move.
 
@@ -246,32 +306,204 @@ def lloyd_pass(blocks: Blocks, centres: np.ndarray) -> tuple[np.ndarray, np.ndar
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, counts, costs = _totals((m for _, m in _matrices(batches, width)), centres)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(np.arange(restarts, dtype=np.int32), k)),
-                pa.array(np.tile(np.arange(k, dtype=np.int32), restarts)),
-                pa.array(counts),
-                pa.array(np.where(np.arange(restarts * k) % k == 0, np.repeat(costs, k), 0.0)),
-                *[pa.array(sums[:, j].copy()) for j in range(width)],
-            ],
-            ["restart", "cluster", "n", "cost", *[f"s{j}" for j in range(width)]],
-        )
-
-    sum_columns = [f"s{j}" for j in range(width)]
-    schema = ", ".join(
-        ["restart int", "cluster int", "n double", "cost double"]
-        + [f"{c} double" for c in sum_columns]
-    )
-    totals = blocks.table.mapInArrow(reduce, schema)
-    measures = ["n", "cost", *sum_columns]
-    table = totals.groupBy("restart", "cluster").sum(*measures).toDF("restart", "cluster", *measures).toArrow()
-    place = table["restart"].to_numpy() * k + table["cluster"].to_numpy()
-    sums = np.zeros((restarts * k, width + 2))
-    np.add.at(sums, place, np.column_stack([table[c].to_numpy() for c in table.column_names[2:]]))
+        names = ["restart", "cluster", *_sum_names(width)]
+        yield pa.RecordBatch.from_arrays(_sum_columns(sums, counts, costs, k), names)
+
+    totals = blocks.table.mapInArrow(reduce, _sums_schema(width))
+    sums = _gathered(totals, blocks.tasks, restarts, k, width)
     costs = sums[:, 1].reshape(restarts, k).sum(axis=1)
     return _means(sums[:, 2:], sums[:, 0], centres), costs
 
 
+# Passes over rows that can change their cluster
+
+
+def _near_change(matrix: np.ndarray, centres: np.ndarray, bounds: np.ndarray):
+    """Clusters (restarts, rows), rows that may change one, and squared distances less the row's squared length.
+
+    A row may change from its centre to another one if that is farther by no more
+    than ``bounds`` (restarts, centres, centres) of the two.
+    """
+    distances = _distances(matrix, centres)
+    labels = distances.argmin(axis=1)
+    best = np.take_along_axis(distances, labels[:, None, :], axis=1)[:, 0]
+    square = np.einsum("ij,ij->i", matrix, matrix)
+    error = ROUNDING * (square + np.einsum("rkj,rkj->rk", centres, centres).max())
+    near = np.sqrt(np.maximum(best + square, 0.0) + error)
+    distances += square - error
+    np.sqrt(np.maximum(distances, 0.0, out=distances), out=distances)
+    within = np.zeros(len(matrix), dtype=bool)
+    for r, own in enumerate(labels):
+        limit = bounds[r][own].T
+        limit += near[r]
+        close = distances[r] <= limit
+        close[own, np.arange(len(own))] = False
+        within |= close.any(axis=0)
+    return labels.astype(np.int8), np.flatnonzero(within), best
+
+
+def _changes(matrix: np.ndarray, labels: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What rows add to the sums and counts when their clusters (restarts, rows) become the ``centres``'."""
+    restarts, k, width = centres.shape
+    sums, counts = np.zeros((restarts * k, width)), np.zeros(restarts * k)
+    for first in range(0, len(matrix), SLICE):
+        part, before = matrix[first : first + SLICE], labels[:, first : first + SLICE]
+        after = _distances(part, centres).argmin(axis=1)
+        restart, row = np.nonzero(after != before)
+        for sign, cluster in ((-1.0, before), (1.0, after)):
+            at = restart * k + cluster[restart, row]
+            np.add.at(sums, at, sign * part[row])
+            np.add.at(counts, at, sign)
+    return sums, counts
+
+
+def _unpacked(block, labels, width: int, restarts: int) -> tuple[np.ndarray, np.ndarray]:
+    matrix = np.frombuffer(block.as_buffer()).reshape(-1, width)
+    return matrix, np.frombuffer(labels.as_buffer(), dtype=np.int8).reshape(restarts, -1)
+
+
+class Marks:
+    """Rows that may change their cluster, with the clusters they had in a full pass.
+
+    ``table`` has one row for each block of them (matrix, clusters of all restarts).
+    ``sums`` are those of the full pass, and ``moved`` is how far each centre has come
+    since. The other rows stay in their clusters as long as no two centres have moved
+    by more than their ``bounds`` together.
+    """
+
+    def __init__(self, blocks: Blocks, table: DataFrame, restarts: np.ndarray, bounds: np.ndarray, sums: np.ndarray, rows: int):
+        self.blocks, self.table, self.restarts, self.bounds, self.sums, self.rows = blocks, table, restarts, bounds, sums, rows
+        self.moved = np.zeros(bounds.shape[:2])
+        self.local = self._collected() if rows <= DRIVER_ROWS else None
+
+    def _held(self) -> DataFrame:
+        return self.table.where("matrix IS NOT NULL").select("matrix", "labels")
+
+    def _collected(self) -> list:
+        width = len(self.blocks.columns)
+        batches = self._held().toArrow().to_batches()
+        return [_unpacked(*row, width, len(self.restarts)) for batch in batches for row in zip(*batch.columns)]
+
+    def hold(self, active: np.ndarray) -> bool:
+        """Whether no row beyond the marked ones can have changed its cluster."""
+        places = np.searchsorted(self.restarts, active)
+        moved, k = self.moved[places], self.moved.shape[1]
+        within = moved[:, :, None] + moved[:, None, :] <= self.bounds[places]
+        return bool((within | np.eye(k, dtype=bool)).all())
+
+    def step(self, active: np.ndarray, distances: np.ndarray) -> None:
+        self.moved[np.searchsorted(self.restarts, active)] += distances * (1.0 + 1e-9)
+
+    def totals(self, centres: np.ndarray, active: np.ndarray) -> np.ndarray:
+        """Counts, costs (of the full pass) and sums of the active restarts for these centres."""
+        count, k, width = centres.shape
+        places, total = np.searchsorted(self.restarts, active), len(self.restarts)
+        base = self.sums.reshape(total, k, -1)[places].reshape(count * k, -1)
+
+        def added(rows) -> tuple[np.ndarray, np.ndarray]:
+            sums, counts = np.zeros((count * k, width)), np.zeros(count * k)
+            for matrix, labels in rows:
+                more, members = _changes(matrix, labels[places], centres)
+                sums, counts = sums + more, counts + members
+            return sums, counts
+
+        if self.local is not None:
+            sums, counts = added(self.local)
+            return base + np.column_stack([counts, np.zeros(count * k), sums])
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = (_unpacked(*row, width, total) for batch in batches for row in zip(*batch.columns))
+            names = ["restart", "cluster", *_sum_names(width)]
+            yield pa.RecordBatch.from_arrays(_sum_columns(*added(rows), np.zeros(count), k), names)
+
+        changes = self._held().mapInArrow(compare, _sums_schema(width))
+        return base + _gathered(changes, self.blocks.tasks, count, k, width)
+
+    def drop(self) -> None:
+        self.table.unpersist()
+
+
+def marking_pass(
+    blocks: Blocks, centres: np.ndarray, restarts: np.ndarray, pace: np.ndarray, horizon: int = HORIZON
+) -> Marks:
+    """A full pass that also keeps the rows that ``horizon`` steps of the last ``pace`` (restarts, k) may change."""
+    count, k, width = centres.shape
+    names = ["restart", "cluster", *_sum_names(width), "matrix", "labels", "rows"]
+    expected = np.maximum(pace, LEAST_PACE * pace.max(axis=1, keepdims=True)) * horizon
+    bounds = expected[:, :, None] + expected[:, None, :]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts, costs = np.zeros((count * k, width)), np.zeros(count * k), np.zeros(count)
+        marked = 0
+        for batch in batches:
+            for block in batch.column("matrix"):
+                whole = np.frombuffer(block.as_buffer()).reshape(-1, width)
+                kept = []
+                for first in range(0, len(whole), SLICE):
+                    matrix = whole[first : first + SLICE]
+                    labels, near, best = _near_change(matrix, centres, bounds)
+                    members = (labels[:, None, :] == np.arange(k)[None, :, None]).reshape(count * k, -1)
+                    sums += members.astype(np.float64) @ matrix
+                    counts += np.count_nonzero(members, axis=1)
+                    costs += best.sum(axis=1) + np.einsum("ij,ij->", matrix, matrix)
+                    if len(near):
+                        kept.append((matrix[near], labels[:, near]))
+                if kept:
+                    parts = [np.concatenate([m for m, _ in kept]), np.concatenate([n for _, n in kept], axis=1)]
+                    marked += len(parts[0])
+                    none = [pa.nulls(1, pa.int32())] * 2 + [pa.nulls(1, pa.float64())] * (2 + width)
+                    own = [pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in parts]
+                    yield pa.RecordBatch.from_arrays([*none, *own, pa.nulls(1, pa.int64())], names)
+        rows = np.zeros(count * k, dtype=np.int64)
+        rows[0] = marked
+        none = [pa.nulls(count * k, pa.binary())] * 2
+        yield pa.RecordBatch.from_arrays([*_sum_columns(sums, counts, costs, k), *none, pa.array(rows)], names)
+
+    schema = _sums_schema(width) + ", matrix binary, labels binary, rows long"
+    table = blocks.table.mapInArrow(mark, schema).persist(StorageLevel.MEMORY_AND_DISK)
+    totals = table.where("restart IS NOT NULL")
+    sums = _gathered(totals, blocks.tasks, count, k, width)
+    rows = totals.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    return Marks(blocks, table, restarts, bounds, sums, rows)
+
+
+def settled_centres(blocks: Blocks, centres: np.ndarray, limit: float, max_iter: int) -> np.ndarray:
+    """Centres of all restarts after they have come to rest, or after ``max_iter`` passes."""
+    centres = centres.copy()
+    active = np.arange(len(centres))
+    marks, pace, next_try, horizon = None, np.zeros(centres.shape[:2]), FULL_PASSES, HORIZON
+    try:
+        for number in range(max_iter):
+            old = centres[active]
+            if marks is not None and not marks.hold(active):
+                marks.drop()
+                marks = None
+            if marks is not None:
+                sums = marks.totals(old, active)
+                moved = _means(sums[:, 2:], sums[:, 0], old)
+            elif number >= next_try:
+                marks = marking_pass(blocks, old, active, pace[active], horizon)
+                # Passes on the driver cost next to nothing, so the next marks may hold for longer.
+                horizon = 3 * HORIZON if marks.rows <= DRIVER_ROWS // 2 else HORIZON
+                moved = _means(marks.sums[:, 2:], marks.sums[:, 0], old)
+                if marks.rows > MARKED_SHARE * blocks.rows:
+                    marks.drop()
+                    marks, next_try = None, number + HORIZON // 2
+            else:
+                moved, _ = lloyd_pass(blocks, old)
+            pace[active] = np.sqrt(((moved - old) ** 2).sum(axis=2))
+            if marks is not None:
+                marks.step(active, pace[active])
+            centres[active] = moved
+            active = active[_shift(moved, old) > limit]
+            if len(active) == 0:
+                break
+    finally:
+        if marks is not None:
+            marks.drop()
+    return centres
+
+
 def lloyd_rounds(
     features: DataFrame, centres: list, rounds: int, columns=FEATURES
 ) -> list[tuple[int, list[float]]]:
@@ -319,16 +551,8 @@ def restart_fits(
     with packed(features) as blocks:
         if blocks.rows < k:
             raise ValueError(f"{blocks.rows} rows cannot form {k} clusters")
-        limit = tol * blocks.variance
         centres = kmeans_plus_plus(blocks, k, [seed + i for i in range(restarts)])
-        active = np.arange(restarts)
-        for _ in range(max_iter):
-            moved, _ = lloyd_pass(blocks, centres[active])
-            shift = _shift(moved, centres[active])
-            centres[active] = moved
-            active = active[shift > limit]
-            if len(active) == 0:
-                break
+        centres = settled_centres(blocks, centres, tol * blocks.variance, max_iter)
         _, costs = lloyd_pass(blocks, centres)
     return [(float(costs[i]), _numbered(centres[i] + blocks.mean)) for i in range(restarts)]
 

@@ -10,6 +10,8 @@ from packetsieve.operators.isoforest import (
     SCORE,
     fit_forest,
     mean_depth,
+    priorities,
+    sample_rows,
     uniform,
     uniform_of,
     with_iso_score,
@@ -160,3 +162,51 @@ def test_summary(spark):
     assert report["kmeans_distance_mean"] == pytest.approx(distances.mean())
     assert report["kmeans_distance_max"] == pytest.approx(distances.max())
     assert summarise(scored.limit(0)).first()["rows"] == 0
+
+
+@pytest.mark.parametrize("driver_rows", [0, 1 << 15])
+def test_marked_passes_give_the_centres_of_full_passes(spark, monkeypatch, driver_rows):
+    monkeypatch.setattr(kmeans, "DRIVER_ROWS", driver_rows)
+    monkeypatch.setattr(kmeans, "MARKED_SHARE", 0.95)
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(0, 1, (9000, len(FEATURES))) * 0.1, np.zeros((50, len(FEATURES)))])
+    x[:, :2] *= 30  # two directions without clusters: the centres move for long
+    used = []
+    totals = kmeans.Marks.totals
+    monkeypatch.setattr(kmeans.Marks, "totals", lambda self, *a: used.append(self.rows) or totals(self, *a))
+    with kmeans.packed(features_of(spark, x).repartition(3)) as blocks:
+        start = kmeans.kmeans_plus_plus(blocks, 6, [1, 2, 3])
+        limit = 1e-6 * blocks.variance
+        want, active = start.copy(), np.arange(3)
+        for _ in range(60):
+            moved, _ = kmeans.lloyd_pass(blocks, want[active])
+            shift = kmeans._shift(moved, want[active])
+            want[active] = moved
+            active = active[shift > limit]
+            if not len(active):
+                break
+        got = kmeans.settled_centres(blocks, start, limit, 60)
+        assert np.allclose(got, want, rtol=0, atol=1e-9)
+        assert used and min(used) < blocks.rows / 2
+        # A start that is not changed, and one centre only.
+        assert np.array_equal(start, kmeans.kmeans_plus_plus(blocks, 6, [1, 2, 3]))
+        one = kmeans.settled_centres(blocks, start[:, :1], 0.0, 9)
+        assert np.allclose(one, 0.0, atol=1e-9)
+
+
+def test_forest_samples_are_bottom_k(spark):
+    ids = [i * i - 500 for i in range(3000)]
+    df = spark.createDataFrame([(i,) for i in ids], f"{ROW_ID} long").repartition(7)
+    want = set()
+    for tree in range(5):
+        h = priorities(np.array(ids), tree)
+        order = np.lexsort((ids, h))
+        want |= {(tree, ids[i]) for i in order[:256]}
+    for slack in (2.0, 0.1):
+        got = sample_rows(df, 5, slack=slack)
+        assert {tuple(r) for r in got.collect()} == want
+    few = sample_rows(df.where(f"{ROW_ID} < 0"), 2)
+    assert few.count() == 2 * df.where(f"{ROW_ID} < 0").count()
+    assert sample_rows(df.limit(0), 2).count() == 0
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
