@@ -17,24 +17,31 @@ SECOND = 1_000_000
 DAY = 86_400 * SECOND
 
 
+def first_rows(df: DataFrame) -> DataFrame:
+    """``(_first, row_id)``: each distinct timestamp in microseconds and the smallest id that has it."""
+    times = df.where(F.col(TIMESTAMP).isNotNull())
+    times = times.select(micros_since_epoch(F.col(TIMESTAMP)).alias("_first"), ROW_ID)
+    return times.groupBy("_first").agg(F.min(ROW_ID).alias(ROW_ID))
+
+
 def inter_arrival_gaps(df: DataFrame) -> DataFrame:
     """``(row_id, iat)`` for the rows that have a gap in front of them.
 
     Every row left out has an inter-arrival time of 0. ``row_id`` must be
     unique; it breaks ties in time.
+    """
+    return gaps_between(first_rows(df))
+
+
+def gaps_between(times: DataFrame) -> DataFrame:
+    """Gaps between the distinct timestamps of :func:`first_rows`.
 
     The look-back runs per second, then per day over the first rows of each
     second, then over the first rows of each day. A second holds at most a
     million distinct timestamps, a day 86,400 seconds, and the calendar 3.7
     million days, so no window grows with the input.
     """
-    times = (
-        df.where(F.col(TIMESTAMP).isNotNull())
-        .select(micros_since_epoch(F.col(TIMESTAMP)).alias("_first"), ROW_ID)
-        .groupBy("_first")
-        .agg(F.min(ROW_ID).alias(ROW_ID))
-        .withColumn("_last", F.col("_first"))
-    )
+    times = times.select("_first", ROW_ID).withColumn("_last", F.col("_first"))
     gaps = []
     for width in (SECOND, DAY, None):
         keys = [] if width is None else [F.floor(F.col("_first") / F.lit(width))]
@@ -60,13 +67,16 @@ def with_inter_arrival(df: DataFrame, gaps: DataFrame | None = None) -> DataFram
     return df.join(gaps, ROW_ID, "left").withColumn(IAT, F.coalesce(F.col(IAT), F.lit(0.0)))
 
 
-def inter_arrival_moments(rows: DataFrame, gaps: DataFrame) -> DataFrame:
+def inter_arrival_moments(rows: DataFrame | int, gaps: DataFrame) -> DataFrame:
     """One row: count, mean, population deviation and maximum of ``iat``.
 
-    ``rows`` is only counted. The rows without a gap are zeros, so their share
-    merges into the moments of the gaps without a join.
+    ``rows`` is only counted, or their number. The rows without a gap are zeros, so
+    their share merges into the moments of the gaps without a join.
     """
-    count = rows.agg(F.count("*").alias("n"))
+    if isinstance(rows, int):
+        count = gaps.sparkSession.range(1).select(F.lit(rows).cast("long").alias("n"))
+    else:
+        count = rows.agg(F.count("*").alias("n"))
     known = gaps.agg(
         F.count("*").alias("m"),
         F.coalesce(F.avg(IAT), F.lit(0.0)).alias("gap_mean"),

@@ -30,15 +30,20 @@ def value_counts(df: DataFrame, columns=CATEGORICAL) -> DataFrame:
 
 
 def fit_vocab(df: DataFrame, columns=CATEGORICAL) -> DataFrame:
-    """Codes 0..n-1 of the sorted distinct values of each column.
+    """Codes 0..n-1 of the sorted distinct values of each column."""
+    return vocab_of(value_counts(df, columns))
+
+
+def vocab_of(counts: DataFrame) -> DataFrame:
+    """The same from ``(col, value, frequency)``, best a written table, as it is read twice.
 
     The distinct values are ranked by a range sort over all columns together,
     so one huge vocabulary spreads over all tasks. The table is written once,
     by column.
     """
-    spark = df.sparkSession
+    spark = counts.sparkSession
     order = [F.col("col").asc(), F.col("value").asc()]
-    ranked = ordered_index(value_counts(df, columns), order, within=("col",))
+    ranked = ordered_index(counts, order, within=("col",))
     path = scratch_path(spark, "vocab")
     (
         ranked.select("col", "value", F.col("position").cast("double").alias("code"), "frequency")

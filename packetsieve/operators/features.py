@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,10 +22,11 @@ from ..schema import (
     STORED_NUMERIC,
     TIMESTAMP,
 )
+from ..functions.durations import micros_since_epoch
 from ..session import scratch_path
 from .arrival import inter_arrival_gaps, with_inter_arrival
 from .encoding import BROADCAST_BYTES, encode
-from .scaling import scale, scaler_constants
+from .scaling import scale, scaler_constants, stored_moments
 
 
 def add_missing_numeric(df: DataFrame) -> DataFrame:
@@ -72,11 +73,35 @@ def stage_packets(df: DataFrame, keep=(), time_format: str | None = None) -> Dat
     Later steps read the columns they need from there and see the same ids,
     whatever is recomputed.
     """
+    return stage_measured(df, keep, time_format)[0]
+
+
+def stage_measured(df: DataFrame, keep=(), time_format: str | None = None) -> tuple[DataFrame, dict]:
+    """Staged packets, their number (``n``) and the moments of their numbers, taken as they are written."""
     spark = df.sparkSession
     path = scratch_path(spark, "packets")
-    cleaned = clean_packets(df, keep, time_format)
+    seen = Observation()
+    cleaned = clean_packets(df, keep, time_format).observe(seen, F.count("*").alias("n"), *stored_moments())
     cleaned.withColumn(ROW_ID, F.monotonically_increasing_id()).write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), seen.get
+
+
+def fit_counts(packets: DataFrame) -> DataFrame:
+    """``(col, value, _first, frequency, row_id)`` of categories and timestamps, from one scan.
+
+    A category has its values, the timestamp its distinct microseconds, each with its
+    number of rows and the smallest id that has it.
+    """
+    no_text, no_time = F.lit(None).cast("string"), F.lit(None).cast("long")
+    pairs = [
+        F.struct(F.lit(c).alias("col"), F.col(c).alias("value"), no_time.alias("_first")) for c in CATEGORICAL
+    ]
+    micros = micros_since_epoch(F.col(TIMESTAMP))
+    pairs.append(F.struct(F.lit(TIMESTAMP).alias("col"), no_text.alias("value"), micros.alias("_first")))
+    long = packets.select(F.explode(F.array(*pairs)).alias("pair"), ROW_ID).select("pair.*", ROW_ID)
+    return long.groupBy("col", "value", "_first").agg(
+        F.count("*").alias("frequency"), F.min(ROW_ID).alias(ROW_ID)
+    )
 
 
 def select_features(df: DataFrame, keep=()) -> DataFrame:

@@ -14,17 +14,28 @@ def _scale_of(deviation: Column) -> Column:
     return F.when(deviation == 0, F.lit(1.0)).otherwise(deviation)
 
 
-def fit_scaler(cleaned: DataFrame, gaps: DataFrame) -> DataFrame:
+def stored_moments() -> list[Column]:
+    """Mean and population deviation of each stored numeric column, as aggregates."""
+    return [
+        *[F.avg(c).alias(f"mean_{c}") for c in STORED_NUMERIC],
+        *[F.stddev_pop(c).alias(f"dev_{c}") for c in STORED_NUMERIC],
+    ]
+
+
+def fit_scaler(cleaned: DataFrame, gaps: DataFrame, known: dict | None = None) -> DataFrame:
     """``(col, mean, scale)``, with the population deviation as the scale.
 
     One aggregate over the stored columns and one over the gaps; the rows need
-    not be joined with their inter-arrival time for this.
+    not be joined with their inter-arrival time for this. ``known`` holds the
+    number of rows (``n``) and the moments of the stored columns, if they were
+    taken when the rows were written; then no row is read.
     """
-    stored = cleaned.agg(
-        *[F.avg(c).alias(f"mean_{c}") for c in STORED_NUMERIC],
-        *[F.stddev_pop(c).alias(f"dev_{c}") for c in STORED_NUMERIC],
-    )
-    arrival = inter_arrival_moments(cleaned, gaps).select(
+    if known is None:
+        stored, rows = cleaned.agg(*stored_moments()), cleaned
+    else:
+        moments = [F.lit(v).cast("double").alias(k) for k, v in known.items() if k != "n"]
+        stored, rows = cleaned.sparkSession.range(1).select(*moments), known["n"]
+    arrival = inter_arrival_moments(rows, gaps).select(
         F.col("mean").alias(f"mean_{IAT}"), F.col("deviation").alias(f"dev_{IAT}")
     )
     # Both sides are one-row aggregates.

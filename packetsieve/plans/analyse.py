@@ -148,9 +148,10 @@ def analyse_capture(
     name = files.select("file_name").first()
     if name is None:
         raise FileNotFoundError(path)
-    rows = read_captures(spark, files)
     duration = _name_duration(spark, name[0])
-    return _analyse(spark, name[0], rows, duration, store, model_start, model_end, time_format)
+    with scratch_scope(spark):  # holds the table of headers
+        rows = read_captures(spark, files)
+        return _analyse(spark, name[0], rows, duration, store, model_start, model_end, time_format)
 
 
 def analyse_range(
@@ -168,8 +169,9 @@ def analyse_range(
     date.fromisoformat(start), date.fromisoformat(end)
     if model_start is None and model_end is None:
         model_start, model_end = start, end
-    rows = captures_in_range(spark, captures, start, end, same_header)
     duration = _range_duration(spark, start, end)
-    return _analyse(
-        spark, f"{start}_to_{end}", rows, duration, store, model_start, model_end, time_format
-    )
+    with scratch_scope(spark):  # holds the table of headers
+        rows = captures_in_range(spark, captures, start, end, same_header)
+        return _analyse(
+            spark, f"{start}_to_{end}", rows, duration, store, model_start, model_end, time_format
+        )

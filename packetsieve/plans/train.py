@@ -6,15 +6,16 @@ import time
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.arrival import inter_arrival_gaps
-from ..operators.encoding import fit_vocab
-from ..operators.features import feature_matrix, stage_packets
+from ..operators.arrival import gaps_between
+from ..operators.encoding import vocab_of
+from ..operators.features import feature_matrix, fit_counts, stage_measured
 from ..operators.isoforest import fit_forest
 from ..operators.kmeans import fit_kmeans
 from ..operators.runs import RUNNING, append_event
 from ..operators.scaling import fit_scaler
-from ..schema import DEFAULT_MODE, MODES, TRAINING_LOG_SCHEMA
+from ..schema import DEFAULT_MODE, MODES, TIMESTAMP, TRAINING_LOG_SCHEMA
 from ..session import scratch_path, scratch_scope
 from ..sources.captures import FILE_NAME, training_captures
 from ..sources.model_store import Model, folder_name_of, save_model
@@ -57,11 +58,13 @@ class _Phases:
 
 
 def fit_tables(
-    packets: DataFrame, restarts: int, trees: int, run=lambda name, work: work()
+    packets: DataFrame, restarts: int, trees: int, run=lambda name, work: work(), known: dict | None = None
 ) -> Model:
     """Fit all model tables on staged packets; ``run`` wraps each phase.
 
-    The tables lie in the shared folder until they are saved.
+    Categories and timestamps are counted in one scan; ``known`` holds the moments of
+    the other columns, taken when the packets were staged. The tables lie in the
+    shared folder until they are saved.
     """
     spark = packets.sparkSession
 
@@ -71,8 +74,11 @@ def fit_tables(
         return spark.read.schema(df.schema).parquet(path)
 
     def preprocessor():
-        gaps = written(inter_arrival_gaps(packets), "gaps")
-        return gaps, fit_vocab(packets), written(fit_scaler(packets, gaps), "scaler")
+        counts = written(fit_counts(packets), "counts")
+        is_time = F.col("col") == TIMESTAMP
+        gaps = written(gaps_between(counts.where(is_time & F.col("_first").isNotNull())), "gaps")
+        vocab = vocab_of(counts.where(~is_time).select("col", "value", "frequency"))
+        return gaps, vocab, written(fit_scaler(packets, gaps, known), "scaler")
 
     gaps, vocab, scaler = run("preprocessor", preprocessor)
     features = run(
@@ -111,12 +117,12 @@ def train_rows(
             phases={"inicio": ("done", 0.0)},
         )
         # A failure while staging is one of the preprocessor, and is logged as such.
-        packets = log.run(
-            "preprocessor", lambda: stage_packets(captured, time_format=time_format), done=False
+        packets, known = log.run(
+            "preprocessor", lambda: stage_measured(captured, time_format=time_format), done=False
         )
-        rows = packets.count()
+        rows = known["n"]
         log.event(num_rows=rows)
-        tables = fit_tables(packets, settings["restarts"], settings["trees"], log.run)
+        tables = fit_tables(packets, settings["restarts"], settings["trees"], log.run, known)
         trained_at = datetime.now().isoformat()
         info = log.run(
             "save",
@@ -144,7 +150,8 @@ def train(
 ) -> DataFrame | None:
     """Train on the captures under a path pattern; None, and no log entry, without rows."""
     began = time.perf_counter()
-    captured = training_captures(spark, captures, start, end, same_header)
-    if captured is None:
-        return None
-    return train_rows(captured, store, mode, start, end, time_format, strict_mode, began)
+    with scratch_scope(spark):  # holds the table of headers
+        captured = training_captures(spark, captures, start, end, same_header)
+        if captured is None:
+            return None
+        return train_rows(captured, store, mode, start, end, time_format, strict_mode, began)
