@@ -460,12 +460,15 @@ MODEL_PARTS = (
     "(SELECT tree, node FROM splits UNION ALL SELECT tree, node FROM leaves) GROUP BY tree"
 )
 
+DAILY_NAME = (
+    "concat('traffic_', split_part(file_name, '_', 2), "
+    "'_00-00-00_(1440.0_minutes)_(0.06_input)_(0.05_output).csv')"
+)
+
 ORACLES = {
     "capture_scan": _with(
         [PACKETS],
-        "SELECT concat('traffic_', split_part(file_name, '_', 2), "
-        "'_00-00-00_(1440.0_minutes)_(0.06_input)_(0.05_output).csv') AS file_name, "
-        "count(*) AS packets, "
+        f"SELECT {DAILY_NAME} AS file_name, count(*) AS packets, "
         + ", ".join(f"count(nullif(CAST({c} AS VARCHAR), '')) AS {c}_set" for c in RAW_COLUMNS)
         + ", CAST(sum(frame_len) AS BIGINT) AS frame_len_sum FROM packets GROUP BY 1",
     ),
@@ -494,6 +497,18 @@ ORACLES = {
         [PACKETS],
         "SELECT frame_number, tcp_srcport, tcp_dstport, udp_srcport, udp_dstport FROM packets",
     ),
+    "header_union": _with(
+        [PACKETS],
+        f"SELECT {DAILY_NAME} AS file_name, count(*) AS packets, "
+        + ", ".join(
+            f"count(nullif(CAST({c} AS VARCHAR), '')) AS {c}_set"
+            for c in ("frame_len", "frame_number", "tcp_dstport", "tcp_flags", "tcp_srcport", "udp_dstport", "udp_srcport")
+        )
+        + ", count(nullif(CASE WHEN udp_srcport IS NOT NULL THEN dns_qry_name END, '')) AS dns_qry_name_set"
+        + "".join(f", count(nullif(CASE WHEN udp_srcport IS NULL THEN {c} END, '')) AS {c}_set" for c in ("ip_src", "http_request_uri"))
+        + "".join(f", CAST(sum({c}) AS BIGINT) AS {c}_sum" for c in ("frame_number", "udp_srcport", "tcp_srcport"))
+        + " FROM packets GROUP BY 1",
+    ),
     "model_roundtrip": _with([*SPLIT_MATRIX, *FOREST_STEPS, *LLOYD_STEPS], MODEL_PARTS),
     "model_folder_name": "SELECT DISTINCT CAST(a AS VARCHAR) AS start_date, CAST(b AS VARCHAR) AS end_date, "
     "CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN concat(a, '_', b) "

@@ -138,6 +138,23 @@ def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union_parts([udp, tcp]).select(*columns)
 
 
+def header_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures with two headers, whose columns differ in number and order, in one scan."""
+    rows = daily_rows(packets(spark, sf_dir))
+    is_udp = F.col("udp_srcport").isNotNull()
+    udp = ["udp_dstport", "frame_len", "udp_srcport", "frame_number", "dns_qry_name"]
+    tcp = ["frame_number", "frame_len", "ip_src", "tcp_flags", "tcp_srcport", "tcp_dstport", "http_request_uri"]
+    folder = scratch_path(spark, "captures")
+    write_captures(rows.where(is_udp).select(*udp, FILE_NAME), f"{folder}/udp")
+    write_captures(rows.where(~is_udp).select(*tcp, FILE_NAME), f"{folder}/tcp")
+    read = read_captures(spark, list_captures(spark, f"{folder}/*/*.csv/part-*"))
+    return read.groupBy(FILE_NAME).agg(
+        F.count("*").alias("packets"),
+        *[F.count(c).alias(f"{c}_set") for c in sorted({*udp, *tcp})],
+        *[F.sum(F.col(c).cast("long")).alias(f"{c}_sum") for c in ("frame_number", "udp_srcport", "tcp_srcport")],
+    )
+
+
 def _model(spark: SparkSession, sf_dir: str) -> Model:
     """A model of the training range, with fixed-start centroids."""
     rows = cleaned(spark, sf_dir, TRAIN_START, TRAIN_END)
@@ -658,6 +675,7 @@ QUERIES = {
     "date_prune_strict": date_prune_strict,
     "date_prune_lenient": date_prune_lenient,
     "union_by_name": union_by_name,
+    "header_union": header_union,
     "model_roundtrip": model_roundtrip,
     "model_folder_name": model_folder,
     "timestamp_coerce": timestamp_coerce,

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from packetsieve.operators.features import clean_packets
 from packetsieve.schema import RAW_COLUMNS
+from packetsieve.sources import captures
 from packetsieve.sources.captures import (
     captures_in_range,
     list_captures,
@@ -130,3 +131,71 @@ def test_missing_numeric_columns_are_zero(spark):
     df = spark.createDataFrame([["7"] * len(columns)], columns)
     got = clean_packets(df).first()
     assert got["udp_srcport"] == 0.0 and got["frame_len"] == 7.0
+
+
+@pytest.fixture
+def no_driver_reads(monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a file was opened from the driver")
+
+    monkeypatch.setattr(captures, "_line_on_driver", refuse)
+
+
+def test_thousands_of_files_are_opened_in_tasks(spark, tmp_path, no_driver_reads):
+    for i in range(3000):
+        header = ["k", "v"] if i % 3 else ["v", "k"]
+        write(tmp_path, f"f{i}.csv", header, [str(i), "x"] if i % 3 else ["x", str(i)])
+    rows = read_captures(spark, list_captures(spark, f"{tmp_path}/*.csv"))
+    got = rows.agg(F.count("*"), F.sum(F.col("k").cast("long")), F.count_distinct("v"), F.count_distinct("file_name")).first()
+    assert tuple(got) == (3000, 3000 * 2999 // 2, 1, 3000)
+
+
+def test_many_headers_are_one_scan(spark, tmp_path, no_driver_reads):
+    want = {}
+    for i in range(200):
+        header = [f"c{j}" for j in range(i % 7 + 1)] + [f"own{i}", "k"]
+        header = header[::-1] if i % 2 else header
+        write(tmp_path, f"f{i:03d}.csv", header, row(header, k=str(i), **{f"own{i}": f"o{i}"}), row(header, k=str(i))[: len(header) - 1])
+        want[f"f{i:03d}.csv"] = header
+    files = list_captures(spark, f"{tmp_path}/*.csv")
+    rows = read_captures(spark, files, skip_bad=False)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 1
+    assert rows.columns == list(dict.fromkeys(n for h in want.values() for n in h)) + ["file_name"]
+    got = rows.collect()
+    assert len(got) == 400
+    for r in got:
+        header = want[r["file_name"]]
+        assert all(r[c] is None for c in rows.columns if c not in header and c != "file_name")
+        assert r[header[0]] is not None
+    full = [r for r in got if r[want[r["file_name"]][-1]] is not None]
+    assert len(full) == 200 and all(r["k"] == str(int(r["file_name"][1:4])) for r in full)
+    # Records longer than their own header but not than the widest one are broken.
+    write(tmp_path, "g.csv", ["k", "own7"], ["1", "2", "3"])
+    for i, extra in enumerate((7, 8)):
+        write(tmp_path, f"h{i}.csv", ["k", "c0"], ["v"] * (extra + 2))
+    files = list_captures(spark, f"{tmp_path}/*.csv")
+    with pytest.raises(Exception, match="does not fit the header"):
+        read_captures(spark, files).collect()
+    kept = read_captures(spark, files, skip_bad=True)
+    assert {r["file_name"] for r in kept.select("file_name").distinct().collect()} == set(want)
+
+
+def test_files_that_cannot_be_opened(spark, tmp_path):
+    write(tmp_path, "a.csv", ["k"], ["1"])
+    write(tmp_path, "b.csv", ["k"], ["2"])
+    files = list_captures(spark, f"{tmp_path}/*.csv").collect()
+    files = spark.createDataFrame(files)
+    (tmp_path / "b.csv").unlink()
+    assert read_captures(spark, files, skip_bad=True).count() == 1
+    with pytest.raises(OSError, match="b.csv"):
+        read_captures(spark, files)
+
+
+def test_headers_of_a_store_that_only_spark_reads(spark, folder, monkeypatch):
+    files = list_captures(spark, f"{folder}/*.csv")
+    want = {r["path"]: r["header"] for r in captures.header_table(files).collect()}
+    got = {r["path"]: r["header"] for r in captures._headers_on_driver(spark, files).collect()}
+    assert got == want and len(got) == 4
+    monkeypatch.setattr(captures, "_is_known_store", lambda uri: False)
+    assert read_captures(spark, files).count() == 4
