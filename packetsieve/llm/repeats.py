@@ -43,6 +43,8 @@ SIZE, ANCHOR = 200, 64
 GROUP = 4096
 #: Bytes of contexts that one suffix array covers, and bits of the filter that spares contexts.
 SHARD_BYTES, FILTER_BITS = 1 << 20, 28
+#: Bytes of contexts that one task turns into suffix arrays.
+TASK_BYTES = 4 << 20
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, size: int = SIZE, k: int = ANCHOR) -> dict[str, np.ndarray]:
@@ -213,7 +215,9 @@ def _shard_spans(contexts: DataFrame, size: int) -> DataFrame:
         columns += [pa.array(hits[first] - own[rows]), pa.array(hits[last] - own[rows] + size)]
         return pa.RecordBatch.from_arrays(columns, ["hash", "context", "from", "to"])
 
-    ordered = contexts.repartition("hash").sortWithinPartitions("hash")
+    # Suffix arrays cost time by bytes: tasks have a fixed number of them, which no merging of partitions changes.
+    total = contexts.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
+    ordered = contexts.repartition(max(1, -(-total // TASK_BYTES)), "hash").sortWithinPartitions("hash")
     return ordered.select("hash", "context", "n", "bytes").mapInArrow(run, "hash long, context long, from long, to long")
 
 
@@ -260,7 +264,8 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, k: int = ANCHOR) -> DataFr
     )
     parts = runs.select("doc_id", "row_key", (F.col("start") + F.col("run.from")).alias("start"), (F.col("start") + F.col("run.to")).alias("end"))
     parts = parts.unionByName(occurrences.where("NOT mixed").select("doc_id", "row_key", "start", "end"))
-    return parts.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    # Rows with equal id and text have equal spans: as a set they are no more than those of one row.
+    return parts.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def unite(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

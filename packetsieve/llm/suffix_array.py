@@ -5,7 +5,9 @@ leftmost smaller (LMS) substrings are sorted by inducing, named, and sorted
 recursively where names repeat; the order of the LMS suffixes then induces that
 of all others. Both scans go bucket by bucket: what a bucket induces is spread
 to the later buckets with one stable sort, so numpy does the work. Names of the
-recursion have too many buckets for that and are induced in a plain loop.
+recursion have too many buckets for that and are induced in a plain loop. Common
+prefixes are compared only where the text in front of two neighbours differs, and
+follow from those everywhere else.
 """
 
 from __future__ import annotations
@@ -85,7 +87,7 @@ def _place_lms(text: np.ndarray, lms: np.ndarray, starts: np.ndarray, ends: np.n
 
 def _spread(out: np.ndarray, values: np.ndarray, symbols: np.ndarray, at: np.ndarray, step: int) -> None:
     """Put values into their buckets from ``at`` on (upwards or downwards), in their order."""
-    order = np.argsort(symbols, kind="stable")
+    order = np.argsort(symbols.astype(np.int16), kind="stable")  # up to WIDE symbols
     values, symbols = values[order], symbols[order]
     first = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1]))
     sizes = np.diff(np.append(first, len(symbols)))
@@ -145,52 +147,91 @@ def _induce_wide(text: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols:
 
 def _induce_narrow(text: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
     starts, ends = _bounds(text, symbols)
-    placed, _ = _place_lms(text, lms, starts, ends)
-    out, t, is_small = placed.tolist(), text.tolist(), small.tolist()
-    head = starts.tolist()
-    for i in range(len(out)):
-        j = out[i] - 1
-        if j >= 0 and not is_small[j]:
-            c = t[j]
-            out[head[c]] = j
-            head[c] += 1
-    tail = ends.tolist()
-    for i in range(len(out) - 1, -1, -1):
-        j = out[i] - 1
-        if j >= 0 and is_small[j]:
-            c = t[j]
-            tail[c] -= 1
-            out[tail[c]] = j
-    out[0] = len(t) - 1
+    out = _place_lms(text, lms, starts, ends)[0].tolist()
+    # The bucket that a suffix's predecessor is induced into, -1 for none; an empty place is -1 and reads the last entry.
+    before = np.full(len(text) + 1, -1, dtype=np.int64)
+    before[1:-1] = np.where(small[:-1], -1, text[:-1])
+    to_head, head = before.tolist(), starts.tolist()
+    for j in out:  # the list grows ahead of the loop
+        c = to_head[j]
+        if c >= 0:
+            at = head[c]
+            out[at] = j - 1
+            head[c] = at + 1
+    before[1:-1] = np.where(small[:-1], text[:-1], -1)
+    to_tail, tail = before.tolist(), ends.tolist()
+    for j in reversed(out):
+        c = to_tail[j]
+        if c >= 0:
+            at = tail[c] - 1
+            out[at] = j - 1
+            tail[c] = at
+    out[0] = len(text) - 1
     return np.array(out, dtype=np.int64)
 
 
 def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, longest: int) -> np.ndarray:
     """For each suffix in text order, how many symbols it shares with the one before it in ``order``.
 
-    Lengths above ``longest`` count as ``longest``. Lengths are found for all
-    suffixes at once, from prefix hashes, by halving steps.
+    Lengths above ``longest`` count as ``longest``. Where a suffix and the one before
+    it in order have the same symbol in front of them, the length is one less than
+    that of the suffix one place ahead in the text. Only the others are compared;
+    their lengths sum to n log n at most. All symbols are below 2^16.
     """
     n = len(text)
     before = np.full(n, -1, dtype=np.int64)
     before[order[1:]] = order[:-1]
+    at = np.arange(n)
+    follows = (at > 0) & (before > 0)
+    follows[follows] = text[at[follows] - 1] == text[before[follows] - 1]
+    own = np.flatnonzero(~follows & (before >= 0))
+    length = np.zeros(n, dtype=np.int64)
+    length[own] = _shared(text, own, before[own])  # whole, as the next lengths follow from them
+    source = np.maximum.accumulate(np.where(follows, 0, at))
+    length = np.where(follows, length[source] - (at - source), length)
+    return np.minimum(length, longest)
+
+
+#: Steps of four symbols after which the rest of a common prefix is found by halving.
+STEPS = 64
+
+
+def _shared(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Symbols that the suffixes at ``a`` and ``b`` share; the last symbol of the text occurs once.
+
+    Four symbols are compared a step. What is equal for long goes on with prefix
+    hashes, in halving steps.
+    """
+    n = len(text)
+    padded = np.zeros(n + 4, dtype="<u2")
+    padded[:n] = text
+    window = np.ndarray((n + 1,), dtype="<u8", buffer=padded, strides=(2,))
+    out, todo = np.zeros(len(a), dtype=np.int64), np.arange(len(a))
+    for at in range(0, 4 * STEPS, 4):
+        differ = window[a] ^ window[b]
+        equal = differ == 0
+        ended = differ[~equal]
+        # The first of four symbols that differs: its bits are the lowest.
+        first = (ended & U64(0xFFFF) == 0).astype(np.int64)
+        first += ended & U64(0xFFFFFFFF) == 0
+        first += ended & U64(0xFFFFFFFFFFFF) == 0
+        out[todo[~equal]] = at + first
+        todo, a, b = todo[equal], a[equal] + 4, b[equal] + 4
+        if not len(todo):
+            return out
     base, inverse = powers(n)
     sums = np.zeros(n + 1, dtype=U64)
     np.cumsum(mix(text.astype(U64) + U64(1)) * base[:n], out=sums[1:])
-    length = np.zeros(n, dtype=np.int64)
-    at = np.flatnonzero(before >= 0)
-    other = before[at]
-    known = np.zeros(len(at), dtype=np.int64)
-    step = 1 << max(0, int(longest).bit_length() - 1)
+    known, step = np.zeros(len(todo), dtype=np.int64), 1 << n.bit_length()
     while step:
         more = known + step
-        fits = (np.maximum(at, other) + more <= n) & (more <= longest)
-        end_a, end_b = np.where(fits, at + more, at), np.where(fits, other + more, other)
-        same = (sums[end_a] - sums[at]) * inverse[at] == (sums[end_b] - sums[other]) * inverse[other]
+        fits = np.maximum(a, b) + more <= n
+        end_a, end_b = np.where(fits, a + more, a), np.where(fits, b + more, b)
+        same = (sums[end_a] - sums[a]) * inverse[a] == (sums[end_b] - sums[b]) * inverse[b]
         known = np.where(fits & same, more, known)
         step >>= 1
-    length[at] = known
-    return length
+    out[todo] = 4 * STEPS + known
+    return out
 
 
 def repeated_starts(text: np.ndarray, order: np.ndarray, size: int, longest: int) -> np.ndarray:
