@@ -96,3 +96,91 @@ def test_no_labels_and_no_documents(spark, docs_of, prose):
     rows = mixing.mixing_rates(docs, labels.limit(0), MIX).collect()
     assert {(r["rate"], r["copies"]) for r in rows} == {(1.0, 1)}
     assert mixing.mixing_rates(docs.limit(0), labels, MIX).count() == 0
+
+
+def brute_posteriors(rows, labels, most=None):
+    """Naive Bayes on the presence of words that tell more about the domain than chance."""
+    import math
+    import re
+
+    domain = {}
+    for doc_id, d in labels:
+        if doc_id is not None and d is not None:
+            domain[doc_id] = min(domain.get(doc_id, d), d)
+    words_of = {}
+    tokens = {}
+    for doc_id, text in rows:
+        key = doc_id if doc_id is not None else ("no id", text or "")
+        ws = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        words_of.setdefault(key, set()).update(w.lower() for w in ws)
+        tokens[key] = tokens.get(key, 0) + len(ws)
+    known = {k: domain[k] for k in words_of if k in domain}
+    domains = sorted(set(known.values()))
+    n = {d: sum(v == d for v in known.values()) for d in domains}
+    total = sum(n.values())
+    vocabulary = {w for k in known for w in words_of[k]}
+    model = {}
+    for w in vocabulary:
+        has = {d: sum(w in words_of[k] for k, v in known.items() if v == d) for d in domains}
+        found = sum(has.values())
+        told = 0.0
+        for d in domains:
+            for cell, row in ((has[d], found), (n[d] - has[d], total - found)):
+                told += cell * math.log(cell * total / (row * n[d])) if cell else 0.0
+        if told >= math.log(len(vocabulary)):
+            model[w] = [(has[d] + 0.5) / (n[d] + 1.0) for d in domains]
+    out = {}
+    for key, own in words_of.items():
+        score = [math.log(n[d] / total) + sum(math.log(p[i] if w in own else 1 - p[i]) for w, p in model.items()) for i, d in enumerate(domains)]
+        top = max(score)
+        e = [math.exp(s - top) for s in score]
+        out[key] = (tokens[key], {d: x / sum(e) for d, x in zip(domains, e)})
+    return out
+
+
+def test_posteriors_equal_brute_force(spark, docs_of, prose):
+    rows = [(i, prose(40, i) + (" Vile SLUR\tvile" if i % 4 == 0 else " \n kind")) for i in range(160)]
+    rows += [(300, None), (301, ""), (302, "  slur  "), (None, "vile slur none"), (None, "vile slur none"), (None, "other"), (303, "slur a"), (303, "SLUR kind b")]
+    labels = [(i, int(i % 4 == 0)) for i in range(0, 120)] + [(None, 1), (5000, 0), (7, None), (303, 1)]
+    docs, table = docs_of(rows), mixing.label_domains(spark.createDataFrame(labels, "doc_id long, toxic int"))
+    want = brute_posteriors(rows, [(i, {0: "clean", 1: "toxic"}.get(t)) for i, t in labels])
+    got = mixing.mixing_rates(docs, table, MIX).collect()
+    assert len(got) == len(want)
+    by_id = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
+    for key, (n_tokens, posterior) in want.items():
+        if isinstance(key, int):
+            assert by_id[key]["n_tokens"] == n_tokens
+            assert by_id[key]["posteriors"] == pytest.approx(posterior, abs=1e-9)
+    none = sorted((r["n_tokens"], round(r["posteriors"]["toxic"], 9)) for r in got if r["doc_id"] is None)
+    assert none == sorted((t, round(p["toxic"], 9)) for k, (t, p) in want.items() if not isinstance(k, int))
+    out = mixing.mixed(docs, table, MIX)
+    copies = {(r["doc_id"], r["n_tokens"]): r["copies"] for r in got}
+    assert out.where("doc_id IS NULL AND text = 'other'").count() == copies[None, 1]
+    assert out.where("doc_id IS NULL AND text LIKE 'vile%'").count() == 2 * copies[None, 6]
+
+
+def test_the_classifier_learns_from_a_bounded_sample(spark, docs_of, prose):
+    docs, labels = labelled(spark, docs_of, prose)
+    few = mixing.learned_from(docs, labels, 50)
+    assert few.select("doc_id").distinct().count() == 50
+    assert {r["doc_id"] for r in few.collect()} <= {r["doc_id"] for r in mixing.learned_from(docs, labels, 100).collect()}
+
+
+def test_least_squares_reaches_the_best_rates(spark):
+    """Against projected gradients with small steps in numpy, also for targets out of reach."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([0.3, 0.3, 0.3], 40)
+    tokens = rng.integers(1, 50, 40)
+    members = spark.createDataFrame([(int(t), [float(x) for x in row]) for t, row in zip(tokens, p)], "n_tokens long, posterior array<double>")
+    a = (p * tokens[:, None]).T
+    for target in ([300.0, 300.0, 300.0], [5000.0, 10.0, 10.0], [900.0, 0.0, 0.0]):
+        steps, _, reached = mixing.fit_rates(members, target)
+        rates = np.array([r[0] for r in members.select(mixing.rate(steps)).collect()])
+        assert np.allclose(a @ rates, reached) and (rates >= 0).all()
+        best = np.ones(40)
+        for _ in range(20_000):
+            best = np.maximum(0, best - a.T @ (a @ best - target) / np.linalg.norm(a, 2) ** 2)
+        least = np.square(a @ best - target).sum()
+        assert np.square(reached - np.array(target)).sum() <= least + 0.02 * np.square(a @ np.ones(40) - target).sum()
