@@ -1,14 +1,14 @@
 """Quality rules: n-gram perplexity under a modified Kneser-Ney model, with bands for each language.
 
-Each language has two models over lower-cased bytes, of order 7, so their size
+Each language has two models over lower-cased bytes, of order 6, so their size
 is bound by the bytes that follow each other and not by the vocabulary. Spark
 counts the n-grams of every reference text: all documents that pass the base
 rules and have at most one symbol in ten words. Copies of a text count once, in
 the models and in the quartiles. A hash of the text deals it to one of two
 folds, and it is scored by the model of its language's other fold: no text is
 scored by what it taught. Continuation counts, discounts and interpolation are
-joins and windows on distinct n-grams. Scoring looks keys up in arrays sorted by
-hash. A document is rejected when its perplexity lies outside the band of its
+array work in buckets of n-grams. Scoring looks keys up in arrays sorted by
+hash, which tasks load from files. A document is rejected when its perplexity lies outside the band of its
 language and fold: the median of the reference texts there, less ``below`` or
 plus ``above`` times the distance between their quartiles. From few texts the
 quartiles are uncertain, and the band is wider by ``(n + WIDER) / n``.
@@ -28,13 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .byte_model import add_by_shard, ngram_counts, shards_of
+from .kneser_ney import MODEL_ROWS, SLOTS, Model, Pass, fit_kneser_ney, in_pass, loaded, passes_of, slots_of
 from .tables import as_row, columns_of, written
 from .textbytes import (
     LEADS,
     LOWER,
     SPACE,
-    HashArray,
     byte_ngrams,
     distinct_per_text,
     per_text,
@@ -46,13 +45,11 @@ from .textbytes import (
     words,
 )
 
-ORDER = 7
+ORDER = 6
 #: By so many distinct texts the distance between quartiles is twice as wide as measured.
 WIDER = 8
 #: Quartile distances below and above the median.
 BELOW, ABOVE = 10.0, 6.0
-#: Bytes and the end of a text.
-SYMBOLS = 257
 #: Tenths of a thousandth of log10(perplexity): the classes in which quartiles are counted.
 CLASSES = 10_000
 SYMBOL = np.zeros(256, dtype=bool)
@@ -71,99 +68,6 @@ def _reference(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return is_reference(base_statistics(data, offsets))
 
 
-def fit_kneser_ney(texts: DataFrame, order: int = ORDER, choose=_reference, group: Column | None = None) -> DataFrame:
-    """The model of the texts that ``choose(bytes, offsets)`` marks in each slice.
-
-    It is a written table ``(key, weight, value, previous)`` of log10 values.
-
-    A key is an n-gram with its order in the top byte, or where ``weight`` is true
-    the context that a back-off weight belongs to. ``previous`` is the byte before
-    the one predicted, -1 where there is none. With ``group``, a long, each group
-    has a model of its own, whose keys are combined with the group by exclusive or.
-    Discounts are those of all groups together.
-    """
-    counts = written(ngram_counts(texts, order, choose, F.lit(0) if group is None else group), "kn-counts")
-    types = {order: counts.select("group", "gram", F.col("n").alias("c"))}
-    for k in range(order - 1, 0, -1):
-        suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
-        types[k] = types[k + 1].groupBy("group", suffix.alias("gram")).agg(F.count("*").alias("c"))
-    discounts = _discounts(types)
-    rows, lower = None, None
-    for k in range(1, order + 1):
-        d1, d2, d3 = discounts[k]
-        context = F.shiftright("gram", 8)
-        same = Window.partitionBy("group", context)
-        c = F.col("c")
-        cut = F.when(c == 1, d1).when(c == 2, d2).otherwise(d3)
-        graded = types[k].select(
-            "group",
-            "gram",
-            context.alias("context"),
-            ((c - cut) / F.sum("c").over(same)).alias("own"),
-            (F.sum(cut).over(same) / F.sum("c").over(same)).alias("gamma"),
-        )
-        if lower is None:
-            graded = graded.withColumn("p", F.col("own") + F.col("gamma") / SYMBOLS)
-        else:
-            suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))
-            graded = graded.withColumn("suffix", suffix).join(lower, ["group", "suffix"])
-            graded = graded.withColumn("p", F.col("own") + F.col("gamma") * F.col("q"))
-        graded = written(graded.select("group", "gram", "context", "gamma", "p"), "kn-order")
-        lower = graded.select("group", F.col("gram").alias("suffix"), F.col("p").alias("q"))
-        previous = F.col("context").bitwiseAND(F.lit(255)) if k > 1 else F.lit(-1)
-        tag = F.lit(k << 56)
-        probs = graded.select(F.col("gram").bitwiseOR(tag).bitwiseXOR(F.col("group")).alias("key"), F.log10("p").alias("value"), previous.alias("previous"))
-        weights = graded.groupBy("group", "context").agg(F.max("gamma").alias("g")).select(
-            F.col("context").bitwiseOR(tag).bitwiseXOR(F.col("group")).alias("key"),
-            F.log10("g").alias("value"),
-            previous.alias("previous"),
-        )
-        part = probs.withColumn("weight", F.lit(False)).unionByName(weights.withColumn("weight", F.lit(True)))
-        rows = part if rows is None else rows.unionByName(part)
-    return written(rows.select("key", "weight", "value", F.col("previous").cast("int").alias("previous")), "kn-model")
-
-
-def _discounts(types: dict[int, DataFrame]) -> dict[int, tuple[float, float, float]]:
-    """Modified Kneser-Ney discounts of each order from its counts of counts."""
-    of = None
-    for k, df in types.items():
-        row = df.agg(F.lit(k).alias("k"), *[F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)])
-        of = row if of is None else of.unionByName(row)
-    out = {}
-    for k, n1, n2, n3, n4 in of.collect():
-        y = n1 / (n1 + 2 * n2) if n1 else 0.5
-        raw = [i - (i + 1) * y * (b / a) if a else 0.5 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-        out[k] = tuple(min(i - 0.01, max(0.1, d)) for i, d in enumerate(raw, 1))
-    return out
-
-
-class KneserNey:
-    """The model's arrays in a task."""
-
-    def __init__(self, table: pa.Table, order: int):
-        weight = table.column("weight").to_numpy()
-        key, value = table.column("key").to_numpy().view(np.uint64), table.column("value").to_numpy().astype(np.float32)
-        self.order = order
-        self.probs, self.weights = HashArray(key[~weight], value[~weight]), HashArray(key[weight], value[weight])
-
-    def log10(self, grams: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each n-gram after the others, in the model of its group."""
-        out = np.zeros(len(grams))
-        todo = np.arange(len(grams))
-        for k in range(self.order, 0, -1):
-            tag = np.uint64(k << 56)
-            own = grams[todo] & np.uint64((1 << 8 * k) - 1)
-            at = self.probs.find((own | tag) ^ group[todo])
-            out[todo[at >= 0]] += self.probs.values[0][at[at >= 0]]
-            todo, own = todo[at < 0], own[at < 0]
-            if not len(todo):
-                return out
-            at = self.weights.find(((own >> np.uint64(8)) | tag) ^ group[todo])
-            out[todo[at >= 0]] += self.weights.values[0][at[at >= 0]]
-        out[todo] -= np.log10(SYMBOLS)
-        return out
-
-
 def base_statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """Counts of each text of a slice: words, their code points, symbols, repeated lines and words."""
     n = len(offsets) - 1
@@ -200,33 +104,30 @@ def base_statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarr
     return stats
 
 
-def perplexity(docs: DataFrame, model: DataFrame, order: int = ORDER, group: Column | None = None) -> DataFrame:
+def perplexity(docs: DataFrame, model: Model, group: Column | None = None) -> DataFrame:
     """``doc_id``, ``lang``, the base counts, ``n_bytes`` (with the end) and ``log10_prob`` of every row.
 
     ``group`` says which group's model scores a row.
     """
-    spark = docs.sparkSession
     base = [f.split()[0] for f in BASE_FIELDS.split(", ")]
     schema = f"{BASE_FIELDS}, n_bytes long, log10_prob double"
-    sizes = {r["previous"]: r["count"] for r in model.groupBy("previous").count().collect()}
-    shared = sizes.pop(-1, 0)
-    shards = shards_of(sizes)
+    by = (F.lit(0) if group is None else group).cast("long").alias("group")
+    rows = docs.select(F.col("doc_id").cast("long"), "lang", row_key().alias("row_key"), by, "text")
+    passes, times = passes_of(model, MODEL_ROWS)
 
-    def score(shard: list[int]) -> DataFrame:
-        arrays = model.where(F.col("previous").isin([-1, *shard])).toArrow() if shared else None
-        sent = spark.sparkContext.broadcast(KneserNey(arrays, order) if arrays is not None else None)
-        owned = np.zeros(256, dtype=bool)
-        owned[shard if len(shards) > 1 else slice(None)] = True
+    def score(part: Pass) -> DataFrame:
+        owned = np.zeros(SLOTS, dtype=bool)
+        owned[part.slots] = True
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kn = sent.value
+            kn = loaded(part.key, model, part.names)
             for batch in batches:
                 for a, b, data, offsets in slices(*text_bytes(batch.column(4))):
                     stats = base_statistics(data, offsets)
-                    grams, at = byte_ngrams(LOWER[data], offsets, order)
+                    grams, at = byte_ngrams(LOWER[data], offsets, model.order)
                     groups = np.repeat(batch.column(3).to_numpy()[a:b].view(np.uint64), np.diff(at))
-                    if len(shards) > 1:
-                        mine = owned[((grams >> np.uint64(8)) & np.uint64(255)).astype(np.int64)]
+                    if times > 1:
+                        mine = owned[slots_of(grams, model)]
                         logs = np.zeros(len(grams))
                         logs[mine] = kn.log10(grams[mine], groups[mine])
                     else:
@@ -236,10 +137,18 @@ def perplexity(docs: DataFrame, model: DataFrame, order: int = ORDER, group: Col
                     columns += [pa.array(np.diff(at)), pa.array(per_text(logs, at))]
                     yield pa.RecordBatch.from_arrays(columns, [*base, "n_bytes", "log10_prob"])
 
-        by = (F.lit(0) if group is None else group).cast("long").alias("group")
-        return docs.select(F.col("doc_id").cast("long"), "lang", row_key().alias("row_key"), by, "text").mapInArrow(run, schema)
+        return rows.where(in_pass(F.col("group"), part, model)).mapInArrow(run, schema)
 
-    return add_by_shard(docs, shards, score, [*base, "n_bytes"], ["log10_prob"])
+    scored = score(passes[0])
+    for part in passes[1:]:
+        scored = scored.unionByName(score(part))
+    if times == 1:
+        return scored
+    # Every row was read ``times`` times, and equal rows get equal scores.
+    fields = [*base, "n_bytes"]
+    added = scored.groupBy(*fields).agg(F.expr(f"CAST(count(*) DIV {times} AS INT)").alias("_m"), F.sum("log10_prob").alias("log10_prob"))
+    every = F.explode(F.sequence(F.lit(1), "_m")).alias("_i")
+    return added.select(*fields, (F.col("log10_prob") / F.col("_m")).alias("log10_prob"), every).drop("_i")
 
 
 def row_key(prefix: str = "") -> Column:
@@ -301,9 +210,9 @@ def quality(docs: DataFrame, below: float = BELOW, above: float = ABOVE, order:
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     reference = ~F.col("base_failed") & (10 * F.col("n_symbols") <= F.col("n_words"))
     other = group_of(F.col("lang"), 1 - fold())
-    model = fit_kneser_ney(distinct_texts(docs, row_key()), order, group=group_of(F.col("lang"), fold()))
+    model = fit_kneser_ney(distinct_texts(docs, row_key()), order, _reference, group_of(F.col("lang"), fold()))
     scored = written(
-        perplexity(docs, model, order, other).select(
+        perplexity(docs, model, other).select(
             "*", failed.alias("base_failed"), (-F.col("log10_prob") / F.col("n_bytes")).alias("log10_ppl")
         ),
         "kn-scored",

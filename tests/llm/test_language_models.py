@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetsieve.llm import byte_model, ctw, quality
+from packetsieve.llm import kneser_ney as kneser_ney_model
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -136,14 +137,14 @@ def kneser_ney(texts, order):
     return p
 
 
-@pytest.mark.parametrize("bound", [byte_model.BROADCAST_ROWS, 300])
+@pytest.mark.parametrize("bound", [kneser_ney_model.MODEL_ROWS, 300])
 def test_perplexity_equals_brute_force_also_on_new_texts(spark, docs_of, prose, monkeypatch, bound):
-    monkeypatch.setattr(quality, "shards_of", lambda sizes: byte_model.shards_of(sizes, bound))
+    monkeypatch.setattr(quality, "MODEL_ROWS", bound)
     train = [(i, prose(40, i)) for i in range(10)]
     new = [(50, prose(30, 77) + " Zyx\x00q"), (51, None), (51, None)]
-    model = quality.fit_kneser_ney(docs_of(train), 4, choose=None)
+    model = quality.fit_kneser_ney(docs_of(train), 4)
     p = kneser_ney([t for _, t in train], 4)
-    got = quality.perplexity(docs_of(train + new), model, 4).collect()
+    got = quality.perplexity(docs_of(train + new), model).collect()
     assert len(got) == 13
     expected = {i: sum(math.log10(p(g)) for g in grams(t, 4)) for i, t in train + new}
     for r in got:
