@@ -49,7 +49,7 @@ ORDER = 6
 #: By so many distinct texts the distance between quartiles is twice as wide as measured.
 WIDER = 8
 #: Quartile distances below and above the median.
-BELOW, ABOVE = 10.0, 6.0
+BELOW, ABOVE = 6.0, 6.0
 #: Tenths of a thousandth of log10(perplexity): the classes in which quartiles are counted.
 CLASSES = 10_000
 SYMBOL = np.zeros(256, dtype=bool)

@@ -227,3 +227,21 @@ def test_log_gamma(spark):
     xs = [0.5, 1.0, 2.5, 40.5, 1e6 + 0.5]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(ctw.log_gamma(F.col("x"))).collect()]
     assert got == pytest.approx([math.lgamma(x) for x in xs], rel=1e-12, abs=1e-9)
+
+
+def test_both_sides_of_the_band_reject(spark, docs_of, prose):
+    r = random.Random(8)
+    clean = [(i, prose(80, i)) for i in range(240)]
+    licence = prose(90, 4711).split(" ")
+    boilerplate = []
+    for i in range(20):  # one text with three other words in each copy
+        own = list(licence)
+        for at in r.sample(range(90), 3):
+            own[at] = r.choice(licence)
+        boilerplate.append((1000 + i, " ".join(own)))
+    junk = [(2000 + i, " ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(80))) for i in range(5)]
+    got = {x["doc_id"]: x for x in quality.quality(docs_of(clean + boilerplate + junk)).collect()}
+    assert all(got[i]["lower"] > 0 for i in got)
+    assert all(got[i]["log10_ppl"] < got[i]["lower"] and not got[i]["kept"] for i, _ in boilerplate)
+    assert all(got[i]["log10_ppl"] > got[i]["upper"] and not got[i]["kept"] for i, _ in junk)
+    assert sum(got[i]["kept"] for i, _ in clean) >= 0.98 * len(clean)
