@@ -13,20 +13,23 @@ def components(links: DataFrame) -> DataFrame:
 
     A step is a minimum per node, combined before the shuffle, and a join; no
     group is collected. The links are written between steps, and it ends when
-    they stay the same.
+    every node has one link to a node that has none to a smaller one.
     """
     links = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    state = None
-    while True:
+    while not _are_stars(links):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.where("u <> v").distinct(), "large-star")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         links = written(small.select("e.*").where("u <> v").distinct(), "small-star")
-        now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == state:
-            roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-        state = now
+    roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def _are_stars(links: DataFrame) -> bool:
+    """Whether all links go from a node with no other link to a root."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e"))
+    per = ends.groupBy("e.node").agg(F.sum("e.up").alias("ups"), F.count("*").alias("all"))
+    return per.where("ups > 1 OR (ups = 1 AND all > 1)").isEmpty()

@@ -319,6 +319,18 @@ def _links_of_block(block: pa.Table, percent: int) -> pa.Table:
     return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``set_id`` and ``component`` after ``links`` (``u``, ``v``), of which only those between components count."""
+    side = lambda c: labels.select(F.col("set_id").alias(c), F.col("component").alias(f"c_{c}"))
+    between = links.join(side("u"), "u").join(side("v"), "v").where("c_u <> c_v")
+    between = written(between.select(F.col("c_u").alias("u"), F.col("c_v").alias("v")).distinct(), "component-links")
+    if between.isEmpty():
+        return labels
+    later = components(between).select(F.col("node").alias("component"), F.col("component").alias("_later"))
+    named = labels.join(later, "component", "left").select("set_id", F.coalesce("_later", "component").alias("component"))
+    return written(named, "set-components")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id``, ``row_key`` (hash of the text), ``n_shingles``, ``component_id``, ``kept`` and ``group`` of every row.
 
@@ -334,25 +346,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     members = written(band_rows(classes, width).join(buckets.select("key", "pivot"), "key"), "set-members")
     found = full_sets(docs, members, k)
     pairs = members.where("set_id <> pivot").select(F.col("set_id").alias("u"), F.col("pivot").alias("v")).distinct()
-    links = None
+    labels = written(members.select("set_id").distinct().withColumn("component", F.col("set_id")), "set-components")
     for turn in range(PIVOTS + 1):
         new = written(_verified(written(_likely(pairs, classes, percent), "pivot-pairs"), found, percent), "pivot-links")
-        links = new if links is None else links.unionByName(new)
-        linked = written(components(links), "set-components")
-        named = members.join(linked.withColumnRenamed("node", "set_id"), "set_id", "left").select(
-            "key", "band", "set_id", F.coalesce("component", "set_id").alias("component")
-        )
+        labels = _joined(labels, new)
+        named = members.join(labels, "set_id").select("key", "band", "set_id", "component")
         drawn = F.min_by(F.struct("set_id", "component"), F.xxhash64("set_id", F.lit(turn))).alias("pivot")
         left = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), drawn).where("a <> b").select("key", "pivot")
-        rest = written(named.join(written(left, "pivots"), "key"), "members-left")
-        if not rest.limit(1).count():
+        rest = written(named.join(left, "key"), "members-left")
+        if rest.isEmpty():
             break
         if turn < PIVOTS:
             pairs = rest.where("component <> pivot.component").select(F.greatest("set_id", "pivot.set_id").alias("u"), F.least("set_id", "pivot.set_id").alias("v")).distinct()
     else:
         last = rest.drop("pivot").join(classes.select("set_id", "n", "sketch"), "set_id").join(found, "set_id")
-        linked = written(components(links.unionByName(written(_left_over(last, percent), "rest-links"))), "set-components")
-    of_class = classes.join(linked.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "rep", F.coalesce("component", "set_id").alias("component"))
+        labels = _joined(labels, written(_left_over(last, percent), "rest-links"))
+    of_class = classes.join(labels, "set_id", "left").select("set_id", "rep", F.coalesce("component", "set_id").alias("component"))
     of_class = written(of_class, "class-components")
     name = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = written(of_class.join(name, "component").select("set_id", "component", "component_id"), "class-names")

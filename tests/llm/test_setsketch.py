@@ -58,6 +58,23 @@ def test_components_equal_brute_force(spark, docs_of, prose, k, percent):
     assert sorted(got, key=str) == brute_force(rows, k, percent)
 
 
+def test_what_pivots_leave_is_compared_in_blocks(spark, docs_of, prose, monkeypatch):
+    """With pivots that link nothing, all links come from the blocks of the buckets."""
+    monkeypatch.setattr(setsketch, "PIVOTS", 0)
+    monkeypatch.setattr(setsketch, "_verified", lambda pairs, found, percent: pairs.limit(0))
+    seen = []
+    left_over = setsketch._left_over
+    monkeypatch.setattr(setsketch, "_left_over", lambda members, percent: seen.append(members.count()) or left_over(members, percent))
+    rows = [(i, prose(120, i)) for i in range(3)]
+    for i in range(3, 150):
+        words = rows[i - 3][1].split(" ")
+        words[(11 * i) % len(words)] = f"new{i}"
+        rows.append((i, " ".join(words)))
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in setsketch.near_duplicates(docs_of(rows), 3, 85).collect()]
+    assert sorted(got, key=str) == brute_force(rows, 3, 85)
+    assert seen and seen[0] > 0
+
+
 def test_one_of_each_keeps_columns(spark, docs_of, prose):
     docs = docs_of([(3, prose(50, 1)), (2, prose(50, 1)), (2, prose(50, 1)), (4, prose(50, 2)), (5, None)])
     out = setsketch.one_of_each(docs)
