@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from packetsieve.llm import byte_model, ctw, quality
+from packetsieve.llm import ctw, quality
 from packetsieve.llm import kneser_ney as kneser_ney_model
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -151,24 +151,40 @@ def test_perplexity_equals_brute_force_also_on_new_texts(spark, docs_of, prose,
         assert r["log10_prob"] == pytest.approx(expected[r["doc_id"]], rel=1e-5)
 
 
+EDGES = {0xFF, 0xFE, 0x20, *range(0x09, 0x0E)}
+
+
+SYMBOLS = [0xC0, 0xC1, *range(0xF5, 0xFD)]
+
+
+def in_context(text, lang, depth):
+    """Each symbol after the start, with the bytes before it back to the last white space (or the start), and the language."""
+    s = [0xFF, *(text or "").translate(LOWER).encode(), 0xFE]
+    for i in range(1, len(s)):
+        first = i - 1
+        while s[first] not in EDGES:
+            first -= 1
+        yield bytes([SYMBOLS[zlib.crc32((lang or "").encode()) % 10], *s[first:i]])[-depth:], s[i]
+
+
 def context_tree(texts, depth):
     counts = defaultdict(lambda: [0, 0])
-    for t in texts:
-        for g in grams(t, depth + 1):
+    for t, lang in texts:
+        for context, byte in in_context(t, lang, depth):
             for j in range(8):
-                node = (1 << j) | (g[-1] >> (8 - j))
-                for d in range(depth + 1):
-                    counts[d, g[depth - d : depth], node][g[-1] >> (7 - j) & 1] += 1
+                node = (1 << j) | (byte >> (8 - j))
+                for d in range(len(context) + 1):
+                    counts[context[len(context) - d :], node][byte >> (7 - j) & 1] += 1
     below = defaultdict(list)
-    for d, c, node in counts:
-        if d:
-            below[d - 1, c[1:], node].append((d, c, node))
+    for context, node in counts:
+        if context:
+            below[context[1:], node].append((context, node))
     weighted, stop, kt = {}, {}, {}
-    for key in sorted(counts, key=lambda x: -x[0]):
+    for key in sorted(counts, key=lambda x: -len(x[0])):
         a, b = counts[key]
         own = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
         kt[key] = (b + 0.5) / (a + b + 1)
-        if key[0] == depth:
+        if len(key[0]) == depth or key[0] and key[0][0] in SYMBOLS:
             weighted[key], stop[key] = own, 1.0
         else:
             rest = sum(weighted[k] for k in below[key])
@@ -176,38 +192,42 @@ def context_tree(texts, depth):
             weighted[key] = top + math.log(0.5 * math.exp(own - top) + 0.5 * math.exp(rest - top))
             stop[key] = 0.5 * math.exp(own - weighted[key])
 
-    def log10(g):
+    def log10(text, lang):
         total = 0.0
-        for j in range(8):
-            node, one, left = (1 << j) | (g[-1] >> (8 - j)), 0.0, 1.0
-            for d in range(depth + 1):
-                key = d, g[depth - d : depth], node
-                if key not in kt:
-                    break
-                one += left * stop[key] * kt[key]
-                left *= 1 - stop[key]
-            one += left / 2
-            total += math.log10(one if g[-1] >> (7 - j) & 1 else 1 - one)
+        for context, byte in in_context(text, lang, depth):
+            for j in range(8):
+                node, one, left, last = (1 << j) | (byte >> (8 - j)), 0.0, 1.0, 0.5
+                for d in range(len(context) + 1):
+                    key = context[len(context) - d :], node
+                    if key not in kt:
+                        break
+                    last = kt[key]
+                    one += left * stop[key] * last
+                    left *= 1 - stop[key]
+                one += left * last
+                total += math.log10(one if byte >> (7 - j) & 1 else 1 - one)
         return total
 
     return log10
 
 
-@pytest.mark.parametrize(("head", "bound"), [(ctw.HEAD_WORDS, byte_model.BROADCAST_ROWS), (40, 2000)])
-def test_scores_equal_brute_force(spark, docs_of, prose, monkeypatch, head, bound):
-    monkeypatch.setattr(ctw, "shards_of", lambda sizes: byte_model.shards_of(sizes, bound))
-    rows = odd_documents(prose)[:-2] + [(60, "Zq\x00 ÿ new"), (60, "Zq\x00 ÿ new")]
+@pytest.mark.parametrize(("depth", "head", "bound"), [(7, ctw.HEAD_WORDS, ctw.MODEL_ROWS), (7, 40, 2000), (3, 40, 500), (5, 0, 10**6)])
+def test_scores_equal_brute_force(spark, docs_of, prose, monkeypatch, depth, head, bound):
+    monkeypatch.setattr(ctw.unit_scores, "__defaults__", (bound,))
+    monkeypatch.setattr(ctw, "BUCKET_BYTES", 1 << 10)
+    rows = odd_documents(prose)[:-2] + [(60, "Zq\x00 ÿ new"), (60, "Zq\x00 ÿ new"), (61, " \n\t a\x0b\x0c  b " + "long" * 20 + "\r")]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
-    out = ctw.lm_scores(docs_of(rows), F.crc32(F.col("doc_id").cast("string")) % 3 == 1, depth=3, head_words=head).collect()
+    out = ctw.lm_scores(docs_of(rows), F.crc32(F.col("doc_id").cast("string")) % 3 == 1, depth, head, head).collect()
     assert len(out) == len(rows)
     tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + [None]
     train = Counter(x for i, t, *_ in rows if not held(i) for x in tokens(t))
     n, v = sum(train.values()), len(train)
-    log10 = context_tree([t for i, t, *_ in rows if not held(i)], 3)
+    rows = [(*r, "en")[:3] for r in rows]
+    log10 = context_tree([(t, g) for i, t, g in rows if not held(i)], depth)
     expected = {}
-    for i, t, *_ in rows:
+    for i, t, g in rows:
         x = tokens(t)
-        expected[i, len(x)] = (held(i), sum(train[w] > 0 for w in x), n, sum(math.log10((train[w] + 1) / (n + v + 1)) for w in x), sum(map(log10, grams(t, 4))))
+        expected[i, len(x)] = (held(i), sum(train[w] > 0 for w in x), n, sum(math.log10((train[w] + 1) / (n + v + 1)) for w in x), log10(t, g))
     for r in out:
         e = expected[r["doc_id"], r["n_tokens"]]
         assert (r["held_out"], r["n_known"], r["train_tokens"]) == e[:3]
@@ -216,11 +236,11 @@ def test_scores_equal_brute_force(spark, docs_of, prose, monkeypatch, head, boun
 
 
 def test_nothing_to_learn_from(spark, docs_of):
-    out = ctw.lm_scores(docs_of([(1, "ab"), (2, None)]), F.lit(True), depth=2).collect()
+    out = ctw.lm_scores(docs_of([(1, "ab"), (2, None)]), F.lit(True)).collect()
     assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], round(r["score"], 6)) for r in out) == [
         (1, 0, 0, round(-8 * math.log10(2), 6)), (2, 0, 0, round(-24 * math.log10(2), 6))
     ]
-    assert ctw.lm_scores(docs_of([]), F.lit(False), depth=2).count() == 0
+    assert ctw.lm_scores(docs_of([]), F.lit(False)).count() == 0
 
 
 def test_log_gamma(spark):
