@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .storage import partition, put, read_listed
+from .storage import dealt, get, partition, put
 from .tables import written
 from .textbytes import slices, text_bytes
 from .unit_tokens import UnitTokenizer, encoded_units
@@ -229,8 +229,8 @@ def read_token_files(files: DataFrame, folder: str, table: Frequencies) -> DataF
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                names, lengths, ids = unpack_file(content.as_py(), shared.value)
+            for name in batch.column(0).to_pylist():
+                names, lengths, ids = unpack_file(get(folder, name), shared.value)
                 ends = np.cumsum(lengths)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crcs = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())]
@@ -240,7 +240,7 @@ def read_token_files(files: DataFrame, folder: str, table: Frequencies) -> DataF
     # one row per file: its offset is the sum of the files before it
     before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
     bases = files.select(F.col("name").alias("_name"), F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    decoded = read_listed(spark, folder, files).mapInArrow(read, "name string, doc_id long, within long, n_tokens long, ids_crc32 long")
+    decoded = dealt(files.select("name"), "name").mapInArrow(read, "name string, doc_id long, within long, n_tokens long, ids_crc32 long")
     return decoded.join(bases, F.col("name") == F.col("_name")).select(
         "doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32"
     )

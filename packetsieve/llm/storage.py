@@ -7,8 +7,7 @@ import uuid
 
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
@@ -41,7 +40,14 @@ def partition() -> int:
     return TaskContext.get().partitionId()
 
 
-def read_listed(spark: SparkSession, folder: str, listed: DataFrame) -> DataFrame:
-    """``name`` and ``content`` of the files in ``folder`` whose ``name`` is in ``listed``."""
-    files = spark.read.format("binaryFile").load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").join(listed.select("name"), "name", "left_semi")
+#: Tasks that open files side by side at most.
+MOST_TASKS = 10_000
+
+
+def dealt(listed: DataFrame, *keys: str) -> DataFrame:
+    """Rows that each stand for a file or a block, a task for each one up to ``MOST_TASKS``.
+
+    Tasks open what they are dealt by :func:`get`; no contents are shuffled. The
+    number of tasks is fixed, as adaptive execution would merge such small rows.
+    """
+    return listed.repartition(min(MOST_TASKS, max(1, listed.count())), *keys)

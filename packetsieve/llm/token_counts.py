@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .storage import get, partition, put
+from .storage import dealt, get, partition, put
 from .tables import written
 from .textbytes import slices, text_bytes
 from .unigram import UnigramEncoder, Vocabulary
@@ -58,9 +58,7 @@ def count_tokens(spark: SparkSession, folder: str, separator: int, width: int =
                 columns = [pa.array([name] * n), pa.array(np.full(n, number)), pa.array(np.arange(n)), pa.array(pieces), pa.array(edge), pa.array(np.arange(n) < n - 1)]
                 yield pa.RecordBatch.from_arrays(columns, ["name", "block", "piece", "n", "edge", "closed"])
 
-    # one task for each block, in blocks' own order of no importance
-    dealt = blocks.repartition(F.col("name"), F.col("block"))
-    found = written(dealt.mapInArrow(scan, "name string, block long, piece long, n long, edge boolean, closed boolean"), "separator-scan")
+    found = written(dealt(blocks, "name", "block").mapInArrow(scan, "name string, block long, piece long, n long, edge boolean, closed boolean"), "separator-scan")
     per_block = found.groupBy("name", "block").agg((F.count("*") - 1).alias("separators"))
     before = Window.partitionBy("name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = per_block.select("name", "block", F.coalesce(F.sum("separators").over(before), F.lit(0)).alias("base"))

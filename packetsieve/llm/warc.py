@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .storage import partition, put, read_listed
+from .storage import dealt, get, partition, put
 from .tables import written
 
 VERSION = b"WARC/1.1"
@@ -218,9 +218,9 @@ def read_archives(archives: DataFrame, folder: str, payload: bool = False) -> Da
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
+            for name in batch.column(0).to_pylist():
                 rows, size = [], 0
-                for raw in unpack_archive(content.as_py()):
+                for raw in unpack_archive(get(folder, name)):
                     rows.append(parse(raw))
                     size += len(raw) if payload else 64
                     if size > 4 << 20:
@@ -232,7 +232,7 @@ def read_archives(archives: DataFrame, folder: str, payload: bool = False) -> Da
     def batch_of(rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types)], names)
 
-    return read_listed(archives.sparkSession, folder, archives).select("content").mapInArrow(read, schema)
+    return dealt(archives.select("name"), "name").mapInArrow(read, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

@@ -134,3 +134,26 @@ def test_counts_of_documents(spark, docs_of, prose, pieces):
     key = lambda r: str(tuple(r))
     assert sorted(got, key=key) == sorted(((r["doc_id"], r["n_ids"]) for r in trips), key=key)
     assert token_counts.document_token_counts(docs_of([]), pieces, 2).count() == 0
+
+
+def test_blocks_and_files_have_tasks_of_their_own(spark, tmp_path):
+
+    from packetsieve.llm.storage import dealt
+
+    ids = np.arange(36 * 512, dtype="<u2")
+    (tmp_path / "a.bin").write_bytes(ids.tobytes())
+    seen = tmp_path / "tasks"
+    seen.mkdir()
+
+    def scan(batches):
+        from pyspark import TaskContext
+
+        for batch in batches:
+            (seen / str(TaskContext.get().partitionId())).touch()
+            yield batch
+
+    blocks = spark.createDataFrame([("a.bin", i) for i in range(36)], "name string, block long")
+    assert dealt(blocks, "name", "block").mapInArrow(scan, "name string, block long").count() == 36
+    assert len(list(seen.iterdir())) > 12
+    got = token_counts.count_tokens(spark, str(tmp_path), 511, block=1024).agg({"n_tokens": "sum", "document": "count"}).first()
+    assert got["sum(n_tokens)"] == len(ids) - 1 and got["count(document)"] == 2
