@@ -42,8 +42,8 @@ HORIZON = 8
 LEAST_PACE = 0.05
 # Marks on more than this share of the rows save too little: the next ones are tried later.
 MARKED_SHARE = 0.5
-# Up to so many marked rows (6 MB) come to the driver, which makes the passes itself.
-DRIVER_ROWS = 1 << 15
+# Up to so many marked rows (9 MB) come to the driver, which makes the passes itself.
+DRIVER_ROWS = 1 << 16
 # Relative error of a squared distance, with room to spare.
 ROUNDING = 1e-12
 
@@ -284,15 +284,15 @@ def _sum_columns(sums: np.ndarray, counts: np.ndarray, costs: np.ndarray, k: int
     ]
 
 
-def _gathered(totals: DataFrame, tasks: int, restarts: int, k: int, width: int) -> np.ndarray:
-    """Counts, costs and sums (restarts * k, 2 + width) over all tasks."""
-    measures = _sum_names(width)
+def _gathered(totals: DataFrame, tasks: int, restarts: int, k: int, width: int, more=()) -> np.ndarray:
+    """Counts, costs, sums and ``more`` (restarts * k, 2 + width + ...) over all tasks."""
+    measures = [*_sum_names(width), *more]
     totals = totals.select("restart", "cluster", *measures)
     if tasks > DIRECT_TASKS:
         totals = totals.groupBy("restart", "cluster").sum(*measures).toDF("restart", "cluster", *measures)
     table = totals.toArrow()
     place = table["restart"].to_numpy() * k + table["cluster"].to_numpy()
-    sums = np.zeros((restarts * k, width + 2))
+    sums = np.zeros((restarts * k, len(measures)))
     np.add.at(sums, place, np.column_stack([table[c].to_numpy() for c in measures]))
     return sums
 
@@ -461,10 +461,8 @@ def marking_pass(
 
     schema = _sums_schema(width) + ", matrix binary, labels binary, rows long"
     table = blocks.table.mapInArrow(mark, schema).persist(StorageLevel.MEMORY_AND_DISK)
-    totals = table.where("restart IS NOT NULL")
-    sums = _gathered(totals, blocks.tasks, count, k, width)
-    rows = totals.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    return Marks(blocks, table, restarts, bounds, sums, rows)
+    sums = _gathered(table.where("restart IS NOT NULL"), blocks.tasks, count, k, width, ["rows"])
+    return Marks(blocks, table, restarts, bounds, sums[:, :-1], int(sums[:, -1].sum()))
 
 
 def settled_centres(blocks: Blocks, centres: np.ndarray, limit: float, max_iter: int) -> np.ndarray:

@@ -199,3 +199,10 @@ def test_headers_of_a_store_that_only_spark_reads(spark, folder, monkeypatch):
     assert got == want and len(got) == 4
     monkeypatch.setattr(captures, "_is_known_store", lambda uri: False)
     assert read_captures(spark, files).count() == 4
+
+
+def test_a_pruned_read_knows_the_kept_paths_only(spark, folder, no_driver_reads):
+    files = prune_lenient(list_captures(spark, f"{folder}/*.csv"), "2024-01-02", "2024-01-03")
+    layout = captures.layout_of(spark, files, skip_bad=True, same_header=False)
+    assert [p.rsplit("/", 1)[-1] for p in layout.paths] == ["a_2024-01-02_x.csv", "a_2024-01-03_x.csv"]
+    assert layout.table.count() == 2 and sorted(layout.files) == [1, 1]
