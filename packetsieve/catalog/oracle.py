@@ -509,6 +509,24 @@ ORACLES = {
         + "".join(f", CAST(sum({c}) AS BIGINT) AS {c}_sum" for c in ("frame_number", "udp_srcport", "tcp_srcport"))
         + " FROM packets GROUP BY 1",
     ),
+    "empty_input": _with(
+        [PACKETS],
+        "SELECT range_start, range_end, n = 0 AS skipped, nullif(n, 0) AS training_rows, n = 0 AS raised, nullif(n, 0) AS scoring_rows FROM ("
+        "SELECT range_start, range_end, count(p.file_name) AS n FROM "
+        "(VALUES ('2024-01-03', '2024-01-05'), ('2024-01-12', '2024-01-12'), ('2023-01-01', '2023-12-31'), ('2030-01-01', '2030-01-02')) "
+        "AS r(range_start, range_end) LEFT JOIN packets p ON split_part(p.file_name, '_', 2) BETWEEN range_start AND range_end GROUP BY 1, 2)",
+    ),
+    "run_records": _with(
+        [PACKETS],
+        f"SELECT md5(name) AS job_id, name AS csv_file, 'PENDING' AS status, 'queued' AS stage, CAST(0 AS INTEGER) AS progress, "
+        "true AS created_utc, true AS no_started_at, true AS no_finished_at, true AS no_result, true AS no_error "
+        f"FROM (SELECT DISTINCT {DAILY_NAME} AS name FROM packets)",
+    ),
+    "mode_presets": "SELECT e.event_type, events, mode, mode_applied, CAST(restarts AS INTEGER) AS restarts, CAST(trees AS INTEGER) AS trees "
+    "FROM (SELECT event_type, count(*) AS events FROM events GROUP BY 1) e JOIN (VALUES "
+    "('view', 'low', 'low', 5, 50), ('click', 'normal', 'normal', 10, 200), ('purchase', 'hardcore', 'hardcore', 20, 500), "
+    "('signup', 'quick', 'normal', 10, 200), ('error', 'HARDCORE', 'normal', 10, 200)) "
+    "AS m(event_type, mode, mode_applied, restarts, trees) USING (event_type)",
     "model_roundtrip": _with([*SPLIT_MATRIX, *FOREST_STEPS, *LLOYD_STEPS], MODEL_PARTS),
     "model_folder_name": "SELECT DISTINCT CAST(a AS VARCHAR) AS start_date, CAST(b AS VARCHAR) AS end_date, "
     "CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN concat(a, '_', b) "

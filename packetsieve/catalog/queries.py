@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,16 +36,20 @@ from ..operators.kmeans import (
 from ..operators.ordering import ordered_index
 from ..operators.runs import (
     RUNNING,
+    append_event,
+    compact_events,
     error_durations,
     latest_phases,
     latest_runs,
     latest_training,
     phase_shares,
+    run_events,
 )
 from ..operators.scaling import fit_scaler, scale, scaler_constants
 from ..operators.scoring import attach_model, profile, report_json, score_rows, summarise
 from ..plans.analyse import analyse_range as run_analysis
-from ..plans.train import train
+from ..plans.analyse import new_record
+from ..plans.train import mode_settings, train
 from ..schema import (
     CATEGORICAL,
     FEATURES,
@@ -51,16 +57,19 @@ from ..schema import (
     NUMERIC,
     RAW_COLUMNS,
     ROW_ID,
+    RUN_EVENT_SCHEMA,
     STORED_NUMERIC,
     TIMESTAMP,
 )
 from ..session import scratch_path
 from ..sources.captures import (
     FILE_NAME,
+    captures_in_range,
     list_captures,
     prune_lenient,
     prune_strict,
     read_captures,
+    training_captures,
     union_by_name as union_parts,
 )
 from ..sources.model_store import Model, load_model, save_model
@@ -155,6 +164,26 @@ def header_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Two ranges that hold captures, one before the first and one after the last of them.
+RANGES = (("2024-01-03", "2024-01-05"), ("2024-01-12", "2024-01-12"), ("2023-01-01", "2023-12-31"), ("2030-01-01", "2030-01-02"))
+
+
+def empty_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of date ranges: training skips an empty one without a word, scoring raises."""
+    pattern = write_captures(daily_rows(packets(spark, sf_dir)), scratch_path(spark, "captures"))
+    outcomes = []
+    for start, end in RANGES:
+        captured = training_captures(spark, pattern, start, end)
+        rows = None if captured is None else captured.count()
+        try:
+            raised, scored = False, captures_in_range(spark, pattern, start, end).count()
+        except FileNotFoundError:
+            raised, scored = True, None
+        outcomes.append((start, end, captured is None, rows, raised, scored))
+    schema = "range_start string, range_end string, skipped boolean, training_rows long, raised boolean, scoring_rows long"
+    return spark.createDataFrame(outcomes, schema)
+
+
 def _model(spark: SparkSession, sf_dir: str) -> Model:
     """A model of the training range, with fixed-start centroids."""
     rows = cleaned(spark, sf_dir, TRAIN_START, TRAIN_END)
@@ -628,6 +657,41 @@ def run_history_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_runs(_run_events(spark, sf_dir), RUN_FIELDS)
 
 
+def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new run for each daily capture, written to a history, put into few files and read back."""
+    names = [r[0] for r in daily_rows(packets(spark, sf_dir)).select(FILE_NAME).distinct().collect()]
+    history = scratch_path(spark, "history")
+    for name in names:
+        record = new_record(name, job_id=hashlib.md5(name.encode()).hexdigest())
+        append_event(spark, history, RUN_EVENT_SCHEMA, **record)
+    compact_events(spark, history, RUN_EVENT_SCHEMA)
+    return latest_runs(run_events(spark, history)).select(
+        "job_id",
+        "csv_file",
+        "status",
+        "stage",
+        "progress",
+        F.col("created_at").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d+\+00:00$").alias("created_utc"),
+        *[F.col(c).isNull().alias(f"no_{c}") for c in ("started_at", "finished_at", "result", "error")],
+    )
+
+
+# The mode that a training asks for, by type of event; two of them are not known.
+ASKED = {"view": "low", "click": "normal", "purchase": "hardcore", "signup": "quick", "error": "HARDCORE"}
+
+
+def mode_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Asked and applied mode with its settings, and how many events ask for it."""
+    rows = []
+    for kind, asked in ASKED.items():
+        applied, settings = mode_settings(asked)
+        rows.append((kind, asked, applied, settings["restarts"], settings["trees"]))
+    presets = spark.createDataFrame(rows, "event_type string, mode string, mode_applied string, restarts int, trees int")
+    counts = events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("events"))
+    # One row per type of event.
+    return counts.join(F.broadcast(presets), "event_type")
+
+
 def run_error_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every error event as a failed run that started when its user's first event came."""
     log = events(spark, sf_dir)
@@ -676,6 +740,7 @@ QUERIES = {
     "date_prune_lenient": date_prune_lenient,
     "union_by_name": union_by_name,
     "header_union": header_union,
+    "empty_input": empty_input,
     "model_roundtrip": model_roundtrip,
     "model_folder_name": model_folder,
     "timestamp_coerce": timestamp_coerce,
@@ -714,6 +779,8 @@ QUERIES = {
     "training_log_latest": training_log_latest,
     "phase_share": phase_share,
     "run_history_latest": run_history_latest,
+    "run_records": run_records,
+    "mode_presets": mode_presets,
     "run_error_duration": run_error_duration,
     "train_small": train_small,
     "analyse_range": analyse_range,
