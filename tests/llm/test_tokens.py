@@ -157,3 +157,27 @@ def test_blocks_and_files_have_tasks_of_their_own(spark, tmp_path):
     assert len(list(seen.iterdir())) > 12
     got = token_counts.count_tokens(spark, str(tmp_path), 511, block=1024).agg({"n_tokens": "sum", "document": "count"}).first()
     assert got["sum(n_tokens)"] == len(ids) - 1 and got["count(document)"] == 2
+
+
+def test_ties_go_to_the_longest_last_piece():
+    pieces = [(0, "▁", -1.0), (1, "a", -1.0), (2, "b", -1.0), (3, "ab", -2.0), (4, "▁a", -2.0), (5, "bab", -3.0)]
+    v = unigram.Vocabulary(pieces, {b: 10 + b for b in range(256)})
+    size = {i: len(p) for i, p, _ in pieces}
+    for text in ("a", "ab", "abab", "ba bab", "aabb abab b"):
+        data = np.frombuffer((" " + text).encode(), dtype=np.uint8)
+        starts, ends, _ = v.units(data, np.array([0, len(data)]))
+        sizes, ids = v.encode_new(data, starts, ends)
+        # from the end: of the pieces on a best path, the longest one
+        chars = "▁" + text.replace(" ", "▁")
+        best = [0.0] + [-1e9] * len(chars)
+        last = [None] * (len(chars) + 1)
+        for j in range(1, len(chars) + 1):
+            for i, p, s in pieces:
+                at = j - len(p)
+                if at >= 0 and chars[at:j] == p and (best[at] + s, size[i]) > (best[j], size.get(last[j], 0)):
+                    best[j], last[j] = best[at] + s, i
+        want, j = [], len(chars)
+        while j:
+            want.append(last[j])
+            j -= size[last[j]]
+        assert ids.tolist() == want[::-1] and sizes.sum() == len(want)
