@@ -26,3 +26,20 @@ def test_run_over_the_table(spark):
     out = queries()["pipeline"](spark, TABLES)
     assert out.columns == ["doc_id", "lang", "source", "ids", "n_ids"]
     assert out.count() > 50 and out.where("n_ids < 1").count() == 0
+
+
+def test_every_stage_on_odd_rows_and_on_none(spark, docs_of, prose):
+    rows = [(i, prose(60, i), ["en", "fr", None][i % 3]) for i in range(12)]
+    rows += [(20, None), (21, ""), (22, " \n\t"), (None, prose(50, 20)), (None, None), (None, prose(50, 20)), (3, prose(60, 3)), (3, prose(40, 21))]
+    rows += [(23, prose(20000, 22)), (24, "one"), (-(2**63), prose(50, 23)), (2**63 - 1, prose(50, 24))]
+    docs = docs_of(rows)  # with columns that operators use inside
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, TABLES)
+        assert out.columns == corpus_pipeline.COLUMNS, name
+        assert set(out.select("doc_id").distinct().toPandas()["doc_id"].dropna().astype(int)) <= {r[0] for r in rows if r[0] is not None}, name
+        assert stage(spark, docs.limit(0), TABLES).count() == 0, name
+    encoding = corpus_pipeline.STAGES[-1][1]
+    encoded = encoding(spark, docs, TABLES).collect()
+    assert len(encoded) == len(rows) and sorted(r["n_ids"] for r in encoded)[:3] == [0, 0, 0]
+    assert encoding(spark, docs.limit(0), TABLES).count() == 0
+    assert corpus_pipeline.mixing(spark, docs, TABLES).where("doc_id IS NULL").count() >= 1
