@@ -25,8 +25,6 @@ from .textbytes import LOWER, SPACE, HashArray, prefix_hash, slices, span_hash,
 #: Encoded units that are broadcast (about 25 bytes each), the most frequent ones; tasks encode the others
 #: and keep some of those.
 HEAD_UNITS, KEPT_UNITS = 1 << 22, 1 << 17
-#: The most frequent of them are looked up first, in an array that stays in the processor's cache.
-HOT_UNITS = 1 << 15
 _KIND = np.full(256, 3, dtype=np.uint8)
 _KIND[0x21:0x7F] = 2
 _KIND[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = 1
@@ -77,22 +75,22 @@ class UnitCache:
     numbers of ids of units not seen before, and those ids.
     """
 
-    def __init__(self, split, encode_new, head: tuple[list[HashArray], np.ndarray] | None = None, fold=None, kept: int = 1 << 20):
+    def __init__(self, split, encode_new, head: tuple[HashArray, np.ndarray] | None = None, fold=None, kept: int = 1 << 20):
         self.split, self.encode_new, self.fold, self.kept = split, encode_new, fold, kept
-        known, flat = head or ([], np.zeros(0, np.int32))
-        #: The first ``heads`` sets share one array of ids.
-        self.sets, self.heads, self.head_flat = [(k, flat, None, None) for k in known], len(known), flat
+        none = np.zeros(0, np.int32)
+        head, flat = head or (HashArray(none.astype(np.uint64), none, none), none)
+        self.sets = [(head, flat, None, None)]
 
     def add(self, keys: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
         ends = np.cumsum(sizes)
         self.sets.append((HashArray(keys, (ends - sizes).astype(np.int32), sizes.astype(np.int16 if not len(sizes) or sizes.max() < 1 << 15 else np.int32)), flat, keys, sizes))
-        while len(self.sets) > self.heads + 1 and len(self.sets[-1][2]) * 2 > len(self.sets[-2][2]):
+        while len(self.sets) > 2 and len(self.sets[-1][2]) * 2 > len(self.sets[-2][2]):
             late, early = self.sets.pop(), self.sets.pop()  # near in size: one set instead of two
             keys, sizes, flat = (np.concatenate([early[i], late[i]]) for i in (2, 3, 1))
             ends = np.cumsum(sizes)
             self.sets.append((HashArray(keys, (ends - sizes).astype(np.int32), sizes.astype(np.int16 if not len(sizes) or sizes.max() < 1 << 15 else np.int32)), flat, keys, sizes))
-        if sum(len(s[2]) for s in self.sets[self.heads :]) > self.kept:
-            del self.sets[self.heads :]
+        if sum(len(s[2]) for s in self.sets[1:]) > self.kept:
+            del self.sets[1:]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, first = self.split(data, offsets)
@@ -116,28 +114,31 @@ class UnitCache:
             sets.append((late, flat, new, sizes))
             self.add(new, sizes, flat)
         begin, size = np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
-        pool = np.concatenate([s[1] for s in sets[self.heads :]]) if len(sets) > self.heads else np.zeros(0, np.int32)
-        base = len(self.head_flat)
+        pool = np.concatenate([s[1] for s in sets[1:]]) if len(sets) > 1 else np.zeros(0, np.int32)
+        base = len(sets[0][1])
         shift = base
         for i, (known, flat, *_) in enumerate(sets):
             mine = which == i
-            begin[mine] = known.values[0][place[mine]] + (0 if i < self.heads else shift)
+            begin[mine] = known.values[0][place[mine]] + (0 if i == 0 else shift)
             size[mine] = known.values[1][place[mine]]
-            shift += len(flat) if i >= self.heads else 0
+            shift += len(flat) if i else 0
         ends = np.cumsum(size)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)
         out = np.empty(len(at), dtype=np.int32)
         in_head = at < base
-        out[in_head] = self.head_flat[at[in_head]]
+        out[in_head] = sets[0][1][at[in_head]]
         out[~in_head] = pool[at[~in_head] - base]
         bounds = np.concatenate([[0], ends])[first]
         return out, bounds
 
 
-def encode_with(model):
-    """How the tokenizers library encodes new units."""
+def encode_with(tokenizer: str):
+    """How the tokenizers library encodes new units; its file is read when the first one comes."""
+    model = None
 
     def encode_new(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal model
+        model = model or load(tokenizer)
         raw = data.tobytes()
         ids = encode_units(model, [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())])
         return np.array([len(x) for x in ids], dtype=np.int64), np.array([t for x in ids for t in x], dtype=np.int32)
@@ -162,19 +163,12 @@ class UnitTokenizer:
     def __init__(self, tokenizer: str, spark: SparkSession, encoded: DataFrame, head_units: int = HEAD_UNITS):
         self.tokenizer = tokenizer
         classes = {r["g"]: r["count"] for r in encoded.groupBy(F.floor(F.log2("n")).alias("g")).count().collect()}
-
-        def least_of(room: int) -> int:
-            """The least class of twofold counts that has room, with all above it."""
-            least = 64
-            for g in sorted(classes, reverse=True):
-                if classes[g] > room:
-                    break
-                least, room = g, room - classes[g]
-            return least
-
-        hot = F.log2("n") >= least_of(min(HOT_UNITS, head_units))
-        head = encoded.where(F.log2("n") >= least_of(head_units)).select("unit", "ids", hot.alias("hot")).toArrow()
-        is_hot = head.column("hot").to_numpy()
+        least, room = 64, head_units
+        for g in sorted(classes, reverse=True):
+            if classes[g] > room:
+                break
+            least, room = g, room - classes[g]
+        head = encoded.where(F.log2("n") >= least).select("unit", "ids").toArrow()
         ids = head.column("ids").combine_chunks()
         keys = head.column("unit").to_numpy().view(np.uint64)
         bounds = ids.offsets.to_numpy() if len(keys) else np.zeros(1, np.int32)
@@ -182,8 +176,7 @@ class UnitTokenizer:
         flat = ids.flatten().to_numpy(zero_copy_only=False) if len(keys) else np.zeros(0, np.int32)
         flat = flat.astype(np.uint16 if not len(flat) or flat.max() < 1 << 16 else np.int32)
         begin = (bounds[:-1] - bounds[0]).astype(np.int32)
-        sizes = sizes.astype(np.int16 if not len(sizes) or sizes.max() < 1 << 15 else np.int32)
-        known = [HashArray(keys[part], begin[part], sizes[part]) for part in (is_hot, ~is_hot)]
+        known = HashArray(keys, begin, sizes.astype(np.int16 if not len(sizes) or sizes.max() < 1 << 15 else np.int32))
         del head, ids, keys, bounds
         pa.default_memory_pool().release_unused()
         self.key = uuid.uuid4().hex
@@ -191,7 +184,7 @@ class UnitTokenizer:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts and their n + 1 offsets."""
-        cache = worker_cache(self.key, lambda: UnitCache(units, encode_with(load(self.tokenizer)), self.head.value, folded, KEPT_UNITS))
+        cache = worker_cache(self.key, lambda: UnitCache(units, encode_with(self.tokenizer), self.head.value, folded, KEPT_UNITS))
         return cache.encode(data, offsets)
 
 
