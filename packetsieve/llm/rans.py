@@ -40,6 +40,8 @@ LANES, INTERVAL, BLOCK = 32, 256, 1 << 16
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
 FILE_TOKENS = 1 << 20
+#: Times ``FILE_TOKENS`` that a writing task gets: a task first loads the units that all share.
+TASK_FILES = 4
 _32 = np.uint64(32)
 
 
@@ -217,7 +219,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int)
         columns = [pa.array([x]) for x in (partition(), number, name, len(ids))]
         return pa.RecordBatch.from_arrays(columns, ["part", "file", "name", "n_tokens"])
 
-    ordered = rows.repartitionByRange(max(1, -(-total // FILE_TOKENS)), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    ordered = rows.repartitionByRange(max(1, -(-total // (TASK_FILES * FILE_TOKENS))), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     return written(ordered.mapInArrow(write, "part long, file long, name string, n_tokens long"), "rans-files"), table
 
