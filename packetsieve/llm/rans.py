@@ -40,7 +40,7 @@ LANES, INTERVAL, BLOCK = 32, 256, 1 << 16
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
 FILE_TOKENS = 1 << 20
-#: Times ``FILE_TOKENS`` that a writing task gets: a task first loads the units that all share.
+#: Files that a task writes or reads: it first loads what all files share.
 TASK_FILES = 4
 _32 = np.uint64(32)
 
@@ -242,7 +242,7 @@ def read_token_files(files: DataFrame, folder: str, table: Frequencies) -> DataF
     # one row per file: its offset is the sum of the files before it
     before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
     bases = files.select(F.col("name").alias("_name"), F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    decoded = dealt(files.select("name"), "name").mapInArrow(read, "name string, doc_id long, within long, n_tokens long, ids_crc32 long")
+    decoded = dealt(files.select("name"), "name", each=TASK_FILES).mapInArrow(read, "name string, doc_id long, within long, n_tokens long, ids_crc32 long")
     return decoded.join(bases, F.col("name") == F.col("_name")).select(
         "doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32"
     )

@@ -44,10 +44,10 @@ def partition() -> int:
 MOST_TASKS = 10_000
 
 
-def dealt(listed: DataFrame, *keys: str) -> DataFrame:
-    """Rows that each stand for a file or a block, a task for each one up to ``MOST_TASKS``.
+def dealt(listed: DataFrame, *keys: str, each: int = 1) -> DataFrame:
+    """Rows that each stand for a file or a block, a task for every ``each`` of them up to ``MOST_TASKS``.
 
     Tasks open what they are dealt by :func:`get`; no contents are shuffled. The
     number of tasks is fixed, as adaptive execution would merge such small rows.
     """
-    return listed.repartition(min(MOST_TASKS, max(1, listed.count())), *keys)
+    return listed.repartition(min(MOST_TASKS, max(1, -(-listed.count() // each))), *keys)
