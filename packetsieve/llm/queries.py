@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat import chat_round_trip
 from .collocations import collocations
-from .ctw import lm_scores
+from .context_tree import tree_scores
 from .fingerprints import edited_neighbours
 from .merkle import changed_third, versions
 from .mixing import label_domains, mixing_rates
@@ -61,7 +61,7 @@ def op7_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    return lm_scores(table(spark, sf_dir, "documents"), held_out)
+    return tree_scores(table(spark, sf_dir, "documents"), held_out)
 
 
 def op2_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
