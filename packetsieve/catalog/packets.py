@@ -79,10 +79,10 @@ def daily_rows(packets: DataFrame) -> DataFrame:
 def write_captures(df: DataFrame, folder: str) -> str:
     """Write rows as capture files, one folder of part files per ``file_name``.
 
-    Returns the pattern to read them with.
+    A name with more rows than a task should sort gets several part files. Returns the pattern to read them with.
     """
     (
-        df.repartition(FILE_NAME)
+        df.hint("rebalance", FILE_NAME)
         .write.partitionBy(FILE_NAME)
         .option("header", True)
         .option("escape", '"')

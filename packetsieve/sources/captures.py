@@ -249,25 +249,28 @@ def _scan_by_place(spark: SparkSession, layout: Layout, multi_line: bool) -> Dat
     """The same for files with several headers, in one scan.
 
     Fields are read by place. Files with the most common header are not looked up;
-    the others are joined by their path, so Spark's own size check decides whether
-    that table is broadcast.
+    the others are joined by their path with their places. That table is written, so
+    that Spark's own size check, which decides whether it is broadcast, knows its size.
     """
     names = list(dict.fromkeys(name for header in layout.headers for name in header))
     widest = max(len(h) for h in layout.headers)
     common = max(range(len(layout.headers)), key=lambda i: (layout.files[i], -i))
-    places = [
-        (i, list(h), [h.index(n) if n in h else None for n in names], len(h))
-        for i, h in enumerate(layout.headers)
-    ]
-    headers = spark.createDataFrame(places, "_id int, header array<string>, _places array<int>, _width int")
-    others = layout.table.join(headers.where(F.col("_id") != common), "header").select(URI, "_id")
+    places = [(list(h), [h.index(n) if n in h else None for n in names], len(h)) for h in layout.headers]
+    headers = spark.createDataFrame(
+        places[:common] + places[common + 1 :], "header array<string>, _places array<int>, _width int"
+    )
+    path = scratch_path(spark, "places")
+    layout.table.join(F.broadcast(headers), "header").select(URI, "_places", "_width").write.parquet(path)
+    others = spark.read.schema(f"{URI} string, _places array<int>, _width int").parquet(path)
     fields = [f"_field{i}" for i in range(widest)]
     uri = F.col("_metadata.file_path")
     rows = _reader(spark, fields, multi_line).csv(layout.paths).select(
         F.array(*fields).alias("_fields"), fields[0], RAW_RECORD, capture_file_name(uri).alias(FILE_NAME), uri.alias(URI)
     )
-    rows = rows.join(others, URI, "left").withColumn("_id", F.coalesce("_id", F.lit(common)))
-    rows = rows.join(headers.drop("header"), "_id")
+    usual = F.array(*[F.lit(place).cast("int") for place in places[common][1]])
+    rows = rows.join(others, URI, "left").withColumns(
+        {"_places": F.coalesce("_places", usual), "_width": F.coalesce("_width", F.lit(places[common][2]))}
+    )
     values = [F.get("_fields", F.get("_places", F.lit(i))) for i in range(len(names))]
     return rows.select(
         *[null_spellings_to_null(v).alias(n) for n, v in zip(names, values)],

@@ -206,3 +206,11 @@ def test_a_pruned_read_knows_the_kept_paths_only(spark, folder, no_driver_reads)
     layout = captures.layout_of(spark, files, skip_bad=True, same_header=False)
     assert [p.rsplit("/", 1)[-1] for p in layout.paths] == ["a_2024-01-02_x.csv", "a_2024-01-03_x.csv"]
     assert layout.table.count() == 2 and sorted(layout.files) == [1, 1]
+
+
+def test_rows_are_not_dealt_by_their_header(spark, folder):
+    """A join on the header would put all rows of the usual one in one task."""
+    rows = read_captures(spark, list_captures(spark, f"{folder}/*.csv"))
+    assert sorted(r["ip_src"] for r in rows.collect()) == ["four", "one", "three", "two"]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
