@@ -13,7 +13,8 @@ merge.
    numbers of larger, smaller and equal registers (and the exact set sizes)
    drops pairs that are far below the threshold.
 2. The others are verified on the full sets; verified links give components.
-   Buckets that still hold several components try ``PIVOTS`` more classes.
+   Buckets that still hold several components try ``PIVOTS`` more classes; a class
+   leaves its bucket before the next is drawn, as it has met all others there.
 3. What is left is compared in blocks: the classes outside the bucket's largest
    component against those of other components, in the order of the estimate,
    verified on the full sets at once. A block returns links, at most one for
@@ -350,16 +351,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     for turn in range(PIVOTS + 1):
         new = written(_verified(written(_likely(pairs, classes, percent), "pivot-pairs"), found, percent), "pivot-links")
         labels = _joined(labels, new)
-        named = members.join(labels, "set_id").select("key", "band", "set_id", "component")
-        drawn = F.min_by(F.struct("set_id", "component"), F.xxhash64("set_id", F.lit(turn))).alias("pivot")
-        left = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), drawn).where("a <> b").select("key", "pivot")
+        # the next draw leaves out what was tried, as it has met all others in its bucket
+        untried = members.where("set_id <> pivot") if turn < PIVOTS else members
+        named = untried.join(labels, "set_id").select("key", "band", "set_id", "component")
+        drawn = F.min_by(F.struct("set_id", "component"), F.xxhash64("set_id", F.lit(turn))).alias("drawn")
+        left = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), drawn).where("a <> b").select("key", "drawn")
         rest = written(named.join(left, "key"), "members-left")
         if rest.isEmpty():
             break
         if turn < PIVOTS:
-            pairs = rest.where("component <> pivot.component").select(F.greatest("set_id", "pivot.set_id").alias("u"), F.least("set_id", "pivot.set_id").alias("v")).distinct()
+            pairs = rest.where("component <> drawn.component").select(F.greatest("set_id", "drawn.set_id").alias("u"), F.least("set_id", "drawn.set_id").alias("v")).distinct()
+            members = rest.select("key", "band", "set_id", F.col("drawn.set_id").alias("pivot"))
     else:
-        last = rest.drop("pivot").join(classes.select("set_id", "n", "sketch"), "set_id").join(found, "set_id")
+        last = rest.drop("drawn").join(classes.select("set_id", "n", "sketch"), "set_id").join(found, "set_id")
         labels = _joined(labels, written(_left_over(last, percent), "rest-links"))
     of_class = classes.join(labels, "set_id", "left").select("set_id", "rep", F.coalesce("component", "set_id").alias("component"))
     of_class = written(of_class, "class-components")

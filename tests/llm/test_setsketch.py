@@ -75,6 +75,22 @@ def test_what_pivots_leave_is_compared_in_blocks(spark, docs_of, prose, monkeypa
     assert seen and seen[0] > 0
 
 
+def test_buckets_of_unlinked_pairs_are_compared_once(spark, docs_of, prose, monkeypatch):
+    """Texts that share bands without a link are verified once, and never come to the blocks."""
+    pairs, crowds = [], []
+    verified, left_over = setsketch._verified, setsketch._left_over
+    monkeypatch.setattr(setsketch, "_verified", lambda p, found, percent: pairs.extend(map(tuple, p.collect())) or verified(p, found, percent))
+    monkeypatch.setattr(setsketch, "_left_over", lambda members, percent: crowds.append(members.count()) or left_over(members, percent))
+    rows = []
+    for i in range(20):
+        words = prose(120, i).split(" ")
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(f"new{i}" if j in (20, 50, 80, 110) else w for j, w in enumerate(words)))]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in setsketch.near_duplicates(docs_of(rows), 3, 85).collect()]
+    assert sorted(got, key=str) == brute_force(rows, 3, 85)
+    assert pairs and len(pairs) == len(set(pairs)) and not crowds
+    assert all(r[0] == r[2] for r in got)
+
+
 def test_one_of_each_keeps_columns(spark, docs_of, prose):
     docs = docs_of([(3, prose(50, 1)), (2, prose(50, 1)), (2, prose(50, 1)), (4, prose(50, 2)), (5, None)])
     out = setsketch.one_of_each(docs)
