@@ -11,8 +11,10 @@ Every byte of a text is a key of 64 bits, its context and itself. Tasks sort the
 some texts at a time and pass on distinct ones with their counts in the training
 texts, as packed arrays by the three bytes before; keys of held-out texts have a count of 0, so
 that every key has a value. Buckets of keys are trees below their three bytes; shorter
-contexts are added up over buckets. The values are written to files by hash, and passes over
-the texts load as many of them as fit.
+contexts are added up over buckets. The values of the keys that occur most are written to
+files, which every task that scores loads; there is one such pass, however large the model
+is. Keys that it does not find there go by groups of buckets, as packed arrays with their
+texts, to the values of all other keys, and come back as sums by text.
 
 Defined cases are those of :mod:`.ctw`.
 """
@@ -35,12 +37,14 @@ from .storage import get, partition, put
 from .tables import written
 from .textbytes import LOWER, SPACE, U64, HashArray, count_keys, mix, per_text, prefix_hash, slices, span_hash, text_bytes, words
 
-#: Keys that a task holds before it passes them on, bytes of text behind one bucket, and model rows of a pass.
+#: Keys that a task holds before it passes them on, bytes of text behind one bucket, and model rows that a task loads.
 HELD_KEYS, BUCKET_BYTES, MODEL_ROWS = 3 << 20, 1 << 21, 3_000_000
 #: Bytes of text that are made keys at a time.
 SLICE = 1 << 19
-#: Model files are cut into so many ranges of the hash.
-SLOT_BITS = 8
+#: Classes of counts are exact below EXACT, and so many for each doubling beyond.
+EXACT, PER_DOUBLING = 64, 8
+#: Buckets that share a group of keys without a file, as a power of 2.
+GROUP_BITS = 3
 #: Pads before a text, its language and its start.
 LEAD = 10
 #: Never a key: an empty place of a :class:`Lookup`.
@@ -291,21 +295,45 @@ def _is_first(contexts: np.ndarray) -> np.ndarray:
 
 
 @dataclass(frozen=True)
-class Pass:
-    """Ranges of model files that one pass over the texts loads, and the slots that they hold."""
+class Fitted:
+    """Files of the most frequent keys with their values, and a table of the others, if there are any, in groups."""
 
     folder: str
-    slots: np.ndarray
-    ranges: list[tuple[str, int, int]]
+    files: list[tuple[str, int]]
     key: str
+    others: DataFrame | None
+    bits: int
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys) >> U64(64 - SLOT_BITS)).astype(np.int64)
+def _class(counts: np.ndarray) -> np.ndarray:
+    """Classes of counts, ascending with them."""
+    doublings = np.log2(np.maximum(counts, EXACT) / EXACT)
+    return np.where(counts < EXACT, counts, EXACT + (PER_DOUBLING * doublings).astype(np.int64))
 
 
-def fit_tree(rows: DataFrame, depth: int, bound: int) -> list[Pass]:
-    """Files with the log10 probability of every key of the texts, in passes of about ``bound`` keys.
+def least_class(counted: DataFrame, bound: int) -> int:
+    """The lowest class of counts from which up at most ``bound`` keys lie."""
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for counts in batch.column(0).to_pylist():
+                more = np.bincount(_class(_unpack(counts).astype(np.int64)), minlength=len(n))
+                more[: len(n)] += n
+                n = more
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], ["class", "n"])
+
+    found = counted.select("counts").mapInArrow(sizes, "class long, n long").where("n > 0")
+    least, room = 0, bound
+    for r in sorted(found.groupBy("class").agg(F.sum("n").alias("n")).collect(), reverse=True):
+        room -= r["n"]
+        if room < 0:
+            return r["class"] + 1
+    return least
+
+
+def fit_tree(rows: DataFrame, depth: int, bound: int) -> Fitted:
+    """The log10 probability of every key of the texts, at most ``bound`` of them in files.
 
     ``rows`` has ``text``, ``held_out`` and ``symbol``; ``depth`` is 3 to 7.
     """
@@ -326,53 +354,66 @@ def fit_tree(rows: DataFrame, depth: int, bound: int) -> list[Pass]:
     schema = "depth int, context long, node int, zeros double, ones double, weighted double"
     above = spark.sparkContext.broadcast(_mixed_above(written(counted.mapInArrow(upwards, schema), "tree-upper"), depth))
 
+    least = least_class(counted, bound)
+    names = ["name", "n", "bucket", "keys", "values"]
+
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for _, keys, counts in _by_bucket(batches):
-            held.append((keys, Subtree(keys, counts, depth).log10(above.value)))
-            size += len(keys)
+            logs = Subtree(keys, counts, depth).log10(above.value)
+            usual = _class(counts) >= least
+            held.append((keys[usual], logs[usual]))
+            size += int(usual.sum())
+            if not usual.all():
+                keys, logs = keys[~usual], logs[~usual]
+                group = int(_bucket(keys[:1], bits - GROUP_BITS)[0])
+                yield _typed([None, None, group, _pack(np.diff(keys, prepend=U64(0))), _pack(logs.view(U64))], names)
             if size > HELD_KEYS // 4:
                 yield filed(held)
                 held, size = [], 0
-        if held:
+        if size:
             yield filed(held)
 
     def filed(held: list) -> pa.RecordBatch:
         keys, logs = (np.concatenate(x) for x in zip(*held))
-        slot = _slot(keys)
-        order = np.argsort(slot.astype(np.uint16), kind="stable")
-        both = np.stack([keys[order], logs[order].view(U64)], axis=1)  # a row is a key and its value
-        name = put(folder, f"tree-{partition():06d}", both.tobytes())
-        n = np.bincount(slot, minlength=1 << SLOT_BITS)
-        columns = [pa.array(np.arange(len(n))), pa.array([name] * len(n)), pa.array(np.cumsum(n) - n), pa.array(n)]
-        return pa.RecordBatch.from_arrays(columns, ["slot", "name", "start", "rows"])
-
-    files = written(counted.mapInArrow(values, "slot long, name string, start long, rows long"), "tree-files")
-    sizes = {r["slot"]: r["rows"] for r in files.groupBy("slot").agg(F.sum("rows").alias("rows")).collect()}
-    passes, room = [[]], bound
-    for slot in sorted(sizes):
-        if passes[-1] and sizes[slot] > room:
-            passes.append([])
-            room = bound
-        passes[-1].append(slot)
-        room -= sizes[slot]
-    out = []
-    for slots in passes:
-        # slots of a pass lie side by side in a file
-        ends = files.where(F.col("slot").isin(slots)).groupBy("name").agg(F.min("start").alias("start"), F.sum("rows").alias("rows"))
-        out.append(Pass(folder, np.isin(np.arange(1 << SLOT_BITS), slots), [tuple(r) for r in ends.where("rows > 0").collect()], uuid.uuid4().hex))
-    return out
+        both = np.stack([keys, logs.view(U64)], axis=1)  # a row is a key and its value
+        return _typed([put(folder, f"tree-{partition():06d}", both.tobytes()), len(keys), None, None, None], names)
+
+    model = written(counted.mapInArrow(values, "name string, n long, bucket long, keys binary, values binary"), "tree-values")
+    files = [tuple(r) for r in model.where("name IS NOT NULL").select("name", "n").collect()]
+    others = model.where("bucket IS NOT NULL").select("bucket", "keys", "values") if least else None
+    return Fitted(folder, files, uuid.uuid4().hex, others, bits - GROUP_BITS)
+
+
+NO_KEYS = ["bucket", "keys", "places"]
+
+
+def _wide(columns: list[pa.Array], names: list[str], texts_schema: str) -> pa.RecordBatch:
+    """Rows of texts or of keys as rows of a table that holds both."""
+    of = dict(zip(names, columns))
+    n = len(columns[0])
+    types = {"boolean": pa.bool_(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "long": pa.int64()}
+    all_types = {c: types[t] for c, t in (f.split() for f in texts_schema.split(", "))} | {c: TYPES.get(c, pa.int64()) for c in NO_KEYS}
+    return pa.RecordBatch.from_arrays([of[c] if c in of else pa.nulls(n, t) for c, t in all_types.items()], list(all_types))
+
+
+TYPES = {"name": pa.string(), "keys": pa.binary(), "values": pa.binary(), "places": pa.binary()}
+
+
+def _typed(row: list, names: list[str]) -> pa.RecordBatch:
+    """One row; columns without another type are long."""
+    return pa.RecordBatch.from_arrays([pa.array([x], TYPES.get(c, pa.int64())) for x, c in zip(row, names)], names)
 
 
 class Lookup:
-    """Values of keys that are all there, at their hash or the next places after it."""
+    """Values of keys at their hash or the next places after it."""
 
-    def __init__(self, part: Pass):
-        n = sum(r[2] for r in part.ranges)
+    def __init__(self, part: Fitted):
+        n = sum(rows for _, rows in part.files)
         table = np.empty((n, 2), dtype=U64)
         at = 0
-        for name, start, rows in part.ranges:
-            table[at : at + rows] = np.frombuffer(get(part.folder, name, 16 * start, 16 * rows), dtype=U64).reshape(-1, 2)
+        for name, rows in part.files:
+            table[at : at + rows] = np.frombuffer(get(part.folder, name, 0, 16 * rows), dtype=U64).reshape(-1, 2)
             at += rows
         self.shift = U64(64 - max(4, (4 * n // 3).bit_length()))
         home = self._home(table[:, 0])
@@ -387,41 +428,100 @@ class Lookup:
         self.keys[place], self.values[place] = table[order, 0], table[order, 1].view(np.float64)
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
-        # the leading bits of the first hash chose the pass
-        return (mix(mix(keys)) >> self.shift).astype(np.int64)
+        return (mix(keys) >> self.shift).astype(np.int64)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the keys, 0 where there is none, and the places of those without."""
         place = self._home(keys)
-        todo = np.flatnonzero(self.keys[place] != keys)
+        here = self.keys[place]
+        todo = np.flatnonzero(here != keys)
+        none = [todo[here[todo] == EMPTY]]
+        todo = todo[here[todo] != EMPTY]
         while len(todo):
             place[todo] += 1
             here = self.keys[place[todo]]
-            if (here == EMPTY).any():
-                raise KeyError("a text has changed since its keys were counted")
-            todo = todo[here != keys[todo]]
-        return self.values[place]
+            none.append(todo[here == EMPTY])
+            todo = todo[(here != keys[todo]) & (here != EMPTY)]
+        return self.values[place], np.concatenate(none)
 
 
 _loaded: dict[str, Lookup] = {}
 
 
-def loaded(part: Pass) -> Lookup:
-    """The arrays of a pass in this worker; only the latest pass's are kept."""
+def loaded(part: Fitted) -> Lookup:
+    """The arrays of a model in this worker; only the latest model's are kept."""
     if part.key not in _loaded:
         _loaded.clear()
         _loaded[part.key] = Lookup(part)
     return _loaded[part.key]
 
 
-def _scores(part: Pass, depth: int, data: np.ndarray, offsets: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """What the keys of a pass add to the scores of texts."""
-    keys, at = text_keys(data, offsets, symbols.astype(np.uint8), depth)
-    if part.slots.all():
-        return per_text(loaded(part).find(keys), at)
-    mine = np.flatnonzero(part.slots[_slot(keys)])
-    logs = np.zeros(len(keys))
-    logs[mine] = loaded(part).find(keys[mine])
-    return per_text(logs, at)
+def _asked(held: list, bits: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """Groups of keys that were not found, ascending, and the place of the text of each."""
+    keys, places = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(keys)
+    keys, places = keys[order], places[order]
+    group = _bucket(keys, bits)
+    order = np.argsort(group.astype(np.uint16), kind="stable")
+    keys, places, group = keys[order], places[order], group[order]
+    cuts = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(keys)).tolist()
+    for i, j in zip(cuts, cuts[1:]):
+        yield int(group[i]), _pack(np.diff(keys[i:j], prepend=U64(0))), _pack(places[i:j].astype(U64))
+
+
+def other_scores(asked: DataFrame, others: DataFrame) -> DataFrame:
+    """``chunk``, ``place`` and ``more``: what keys without a file add to the score of a text.
+
+    ``asked`` has ``bucket``, ``chunk``, ``keys`` and ``places``, and ``others`` is that of :class:`Fitted`.
+    """
+    names = ["chunk", "bucket", "places", "values"]
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, model, logs = None, [], None, None
+        for batch in batches:
+            for bucket, chunk, keys, second in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if bucket != at:
+                    at, held, model = bucket, [], None
+                keys = np.cumsum(_unpack(keys), dtype=U64)
+                if chunk < 0:
+                    held.append((keys, _unpack(second).view(np.float64)))
+                    continue
+                if model is None:
+                    model, logs = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, U64), np.zeros(0))
+                    order = np.argsort(model)
+                    model, logs, held = model[order], logs[order], []
+                found = np.searchsorted(model, keys)
+                if len(model) == 0 or (model[np.minimum(found, len(model) - 1)] != keys).any():
+                    raise KeyError("a text has changed since its keys were counted")
+                places = _unpack(second).astype(np.int64)
+                sums = np.bincount(places, weights=logs[found])
+                texts = np.flatnonzero(np.bincount(places))
+                yield _typed([chunk, bucket, _pack(np.diff(texts.astype(U64), prepend=U64(0))), _pack(sums[texts].view(U64))], names)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sums = None, np.zeros(0)
+        for batch in batches:
+            for chunk, places, values in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if chunk != at:
+                    if at is not None:
+                        yield of_chunk(at, sums)
+                    at, sums = chunk, np.zeros(0)
+                places = np.cumsum(_unpack(places), dtype=U64).astype(np.int64)
+                if places[-1] >= len(sums):
+                    sums = np.append(sums, np.zeros(places[-1] + 1 - len(sums)))
+                sums[places] += _unpack(values).view(np.float64)
+        if at is not None:
+            yield of_chunk(at, sums)
+
+    def of_chunk(chunk: int, sums: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(np.full(len(sums), chunk)), pa.array(np.arange(len(sums))), pa.array(sums)]
+        return pa.RecordBatch.from_arrays(columns, ["chunk", "place", "more"])
+
+    model = others.select("bucket", F.lit(-1).cast("long").alias("chunk"), "keys", F.col("values").alias("second"))
+    both = model.unionByName(asked.select("bucket", "chunk", "keys", F.col("places").alias("second")))
+    answers = both.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(answer, "chunk long, bucket long, places binary, values binary")
+    dealt = answers.repartition("chunk").sortWithinPartitions("chunk", "bucket").select("chunk", "places", "values")
+    return dealt.mapInArrow(added, "chunk long, place long, more double")
 
 
 def tree_scores(docs: DataFrame, held_out: Column, depth: int = DEPTH, head_words: int = HEAD_WORDS, bound: int = MODEL_ROWS) -> DataFrame:
@@ -436,7 +536,7 @@ def tree_scores(docs: DataFrame, held_out: Column, depth: int = DEPTH, head_word
     symbol = language(docs)
     row_key = F.xxhash64(F.coalesce("text", F.lit("")), symbol)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), row_key.alias("row_key"), "text", symbol.alias("symbol"))
-    first, *others = fit_tree(rows, depth, bound)
+    model = fit_tree(rows, depth, bound)
     training = rows.where(~F.col("held_out"))
     counts = written(word_counts(training).withColumnRenamed("c", "n"), "tree-words")
     n_texts = training.count()
@@ -444,11 +544,14 @@ def tree_scores(docs: DataFrame, held_out: Column, depth: int = DEPTH, head_word
     total, kinds = n_words + n_texts, n_kinds + (n_texts > 0)
     in_head = F.log2("n") >= most_frequent(counts, head_words)
     head = spark.sparkContext.broadcast(collected(counts.where(in_head).select("word", "n")))
-    fields = ["doc_id", "held_out", "row_key", "n_words", "head_tokens", "n_bytes", "head_log", "score", "rare"]
+    fields = ["doc_id", "held_out", "row_key", "n_words", "head_tokens", "n_bytes", "head_log", "score", "rare", "chunk", "place"]
+    texts_schema = "doc_id long, held_out boolean, row_key long, n_words long, head_tokens long, n_bytes long, head_log double, score double, rare array<long>, chunk long, place long"
+    of_keys = ["chunk", "bucket", "keys", "places"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = head.value
         n = known.values[0] if len(known.hashes) else np.zeros(1)
+        chunk, texts, held, size = partition() << 32, 0, [], 0
         for batch in batches:
             symbols = batch.column(4).to_numpy()
             for a, b, data, offsets in slices(*text_bytes(batch.column(3)), SLICE):
@@ -460,21 +563,24 @@ def tree_scores(docs: DataFrame, held_out: Column, depth: int = DEPTH, head_word
                 rare = pa.ListArray.from_arrays(np.append(0, np.cumsum(per_text(far, at))).astype(np.int32), pa.array(own[far].view(np.int64)))
                 columns = [batch.column(i).slice(a, b - a) for i in range(3)]
                 columns += [pa.array(x.astype(np.int64)) for x in (np.diff(at), per_text(~far, at), np.diff(offsets) + 1)]
-                columns += [pa.array(per_text(np.log10(c + 1.0), at)), pa.array(_scores(first, depth, data, offsets, symbols[a:b])), rare]
-                yield pa.RecordBatch.from_arrays(columns, fields)
-
-    def score_more(part: Pass):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                symbols = batch.column(3).to_numpy()
-                for a, b, data, offsets in slices(*text_bytes(batch.column(2)), SLICE):
-                    columns = [batch.column(i).slice(a, b - a) for i in range(2)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(_scores(part, depth, data, offsets, symbols[a:b]))], ["doc_id", "row_key", "more"])
-
-        return rows.select("doc_id", "row_key", "text", "symbol").mapInArrow(run, "doc_id long, row_key long, more double")
-
-    schema = "doc_id long, held_out boolean, row_key long, n_words long, head_tokens long, n_bytes long, head_log double, score double, rare array<long>"
-    scored = written(rows.mapInArrow(score, schema), "tree-scored")
+                keys, first = text_keys(data, offsets, symbols[a:b].astype(np.uint8), depth)
+                logs, none = loaded(part).find(keys)
+                columns += [pa.array(per_text(np.log10(c + 1.0), at)), pa.array(per_text(logs, first)), rare]
+                columns += [pa.array(np.full(b - a, chunk)), pa.array(np.arange(texts, texts + b - a))]
+                yield _wide(columns, fields, texts_schema)
+                held.append((keys[none], texts + np.searchsorted(first, none, "right") - 1))
+                texts, size = texts + b - a, size + len(none)
+                if size > HELD_KEYS // 2:
+                    for row in _asked(held, part.bits):
+                        yield _wide(_typed([chunk, *row], of_keys).columns, of_keys, texts_schema)
+                    chunk, texts, held, size = chunk + 1, 0, [], 0
+        if size:
+            for row in _asked(held, part.bits):
+                yield _wide(_typed([chunk, *row], of_keys).columns, of_keys, texts_schema)
+
+    part = Fitted(model.folder, model.files, model.key, None, model.bits)  # tasks get no table
+    both = written(rows.mapInArrow(score, f"{texts_schema}, bucket long, keys binary, places binary"), "tree-scored")
+    scored = both.where("bucket IS NULL").drop("bucket", "keys", "places")
     # copies of a row, equal in id and text, have equal parts: their mean is one's
     of_row = [F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")]
     tail = scored.select(*of_row, F.explode("rare").alias("word")).join(counts.where(~in_head), "word")
@@ -484,14 +590,9 @@ def tree_scores(docs: DataFrame, held_out: Column, depth: int = DEPTH, head_word
     tail = tail.join(copies.withColumnsRenamed({"_id": "_i", "_key": "_k"}), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")))
     tail = tail.select("_id", "_key", F.round(F.col("known") / F.col("copies")).cast("long").alias("tail_tokens"), (F.col("log") / F.col("copies")).alias("tail_log"))
     joined = scored.join(tail, same(tail), "left").drop("_id", "_key", "rare")
-    if others:
-        parts = [written(score_more(part), "tree-more") for part in others]
-        more = parts[0]
-        for part in parts[1:]:
-            more = more.unionByName(part)
-        more = more.groupBy(*of_row).agg((F.avg("more") * len(parts)).alias("more"))
-        joined = joined.join(more, joined["doc_id"].eqNullSafe(more["_id"]) & (joined["row_key"] == more["_key"]))
-        joined = joined.withColumn("score", F.col("score") + F.col("more"))
+    if model.others is not None:
+        more = other_scores(both.where("bucket IS NOT NULL"), model.others)
+        joined = joined.join(more, ["chunk", "place"], "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
     n_tokens = F.col("n_words") + 1
     known_words = F.col("head_tokens") + F.coalesce("tail_tokens", F.lit(0)) + int(n_texts > 0)
     logs = F.col("head_log") + F.coalesce("tail_log", F.lit(0.0)) + math.log10(n_texts + 1)

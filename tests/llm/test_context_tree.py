@@ -101,6 +101,25 @@ def test_scores_equal_brute_force(spark, docs_of, prose, monkeypatch, depth, hea
         assert r["score"] == pytest.approx(score, rel=1e-9)
 
 
+def test_texts_are_read_once_however_large_the_model(spark, docs_of, prose, monkeypatch):
+    """Keys beyond the bound are joined by group; they bring no more passes over the texts."""
+    monkeypatch.setattr(context_tree, "HELD_KEYS", 1 << 10)
+    labels = []
+    written = context_tree.written
+    monkeypatch.setattr(context_tree, "written", lambda df, label: labels.append(label) or written(df, label))
+    docs = docs_of([(i, prose(40, i)) for i in range(12)] + [(None, None), (90, ""), (3, "copy"), (3, "copy")])
+    runs = []
+    for bound in (1 << 20, 500, 0):
+        labels.clear()
+        rows = context_tree.tree_scores(docs, held_out(), bound=bound).select("doc_id", "n_bytes", "score").collect()
+        runs.append((sorted(map(tuple, rows), key=str), list(labels)))
+    whole, some, none = runs
+    assert whole[1] == some[1] == none[1]
+    for other in (some, none):
+        assert [r[:2] for r in other[0]] == [r[:2] for r in whole[0]]
+        assert [r[2] for r in other[0]] == pytest.approx([r[2] for r in whole[0]], rel=1e-9)
+
+
 def test_words_are_predicted_from_the_word_before(spark, docs_of):
     """Contexts that end at white space cannot tell these texts apart."""
     train = [(i, "ab cd ab cd ef gh ef gh " * 5) for i in range(40) if not held(i)]
