@@ -89,7 +89,7 @@ def assign(df: DataFrame, centres, columns=FEATURES) -> DataFrame:
 
 @dataclass(frozen=True)
 class Blocks:
-    """Rows packed as matrices of doubles, moved so that each column has mean 0."""
+    """Rows packed as coded matrices of doubles, moved so that each column has mean 0."""
 
     table: DataFrame
     mean: np.ndarray
@@ -122,7 +122,7 @@ def packed(features: DataFrame, columns=FEATURES) -> Iterator[Blocks]:
             values = [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
             matrix = np.column_stack(values) - mean
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids.tobytes()]), pa.array([matrix.tobytes()])], ["ids", "matrix"]
+                [pa.array([ids.tobytes()]), pa.array([_coded(matrix)])], ["ids", "matrix"]
             )
 
     table = (
@@ -136,14 +136,51 @@ def packed(features: DataFrame, columns=FEATURES) -> Iterator[Blocks]:
         table.unpersist()
 
 
+def _coded(matrix: np.ndarray) -> bytes:
+    """A matrix by columns: places in the column's distinct values, or its plain values if they take less room.
+
+    What a pass moves to Python is most of its time, and codes repeat in packets. No value changes.
+    """
+    rows, width = matrix.shape
+    sizes, parts = [], []
+    for column in matrix.T:
+        bits = np.ascontiguousarray(column).view(np.uint64)
+        distinct, codes = np.unique(bits, return_inverse=True)
+        kind = np.uint8 if len(distinct) <= 1 << 8 else np.uint16 if len(distinct) <= 1 << 16 else None
+        if kind is None or 8 * len(distinct) + rows * kind().itemsize >= 8 * rows:
+            sizes.append(0)
+            parts.append(bits.tobytes())
+        else:
+            sizes.append(len(distinct))
+            parts += [distinct.tobytes(), codes.astype(kind).tobytes()]
+    return np.array([rows, *sizes], dtype=np.int64).tobytes() + b"".join(parts)
+
+
+def _decoded(block, width: int) -> np.ndarray:
+    """The matrix of :func:`_coded`."""
+    rows, *sizes = np.frombuffer(block, dtype=np.int64, count=1 + width).tolist()
+    matrix, at = np.empty((rows, width)), 8 * (1 + width)
+    for j, n in enumerate(sizes):
+        if n == 0:
+            matrix[:, j] = np.frombuffer(block, dtype=np.float64, count=rows, offset=at)
+            at += 8 * rows
+            continue
+        kind = np.uint8 if n <= 1 << 8 else np.uint16
+        codes = np.frombuffer(block, dtype=kind, count=rows, offset=at + 8 * n)
+        matrix[:, j] = np.frombuffer(block, dtype=np.float64, count=n, offset=at)[codes]
+        at += 8 * n + codes.nbytes
+    return matrix
+
+
 def _matrices(batches: Iterator[pa.RecordBatch], width: int):
-    """Row ids and matrix of a slice of rows that fits the processor cache."""
+    """Matrix of a slice of rows that fits the processor cache, and its row ids if the batches have them."""
     for batch in batches:
-        for ids, matrix in zip(batch.column("ids"), batch.column("matrix")):
-            ids = np.frombuffer(ids.as_buffer(), dtype=np.int64)
-            matrix = np.frombuffer(matrix.as_buffer()).reshape(-1, width)
-            for first in range(0, len(ids), SLICE):
-                yield ids[first : first + SLICE], matrix[first : first + SLICE]
+        with_ids = "ids" in batch.schema.names
+        for number, block in enumerate(batch.column("matrix")):
+            matrix = _decoded(block.as_buffer(), width)
+            ids = np.frombuffer(batch.column("ids")[number].as_buffer(), dtype=np.int64) if with_ids else None
+            for first in range(0, len(matrix), SLICE):
+                yield ids[first : first + SLICE] if with_ids else None, matrix[first : first + SLICE]
 
 
 def _distances(matrix: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -309,7 +346,7 @@ def lloyd_pass(blocks: Blocks, centres: np.ndarray) -> tuple[np.ndarray, np.ndar
         names = ["restart", "cluster", *_sum_names(width)]
         yield pa.RecordBatch.from_arrays(_sum_columns(sums, counts, costs, k), names)
 
-    totals = blocks.table.mapInArrow(reduce, _sums_schema(width))
+    totals = blocks.table.select("matrix").mapInArrow(reduce, _sums_schema(width))
     sums = _gathered(totals, blocks.tasks, restarts, k, width)
     costs = sums[:, 1].reshape(restarts, k).sum(axis=1)
     return _means(sums[:, 2:], sums[:, 0], centres), costs
@@ -358,7 +395,7 @@ def _changes(matrix: np.ndarray, labels: np.ndarray, centres: np.ndarray) -> tup
 
 
 def _unpacked(block, labels, width: int, restarts: int) -> tuple[np.ndarray, np.ndarray]:
-    matrix = np.frombuffer(block.as_buffer()).reshape(-1, width)
+    matrix = _decoded(block.as_buffer(), width)
     return matrix, np.frombuffer(labels.as_buffer(), dtype=np.int8).reshape(restarts, -1)
 
 
@@ -437,7 +474,7 @@ def marking_pass(
         marked = 0
         for batch in batches:
             for block in batch.column("matrix"):
-                whole = np.frombuffer(block.as_buffer()).reshape(-1, width)
+                whole = _decoded(block.as_buffer(), width)
                 kept = []
                 for first in range(0, len(whole), SLICE):
                     matrix = whole[first : first + SLICE]
@@ -452,7 +489,7 @@ def marking_pass(
                     parts = [np.concatenate([m for m, _ in kept]), np.concatenate([n for _, n in kept], axis=1)]
                     marked += len(parts[0])
                     none = [pa.nulls(1, pa.int32())] * 2 + [pa.nulls(1, pa.float64())] * (2 + width)
-                    own = [pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in parts]
+                    own = [pa.array([x], pa.binary()) for x in (_coded(parts[0]), np.ascontiguousarray(parts[1]).tobytes())]
                     yield pa.RecordBatch.from_arrays([*none, *own, pa.nulls(1, pa.int64())], names)
         rows = np.zeros(count * k, dtype=np.int64)
         rows[0] = marked
@@ -460,7 +497,7 @@ def marking_pass(
         yield pa.RecordBatch.from_arrays([*_sum_columns(sums, counts, costs, k), *none, pa.array(rows)], names)
 
     schema = _sums_schema(width) + ", matrix binary, labels binary, rows long"
-    table = blocks.table.mapInArrow(mark, schema).persist(StorageLevel.MEMORY_AND_DISK)
+    table = blocks.table.select("matrix").mapInArrow(mark, schema).persist(StorageLevel.MEMORY_AND_DISK)
     sums = _gathered(table.where("restart IS NOT NULL"), blocks.tasks, count, k, width, ["rows"])
     return Marks(blocks, table, restarts, bounds, sums[:, :-1], int(sums[:, -1].sum()))
 

@@ -210,3 +210,13 @@ def test_forest_samples_are_bottom_k(spark):
     assert sample_rows(df.limit(0), 2).count() == 0
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan
+
+
+def test_blocks_hold_repeated_values_as_codes_without_changing_any():
+    r = np.random.default_rng(5)
+    n = 3000
+    values = np.column_stack([r.normal(size=n), r.integers(0, 4, n) / 3, r.integers(0, 900, n) / 7, np.where(r.random(n) < 0.5, -0.0, 0.0), np.full(n, np.nan)])
+    for matrix in (values, values[:1], values[:0], values[:300]):
+        coded = kmeans._coded(matrix)
+        assert kmeans._decoded(coded, 5).tobytes() == matrix.tobytes()
+    assert len(kmeans._coded(values)) < 0.5 * values.nbytes
