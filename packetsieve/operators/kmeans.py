@@ -468,13 +468,19 @@ def marking_pass(
     names = ["restart", "cluster", *_sum_names(width), "matrix", "labels", "rows"]
     expected = np.maximum(pace, LEAST_PACE * pace.max(axis=1, keepdims=True)) * horizon
     bounds = expected[:, :, None] + expected[:, None, :]
+    too_many, all_rows = (1 + MARKED_SHARE) / 2, blocks.rows
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, counts, costs = np.zeros((count * k, width)), np.zeros(count * k), np.zeros(count)
-        marked = 0
+        marked, futile = 0, False
         for batch in batches:
             for block in batch.column("matrix"):
                 whole = _decoded(block.as_buffer(), width)
+                if futile:
+                    some = (whole[i : i + SLICE] for i in range(0, len(whole), SLICE))
+                    sums, counts, costs = (x + y for x, y in zip((sums, counts, costs), _totals(some, centres)))
+                    marked += len(whole)
+                    continue
                 kept = []
                 for first in range(0, len(whole), SLICE):
                     matrix = whole[first : first + SLICE]
@@ -485,7 +491,11 @@ def marking_pass(
                     costs += best.sum(axis=1) + np.einsum("ij,ij->", matrix, matrix)
                     if len(near):
                         kept.append((matrix[near], labels[:, near]))
-                if kept:
+                held = sum(len(m) for m, _ in kept)
+                if len(whole) >= SLICE and held > too_many * len(whole):
+                    # marks on so many rows are dropped: the task keeps no more of them and only adds up
+                    futile, marked = True, all_rows + 1
+                elif kept:
                     parts = [np.concatenate([m for m, _ in kept]), np.concatenate([n for _, n in kept], axis=1)]
                     marked += len(parts[0])
                     none = [pa.nulls(1, pa.int32())] * 2 + [pa.nulls(1, pa.float64())] * (2 + width)

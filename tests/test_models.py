@@ -212,6 +212,18 @@ def test_forest_samples_are_bottom_k(spark):
     assert "rangepartitioning" not in plan
 
 
+def test_marks_on_nearly_all_rows_are_not_kept(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (9000, len(FEATURES)))
+    with kmeans.packed(features_of(spark, x).repartition(1)) as blocks:
+        start = kmeans.kmeans_plus_plus(blocks, 6, [1, 2])
+        few, most = (kmeans.marking_pass(blocks, start, np.arange(2), np.full((2, 6), pace)) for pace in (1e-6, 1e6))
+        assert few.rows < kmeans.MARKED_SHARE * blocks.rows < most.rows
+        assert most._held().count() == 0
+        assert np.allclose(few.sums, most.sums, rtol=1e-9, atol=1e-6)
+        few.drop(), most.drop()
+
+
 def test_blocks_hold_repeated_values_as_codes_without_changing_any():
     r = np.random.default_rng(5)
     n = 3000
